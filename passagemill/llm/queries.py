@@ -6,20 +6,55 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import omh
+from . import exact, langid, mixing, omh, packing, sequences, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as Arrow files of token sequences."""
+    return sequences.token_files(_documents(spark, sf_dir))
+
+
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their shards, laid out by shard."""
+    return sharding.shard(_documents(spark, sf_dir))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies: each document to drop, and the one that stays."""
+    return exact.exact_duplicates(_documents(spark, sf_dir))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near duplicates of the corpus: each document to drop, and the one that stays."""
+    """Near duplicates: each document to drop, and the one that stays."""
     return omh.near_duplicates(_documents(spark, sf_dir))
 
 
+def op7_water_fill_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus mixed to the target weights."""
+    return mixing.mix(_documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _documents(spark, sf_dir)
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its sequence."""
+    return packing.pack(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_order_minhash": op6_order_minhash,
+    q.__name__: q for q in (op1_token_files, op3_extendible_sharding, op4_exact_dedup, op6_order_minhash, op7_water_fill_mix, op9_language_id, op10_pattern_packing)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_extendible_sharding": sharding.ORACLE_SQL.format(limit=sharding.SHARD_BYTES),
+    "op4_exact_dedup": exact.ORACLE_SQL,
+    "op7_water_fill_mix": mixing.ORACLE_SQL,
+}
