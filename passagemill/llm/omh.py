@@ -10,8 +10,8 @@ word sequences verifies each one: near duplicates have 1 - edits / longer length
 Plan: one Arrow pass over the texts gives (id, digest of the words, m sketches). Equal digests are copies
 without a look at the text; one representative of each goes on. Bucket = (sketch number, sketch). Round one
 aligns every member of a bucket with the smallest id in it, which joins true groups of any size with
-linearly many alignments; round two aligns the pairs of a bucket that are still in different components, so
-that nobody's candidate is skipped. Only ids, lengths and sketches shuffle, and the texts of candidates.
+linearly many alignments; round two aligns the pairs that are still in different components and share
+MIN_SHARED sketches, whatever the size of the bucket. Only ids, lengths and sketches shuffle, and the texts of candidates.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ from ._common import cut, free_names, named, pick, sized, utf8
 from .components import connected_components
 
 K, ELL, SKETCHES, THRESHOLD = 3, 2, 32, 0.7
+#: Sketches that a pair of different components must share to be aligned. If a share e of the words of a pair
+#: is replaced at random, it shares 32 * j * j sketches on average, with j = (1-e)^3 / (2 - (1-e)^3): 10 at
+#: e = 0.1, 6 at 0.15, 4 at 0.2. Round one, which has no such bound, joins most such pairs through a third text.
+MIN_SHARED = 3
 _SPACE = 0x20
 #: ASCII letters in lower case, digits and every byte of other scripts stay; all else separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else _SPACE for c in range(256))
@@ -256,7 +260,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify_batches(threshold), "a bigint, b bigint, similarity double").where("similarity > 0")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ell: int = ELL, sketches: int = SKETCHES, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ell: int = ELL, sketches: int = SKETCHES, threshold: float = THRESHOLD, min_shared: int = MIN_SHARED) -> DataFrame:
     """(doc_id, duplicate_of): every document that is not the smallest id of its group, and that smallest id.
 
     Groups are the components of verified pairs and of texts with equal words. Null texts, texts without
@@ -281,8 +285,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(rows)
     left, right = (rows.select("bucket", *[F.col(c).alias(c + x) for c in ("id", "n", "root")]) for x in "ab")
     cross = left.join(right, "bucket").where("ida < idb and roota <> rootb")
-    cross = cross.where(F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9)).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
-    cross = cut(cross.join(star, ["a", "b"], "left_anti"))
+    cross = cross.where(F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9)).groupBy(F.col("ida").alias("a"), F.col("idb").alias("b")).count().where(F.col("count") >= min_shared)
+    cross = cut(cross.join(star, ["a", "b"], "left_anti").select("a", "b"))
     more = _verified(cross, texts, threshold).select("a", "b")
     groups = connected_components(edges.union(more).union(copies))
     return groups.where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"))
