@@ -115,28 +115,32 @@ class Model:
             for p in parts[lang]:
                 coded += np.searchsorted(seen, p).tolist() + [0]
             nxt = suffix_automaton(coded)
-            table = np.zeros((len(nxt), width), np.int64)
-            root = np.zeros(width, np.int64)
+            lone = len(nxt)  # after a character that the language's text lacks: a phrase that nothing extends
+            begin = np.full(width, base + lone, np.int64)
             for c, s in nxt[0].items():
-                root[c] = s
-            table[:] = (base + root) * width << 1 | 1  # the phrase ends; the next one begins with this character
+                begin[c] = base + s
+            table = np.empty((lone + 1, width), np.int64)
+            table[:] = begin * width << 1 | 1  # the phrase ends; the next one begins with this character
+            table[0] = begin * width << 1  # only the first character comes in state 0
             for state, to in enumerate(nxt):
                 for c, s in to.items():
                     table[state, c] = (base + s) * width << 1
             tables.append(table)
             self.roots.append(base * width)
             self.bits.append(math.log2(max(2, len(coded))))
-            base += len(nxt)
+            base += lone + 1
         full = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
         self.table = full.astype(np.int32) if base * width << 1 < 2**31 else full
 
-    def phrases(self, low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Numbers of phrases: (language, text). A phrase that the end of the text cuts counts."""
-        codes = np.searchsorted(self.alphabet, low).astype(np.int64)
+    def encode(self, low: np.ndarray) -> np.ndarray:
+        """Columns of the table for normalised characters."""
+        codes = np.searchsorted(self.alphabet, low)
         codes[codes == len(self.alphabet)] = 0
-        unknown = self.alphabet[codes] != low
-        codes[unknown] = self.width - 1
-        codes = codes.astype(np.int32)
+        codes[self.alphabet[codes] != low] = self.width - 1
+        return codes.astype(np.uint8 if self.width <= 256 else np.uint16)
+
+    def phrases(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Numbers of phrases: (language, text). A phrase that the end of the text cuts counts."""
         lengths = np.diff(offsets)
         order = np.argsort(-lengths, kind="stable")
         lengths, place = lengths[order], offsets[:-1][order].copy()
@@ -144,7 +148,7 @@ class Model:
         state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], len(lengths), 1)
         count = np.zeros(state.shape, np.int32)
         table = self.table
-        for k in live:
+        for k in live.tolist():
             entry = table[state[:, :k] + codes[place[:k]]]
             count[:, :k] += entry & 1
             state[:, :k] = entry >> 1
@@ -156,12 +160,16 @@ class Model:
     def identify(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best language (index), its entropy in bits a character, the same without the last phrase, which the
         end of the text cuts, its phrases, and characters that counted."""
-        low, offsets = normalised(*code_points(col))
-        n = np.diff(offsets)
+        codes, n = [], np.zeros(len(col), np.int64)
+        for lo in range(0, len(col), 128):  # what is wider than a byte a character is held for a few texts only
+            low, offsets = normalised(*code_points(col.slice(lo, 128)))
+            codes.append(self.encode(low))
+            n[lo : lo + 128] = np.diff(offsets)
+        offsets = np.concatenate([[0], np.cumsum(n)])
         if not self.languages:
             zero = np.zeros(len(n))
             return zero.astype(np.int64), zero, zero, zero, n
-        phrases = self.phrases(low, offsets)
+        phrases = self.phrases(np.concatenate(codes) if codes else np.zeros(0, np.uint8), offsets)
         bits = phrases * np.array(self.bits)[:, None] / np.maximum(n, 1)
         best = np.argmin(bits, axis=0)
         at = np.arange(len(n))
