@@ -11,7 +11,9 @@ Plan: one Arrow pass over the texts gives (id, digest of the words, m sketches).
 without a look at the text; one representative of each goes on. Bucket = (sketch number, sketch). Round one
 aligns every member of a bucket with the smallest id in it, which joins true groups of any size with
 linearly many alignments; round two aligns the pairs of a bucket that are still in different components, so
-that nobody's candidate is skipped. Only ids, lengths and sketches shuffle, and the texts of candidates.
+that nobody's candidate is skipped. Before an alignment, bags of hashed words rule out pairs that cannot be
+similar enough; this bound is never too low, so that it loses nothing. Only ids, lengths, sketches and bags
+shuffle, and the texts of the pairs that the bound leaves.
 """
 
 from __future__ import annotations
@@ -248,10 +250,69 @@ def _verify_batches(threshold: float):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b), materialised, whose texts are as similar as the threshold asks."""
+def bag(hashes: np.ndarray) -> bytes:
+    """Counts of the words of a text by hash, in about as many bins as it has words: one byte for the width of a
+    count, then the counts. No count saturates."""
+    bins = 1 << max(6, int(max(1, len(hashes)) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _counts(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, f"<u{stored[0]}", offset=1).astype(np.int32)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """False only if the texts of two bags cannot reach the threshold: words that meet in a bin are at least as
+    many as words in common, and each of the longer text's other words costs an edit."""
+    longest = max(int(a.sum()), int(b.sum()))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] + a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] + b[len(b) // 2 :]
+    return longest - int(np.minimum(a, b).sum()) <= int((1 - threshold) * longest + 1e-9)
+
+
+def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = utf8(batch.column(1))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _CHUNK, "right")) - 1)
+            words, counts = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            bags = [bag(w) for w in np.split(words, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(bags, pa.binary())], ["id", "bag"])
+            lo = hi
+
+
+def _bound_batches(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, np.zeros(0, np.int32)
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if x != last:
+                    last, left = x, _counts(x)
+                keep[i] = may_be_similar(left, _counts(y), threshold)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
+def _of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts that the pairs, materialised, need."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    near = texts.join(sized(wanted), "id", "left_semi")
+    return texts.join(sized(wanted), "id", "left_semi")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b), materialised, whose texts are as similar as the threshold asks. A bag of hashed words, a
+    sixth of a text, bounds the similarity of every pair from above; the texts of those it leaves are aligned."""
+    bags = cut(_of(pairs, texts).mapInArrow(_bag_batches, "id bigint, bag binary"))
+    both = pairs.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bb")), "b").join(bags.select(F.col("id").alias("a"), F.col("bag").alias("ba")), "a")
+    pairs = cut(both.select("a", "b", "ba", "bb").mapInArrow(_bound_batches(threshold), "a bigint, b bigint").distinct())
+    near = _of(pairs, texts)
     both = pairs.join(near.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(near.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify_batches(threshold), "a bigint, b bigint, similarity double").where("similarity > 0")
 

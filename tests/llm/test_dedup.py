@@ -100,6 +100,23 @@ def test_edit_similarity(a, seed):
     assert got == pytest.approx(true) if true >= 0.7 - 1e-9 else got == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 300), st.integers(1, 40), st.floats(0, 0.5), st.integers(0, 2**32))
+def test_bag_never_loses_a_pair(n, vocabulary, share, seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    word = lambda: str(rng.randrange(vocabulary)).encode()
+    a = [word() for _ in range(n)]
+    b = [word() if rng.random() < share else w for w in a if rng.random() > share / 2] + [word() for _ in range(rng.randrange(20))]
+    data = np.frombuffer(b" ".join(a) + b" " + b" ".join(b), np.uint8)
+    words, counts = omh.word_hashes(data, np.array([0, len(b" ".join(a)), len(data)]))
+    x, y = (omh._counts(omh.bag(w)) for w in np.split(words, [counts[0]]))
+    assert x.sum() == len(a) and y.sum() == len(b)
+    if omh.edit_similarity(a, b, omh.THRESHOLD):
+        assert omh.may_be_similar(x, y, omh.THRESHOLD)
+
+
 def test_sketch_keeps_order():
     import numpy as np
 
