@@ -117,14 +117,16 @@ def significance(left: DataFrame, right: DataFrame, metric: str, k: int, resampl
         sure = p < alpha and (low > 0 or high < 0)
         return pd.DataFrame([(len(d), mean, low, high, p, ("better" if mean > 0 else "worse") if sure else "no difference shown")], columns=["n", "mean_difference", "low", "high", "p", "verdict"])
 
-    return a.join(b, "query_id").groupBy(F.lit(0)).applyInPandas(lambda pdf: run(pdf), "n bigint, mean_difference double, low double, high double, p double, verdict string")
+    return a.join(b, "query_id").groupBy().applyInPandas(lambda pdf: run(pdf), "n bigint, mean_difference double, low double, high double, p double, verdict string")
 
 
-def pareto(results: DataFrame, quality: str, cost: str) -> DataFrame:
-    """Rows that no other beats: cheaper ones are all worse."""
-    before = W.orderBy(F.asc(cost), F.desc(quality)).rowsBetween(W.unboundedPreceding, -1)
-    best = F.max(quality).over(before)
-    return results.withColumn("b__", best).where(F.col("b__").isNull() | (F.col(quality) > F.col("b__"))).drop("b__")
+def pareto(results: DataFrame, quality: str, cost: str, tie: str | None = None) -> DataFrame:
+    """Rows that no other beats: cheaper ones are all worse. Of rows equal in both the first by tie counts. Only
+    the best row of each cost reaches the one sorted pass."""
+    by_cost = W.partitionBy(cost).orderBy(F.desc(quality), *([tie] if tie else []))
+    best = results.withColumn("n__", F.row_number().over(by_cost)).where("n__ = 1").drop("n__")
+    before = F.max(quality).over(W.orderBy(F.asc(cost)).rowsBetween(W.unboundedPreceding, -1))
+    return best.withColumn("b__", before).where(F.col("b__").isNull() | (F.col(quality) > F.col("b__"))).drop("b__")
 
 
 def axis_effect(results: DataFrame, axis: str, metric: str) -> DataFrame:

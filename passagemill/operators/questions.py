@@ -121,7 +121,7 @@ def dangling(question: Column) -> Column:
 
 def drop_similar(items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(item_id, duplicate_of): questions whose words are as similar (Jaccard) to an earlier one that was kept. Candidate
-    pairs come from shared words; the greedy pass over them, in order of ids, is one component's at a time."""
+    pairs come from shared words; one greedy pass, in order of ids, goes over those that are similar enough."""
     sets = items.select("item_id", F.array_distinct(tx.words(F.col("text"))).alias("w"))
     words = sets.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
     a, b = (words.select("word", F.col("item_id").alias("i" + x), F.col("n").alias("n" + x)) for x in "ab")
@@ -136,7 +136,7 @@ def drop_similar(items: DataFrame, threshold: float = 0.8) -> DataFrame:
                 gone[ib] = kept[0]
         return pd.DataFrame(sorted(gone.items()), columns=["item_id", "duplicate_of"])
 
-    return pairs.groupBy(F.lit(0)).applyInPandas(lambda pdf: run(pdf), "item_id bigint, duplicate_of bigint")
+    return pairs.groupBy().applyInPandas(lambda pdf: run(pdf), "item_id bigint, duplicate_of bigint")
 
 
 def filter_chain(items: DataFrame, baseline: DataFrame | None = None, unresolved: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:

@@ -165,16 +165,14 @@ def binary_codes(vectors: DataFrame) -> DataFrame:
     return bits.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["b"]).alias("bits"))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-
-
 def binary_search(vectors: DataFrame, queries: DataFrame, k: int = 10, rescore: int = 0) -> DataFrame:
-    """Top k by bits that agree; with rescore, the best so many are ranked again by the original product."""
-    codes = binary_codes(vectors)
-    asked = codes.join(queries.select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("bits").alias("qbits"))
-    pairs = asked.crossJoin(codes).where("query_id <> vec_id")
-    first = top_k(pairs.select("query_id", "vec_id", (-hamming(F.col("qbits"), F.col("bits"))).cast("double").alias("score")), max(k, rescore), "vec_id")
+    """Top k by bits that agree; with rescore, the best so many are ranked again by the original product. Bits as +1
+    and -1 make the Hamming distance (d - product) / 2, so that the blocks of dense() serve here too."""
+    signed = binary_codes(vectors).select("vec_id", F.transform("bits", lambda b: 2.0 * b - 1.0).alias("embedding"))
+    asked = signed.join(queries.select("vec_id"), "vec_id", "left_semi")
+    near = dense(signed, asked, max(k, rescore), "dot")
+    width = vectors.agg(F.max(F.size("embedding")).cast("double").alias("d"))
+    first = near.crossJoin(width).select("query_id", "vec_id", ((F.col("score") - F.col("d")) / 2 + 0.0).alias("score"), "rank")
     if not rescore:
         return first
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
@@ -227,4 +225,4 @@ def embedding_quality(vectors: DataFrame) -> DataFrame:
         pairs = (u @ u - n) / (n * (n - 1)) if n > 1 else 0.0
         return pd.DataFrame([(int(n), round(float(pairs), 6), round(float(np.trace(c) ** 2 / max((c * c).sum(), 1e-300)), 6))], columns=["n", "anisotropy", "participation"])
 
-    return parts.groupBy(F.lit(1)).applyInPandas(lambda pdf: finish(pdf), "n bigint, anisotropy double, participation double")
+    return parts.groupBy().applyInPandas(lambda pdf: finish(pdf), "n bigint, anisotropy double, participation double")

@@ -105,11 +105,11 @@ class Matrix:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """The product of all axes, a row each."""
-        out = spark.range(1).select(F.lit(self.k).alias("k"))
+        out = spark.range(1, numPartitions=1).select(F.lit(self.k).alias("k"))
         for axis in AXES:
             kind = "int" if axis == "candidates" else "string"
-            values = list(self.axes.get(axis, [getattr(Config(), axis)]))
-            out = out.crossJoin(spark.createDataFrame([(v,) for v in values], f"{axis} {kind}"))
+            values = self.axes.get(axis, [getattr(Config(), axis)])
+            out = out.withColumn(axis, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
         return out
 
     def factorial(self) -> list[Config]:
