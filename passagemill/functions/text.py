@@ -121,8 +121,9 @@ def recursive(text: str, size: int = 512, overlap: int | None = None, tokenizer:
     return [packed[0], *((ruler.back(lo, overlap), hi) for lo, hi in packed[1:])]
 
 
-_END = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s|$)")
-_LAST = re.compile(r"([A-Za-z]+|\d+)[.!?\"'”’)\]]*$")
+_CLOSERS = re.escape("\"')]’”")
+_END = re.compile(rf"[!.?]+[{_CLOSERS}]*(?!\S)")
+_LAST = re.compile(rf"(\d+|[a-zA-Z]+)[{_CLOSERS}!.?]*$")
 _SHORT = frozenset("al approx cf corp dr eg etc ie inc jr ltd mr mrs ms prof sr vs".split())
 _SHORT_CAPITAL = frozenset("Art Ch Co Fig No Sec St Vol".split())
 
