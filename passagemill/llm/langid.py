@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ._common import code_points, free_names, named, pick
+from ._common import code_points, free_names, frugal, named, pick, slices, utf8
 
 #: Bounds of the labelled sample that the automata are fitted to: documents and characters a language.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 24_000
 #: A document whose complete phrases alone cost more bits a character is in none of the languages: other
 #: scripts cost over 14, text of the fitted languages with numbers, codes and names in it up to 5.5.
 MAX_BITS = 6.0
+_CHUNK = 1 << 19
 
 
 def _letters() -> np.ndarray:
@@ -161,10 +162,10 @@ class Model:
         """Best language (index), its entropy in bits a character, the same without the last phrase, which the
         end of the text cuts, its phrases, and characters that counted."""
         codes, n = [], np.zeros(len(col), np.int64)
-        for lo in range(0, len(col), 128):  # what is wider than a byte a character is held for a few texts only
-            low, offsets = normalised(*code_points(col.slice(lo, 128)))
+        for lo, hi in slices(utf8(col)[1], _CHUNK):  # what is wider than a byte a character is held for a few texts only
+            low, offsets = normalised(*code_points(col.slice(lo, hi - lo)))
             codes.append(self.encode(low))
-            n[lo : lo + 128] = np.diff(offsets)
+            n[lo:hi] = np.diff(offsets)
         offsets = np.concatenate([[0], np.cumsum(n)])
         if not self.languages:
             zero = np.zeros(len(n))
@@ -221,7 +222,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     picked = pick(docs, id=id_col, text=text_col)
     kind = picked.schema["id"].dataType.simpleString()
-    found = picked.mapInArrow(run, f"id {kind}, lang string, bits double, phrases bigint, chars bigint, accepted boolean")
+    found = picked.mapInArrow(frugal(run), f"id {kind}, lang string, bits double, phrases bigint, chars bigint, accepted boolean")
     return found.withColumnRenamed("id", id_col)
 
 
@@ -238,4 +239,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", max_b
                 _, _, whole, _, n = shared.value.identify(batch.column(at))
                 yield batch.filter(pa.array((n > 0) & (whole <= max_bits)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ._common import cut, free_names, named, pick, sized, utf8
+from ._common import cut, free_names, frugal, named, pick, sized, utf8
 from .components import connected_components
 
 K, ELL, SKETCHES, THRESHOLD = 3, 2, 32, 0.7
@@ -309,12 +309,12 @@ def _of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b), materialised, whose texts are as similar as the threshold asks. A bag of hashed words, a
     sixth of a text, bounds the similarity of every pair from above; the texts of those it leaves are aligned."""
-    bags = cut(_of(pairs, texts).mapInArrow(_bag_batches, "id bigint, bag binary"))
+    bags = cut(_of(pairs, texts).mapInArrow(frugal(_bag_batches), "id bigint, bag binary"))
     both = pairs.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bb")), "b").join(bags.select(F.col("id").alias("a"), F.col("bag").alias("ba")), "a")
-    pairs = cut(both.select("a", "b", "ba", "bb").mapInArrow(_bound_batches(threshold), "a bigint, b bigint").distinct())
+    pairs = cut(both.select("a", "b", "ba", "bb").mapInArrow(frugal(_bound_batches(threshold)), "a bigint, b bigint").distinct())
     near = _of(pairs, texts)
     both = pairs.join(near.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(near.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verify_batches(threshold), "a bigint, b bigint, similarity double").where("similarity > 0")
+    return both.select("a", "b", "ta", "tb").mapInArrow(frugal(_verify_batches(threshold)), "a bigint, b bigint, similarity double").where("similarity > 0")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ell: int = ELL, sketches: int = SKETCHES, threshold: float = THRESHOLD) -> DataFrame:
@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = pick(docs, id=id_col, text=text_col).where("id is not null and text is not null")
     texts = texts.select(F.col("id").cast("bigint").alias("id"), "text")
-    sketched = texts.mapInArrow(_sketch_batches(k, ell, sketches), "id bigint, digest binary, n int, sketches array<bigint>")
+    sketched = texts.mapInArrow(frugal(_sketch_batches(k, ell, sketches)), "id bigint, digest binary, n int, sketches array<bigint>")
     sketched = cut(sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.collect_set("id").alias("ids")))
     copies = sketched.where("size(ids) > 1").select(F.col("rep").alias("a"), F.explode("ids").alias("b")).where("a <> b")
     rows = sketched.select("rep", "n", F.explode("sketches").alias("bucket"))
