@@ -11,7 +11,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .search import dot, doubles, top_k
+from .search import dense, dot, doubles, top_k
 
 
 def _kmeans(vectors: DataFrame, k: int, iterations: int, seed: int) -> np.ndarray:
@@ -33,32 +33,23 @@ def product_fit(vectors: DataFrame, subspaces: int = 8, centroids: int = 256, it
 
 
 def product_search(vectors: DataFrame, queries: DataFrame, codebook: np.ndarray, k: int = 10) -> DataFrame:
-    """(query_id, vec_id, score, rank): top k by the product of the query and a vector's nearest centroids. queries: few, as
-    many as a task holds; every task takes them all and keeps k of each."""
-    spark = vectors.sparkSession
+    """(query_id, vec_id, score, rank): top k by the product of the query and a vector's nearest centroids."""
     subspaces, _, width = codebook.shape
-    asked = queries.select("vec_id", doubles("embedding").alias("v")).collect()
-    shared = spark.sparkContext.broadcast((codebook, np.array([r.vec_id for r in asked]), np.array([r.v for r in asked])))
+    shared = vectors.sparkSession.sparkContext.broadcast(codebook)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, own, q = shared.value
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            x = np.asarray(batch.column(1).flatten()).reshape(len(ids), subspaces, width)
-            s = np.zeros((len(own), len(ids)))
-            for i in range(subspaces):
-                near = ((x[:, i, None] - book[None, i]) ** 2).sum(-1).argmin(1)
-                s += q[:, i * width : (i + 1) * width] @ book[i, near].T
-            s = np.round(s, 6) + 0.0
-            s[own[:, None] == ids] = -np.inf
-            by_id = np.argsort(ids, kind="stable")
-            at = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, : min(k, len(ids))]]
-            best = np.take_along_axis(s, at, 1)
-            ok = (best > -np.inf).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, at.shape[1])[ok]), pa.array(ids[at].ravel()[ok]), pa.array(best.ravel()[ok])], ["query_id", "vec_id", "score"])
-
-    found = vectors.select(F.col("vec_id").cast("bigint"), doubles("embedding")).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    return top_k(found, k, "vec_id")
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                x = np.asarray(part.column(1).flatten()).reshape(part.num_rows, subspaces, width)
+                near = [((x[:, i, None] - book[None, i]) ** 2).sum(-1).argmin(1) for i in range(subspaces)]
+                y = np.concatenate([book[i, n] for i, n in enumerate(near)], axis=1)
+                firsts = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)[: len(y) + 1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(firsts, pa.array(y.ravel()))], ["vec_id", "embedding"])
+
+    coded = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), doubles("embedding")).mapInArrow(decoded, "vec_id bigint, embedding array<double>")
+    return dense(coded, queries, k, "dot")
 
 
 def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 100, probes: int = 8, seed: int = 0) -> DataFrame:

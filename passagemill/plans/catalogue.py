@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import spans as sp, text as tx
-from ..operators import chunk as ch, embed, metrics, questions as qs, resolve, search
+from ..operators import chunk as ch, codecs, embed, metrics, questions as qs, resolve, search
 from ..sources import corpus
 from . import grid
 
@@ -409,6 +409,26 @@ def ann_recall(t: _T) -> DataFrame:
     return search.recall_against(search.binary_search(t.embeddings, t.embeddings, K), search.dense(t.embeddings, t.embeddings, K, "dot"))
 
 
+@query()
+def product_topk(t: _T) -> DataFrame:
+    return codecs.product_search(t.embeddings, t.embeddings, codecs.product_fit(t.embeddings, 8, 64), K)
+
+
+@query()
+def ivf_topk(t: _T) -> DataFrame:
+    return codecs.ivf_search(t.embeddings, t.embeddings, K)
+
+
+@query("SELECT count(*) AS vectors, (count(*) * max(len(embedding)) * 4)::BIGINT AS exact_bytes, (count(*) * ceil(max(len(embedding)) / 8))::BIGINT AS coded_bytes, round(max(len(embedding)) * 4 / ceil(max(len(embedding)) / 8), 6) AS ratio FROM embeddings")
+def compression_report(t: _T) -> DataFrame:
+    return codecs.compression(t.embeddings, "binary")
+
+
+@query()
+def mine_triplets(t: _T) -> DataFrame:
+    return codecs.mine_triplets(t.qrels(), t.run())
+
+
 @query()
 def embedding_quality(t: _T) -> DataFrame:
     return search.embedding_quality(t.embeddings)
