@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 WORD = r"[\p{L}\p{N}_]+"
 #: Words, single marks, and white space: the matches tile a text.
 TILE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]|[\s\p{Z}]+"
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+_TOKEN = re.compile(r"[^\s\w]|\w+")
 
 Ranges = list[tuple[int, int]]
 
@@ -27,7 +27,7 @@ def tiles(text: Column) -> Column:
 
 def token_spans(text: str, tokenizer: str = "regex") -> Ranges:
     if tokenizer == "character":
-        return [(i, i + 1) for i in range(len(text))]
+        return list(zip(range(len(text)), range(1, len(text) + 1)))
     return [m.span() for m in _TOKEN.finditer(text)]
 
 
@@ -48,12 +48,11 @@ class Ruler:
         return self.starts[max(0, at - n)] if n and at and self.spans else start
 
 
-def trim(text: str, start: int, end: int) -> tuple[int, int]:
-    while start < end and text[start].isspace():
-        start += 1
-    while end > start and text[end - 1].isspace():
-        end -= 1
-    return start, end
+def trim(text: str, lo: int, hi: int) -> tuple[int, int]:
+    """The range without white space at its ends."""
+    piece = text[lo:hi]
+    lo += len(piece) - len(piece.lstrip())
+    return lo, lo + len(piece.strip())
 
 
 def outermost(ranges: Ranges) -> Ranges:
@@ -77,7 +76,7 @@ def fixed(text: str, size: int = 512, overlap: int | None = None, tokenizer: str
     return outermost(out)
 
 
-SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
+SEPARATORS = (*"\n\n|\n|. |? |! |; |, | ".split("|"), "")
 
 
 def recursive(text: str, size: int = 512, overlap: int | None = None, tokenizer: str = "regex", separators: tuple[str, ...] = SEPARATORS) -> Ranges:
@@ -149,8 +148,7 @@ def sentences(text: str) -> Ranges:
 def sentence_windows(text: str, window: int = 3, stride: int = 1) -> Ranges:
     parts, out = sentences(text), []
     for at in range(0, len(parts), stride):
-        group = parts[at : at + window]
-        out.append((group[0][0], group[-1][1]))
+        out.append((parts[at][0], parts[min(len(parts), at + window) - 1][1]))
         if at + window >= len(parts):
             break
     return outermost(out)
@@ -166,10 +164,10 @@ def paragraphs(text: str) -> Ranges:
     return [r for r in out if r[0] < r[1]]
 
 
-_ATX = re.compile(r"(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
-_UNDER = re.compile(r"(=+|-{2,})[ \t]*$")
+_ATX = re.compile(r"(#{1,6})[\t ]")
+_UNDER = re.compile(r"(?:--+|=+)[\t ]*$")
 _FENCE = re.compile(r"[ \t]*(```|~~~)")
-_KINDS = ((re.compile(r"[ \t]*\|.*\|[ \t]*$"), "table"), (re.compile(r"[ \t]*(?:[-*+]|\d+[.)])[ \t]+"), "list_item"), (re.compile(r"[ \t]*>"), "quote"))
+_KINDS = ((re.compile(r"[\t ]*\|(?:.*\|)[\t ]*$"), "table"), (re.compile(r"[\t ]*(?:\d+[).]|[*+-])[\t ]"), "list_item"), (re.compile(r"[ \t]*>"), "quote"))
 
 Block = tuple[int, int, str, int | None]
 
@@ -191,7 +189,7 @@ def markdown_blocks(text: str) -> list[Block]:
         lo, hi = at, at + len(line)
         at = hi + 1
         if fence is not None:
-            if line.strip().startswith(fence):
+            if line.strip()[:3] == fence:
                 out.append((fence_at, hi, "code", None))
                 fence = None
         elif m := _FENCE.match(line):

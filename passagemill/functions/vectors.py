@@ -30,7 +30,8 @@ def hashed(text: str, dimensions: int = 256, seed: int = 0) -> np.ndarray:
     """Words hashed to signed buckets by BLAKE2b, weighted 1 + ln(count), of length one."""
     out = np.zeros(dimensions, np.float32)
     for word, n in Counter(_WORD.findall(text.lower())).items():
-        h = hashlib.blake2b(f"{seed}\0{word}".encode(), digest_size=16).digest()
+        key = b"\0".join((str(seed).encode(), word.encode()))
+        h = hashlib.blake2b(key, digest_size=16).digest()
         out[int.from_bytes(h[:8], "big") % dimensions] += (1 if h[8] & 1 else -1) * (1 + math.log(n))
     norm = float(np.linalg.norm(out))
     return out / norm if norm else out

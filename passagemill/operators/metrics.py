@@ -43,7 +43,7 @@ def per_query(qrels: DataFrame, run: DataFrame, ks: Sequence[int] = KS) -> DataF
     )
 
 
-METRICS = ("recall", "precision", "hit_rate", "mrr", "map", "ndcg")
+METRICS = ("ndcg", "map", "mrr", "recall", "precision", "hit_rate")
 
 
 def evaluate(qrels: DataFrame, run: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
@@ -90,19 +90,19 @@ def compare(left: DataFrame, right: DataFrame, metric: str, k: int) -> DataFrame
 
 def bootstrap(values: np.ndarray, resamples: int = 2000, seed: int = 0, confidence: float = 0.95) -> tuple[float, float, float]:
     """Mean, and the interval of the means of resamples."""
-    rng = np.random.default_rng(seed)
-    means = values[rng.integers(0, len(values), (resamples, len(values)))].mean(axis=1)
-    tail = (1 - confidence) / 2
-    return float(values.mean()), float(np.quantile(means, tail)), float(np.quantile(means, 1 - tail))
+    n = len(values)
+    drawn = np.random.default_rng(seed).integers(0, n, (resamples, n))
+    low, high = np.quantile(values[drawn].mean(1), [0.5 - confidence / 2, 0.5 + confidence / 2])
+    return float(values.mean()), float(low), float(high)
 
 
 def sign_flip(differences: np.ndarray, resamples: int = 2000, seed: int = 0) -> float:
     """p of the mean difference, with signs flipped at random; 1 for equal scores."""
-    if not np.any(differences):
+    if not differences.any():
         return 1.0
-    rng = np.random.default_rng(seed)
-    signs = rng.choice([-1.0, 1.0], (resamples, len(differences)))
-    return float(((np.abs((signs * differences).mean(axis=1)) >= abs(differences.mean()) - 1e-12).sum() + 1) / (resamples + 1))
+    flips = np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (resamples, len(differences)))
+    extreme = np.abs(flips @ differences) >= abs(differences.sum()) - 1e-12 * len(differences)
+    return (1 + int(extreme.sum())) / (1 + resamples)
 
 
 def significance(left: DataFrame, right: DataFrame, metric: str, k: int, resamples: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 Model = Callable[[Sequence[str]], Sequence[str]]
 
 _FENCED = re.compile(r"`{3}\w*\s*(.*?)`{3}", re.S)
-_BULLET = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s*")
+_BULLET = re.compile(r"\A\s*(?:\d+[).]|[•*-])\s*")
 
 
-def parse_list(reply: str | None, most: int | None = None) -> list[str]:
+def parse_list(reply: str | None, most: int | None = None) -> list:
     """The texts of a reply: a JSON array, fenced or not, or lines with or without bullets; each once, in order."""
     body = (reply or "").strip()
     if m := _FENCED.search(body):

@@ -87,12 +87,17 @@ def mmr_rerank(hits: DataFrame, chunks: DataFrame, k: int = 10, diversity: float
     return j.groupBy("query_id").applyInPandas(run, "query_id bigint, chunk_id string, score double, rank int")
 
 
+def _phrases(*parts: str) -> str:
+    """Any of the phrases between word borders, in any case; Java and RE2 read it alike."""
+    return r"(?i)\b(" + "|".join(parts) + r")\b"
+
+
 PATTERNS = (
-    ("summarisation", r"(?i)\b(in general|describe the|outline|overview|what are the (key|main)|summar\w*)\b"),
-    ("comparative", r"(?i)\b((less|more|lower|higher) than|which is (cheaper|better|less|more)|vs\.?|versus|difference between|comparison|compare)\b"),
-    ("tabular", r"(?i)\b(annual|column|cost|fee|monthly|per month|price|rate|row|schedule of|table|tier)\b"),
-    ("numeric", r"(?i)\b(how (much|many|long|often|far)|what percentage|number of|within \d+|\d+\s*(days?|months?|years?|%))\b"),
-    ("multi_hop", r"(?i)\b(and (also|then)|after .+ what|both .+ and|in each|across (all|both)|for every)\b"),
+    ("summarisation", _phrases("overview", "outline", r"summar\w*", "describe the", "in general", "what are the (main|key)")),
+    ("comparative", _phrases("compare", "comparison", "difference between", "versus", r"vs\.?", "(more|less|higher|lower) than", "which is (better|cheaper|more|less)")),
+    ("tabular", _phrases("table", "tier", "row", "column", "rate", "price", "fee", "cost", "monthly", "annual", "per month", "schedule of")),
+    ("numeric", _phrases("number of", "what percentage", "how (far|long|many|much|often)", r"\d+\s*(%|years?|months?|days?)", r"within \d+")),
+    ("multi_hop", _phrases("for every", "in each", "across (both|all)", "both .+ and", "after .+ what", "and (then|also)")),
 )
 
 
@@ -115,7 +120,7 @@ def dangling(question: Column) -> Column:
     """Whether the first pronoun has nothing before it that it could mean: an article and a noun, or a capitalised word
     that is not the first."""
     before = F.regexp_extract(question, r"(?is)^(.*?)" + DANGLING[4:], 1)
-    named = before.rlike(r"(?i)\b(the|a|an|this|these)\s+\w+") | F.regexp_replace(before, r"^\s*\S+\s*", "").rlike(r"\b[A-Z][a-z]+\b")
+    named = before.rlike(r"(?i)\b(these|this|an?|the)\s+\w") | F.regexp_replace(before, r"^\s*\S+\s*", "").rlike(r"\b[A-Z][a-z]{1,}\b")
     return question.rlike(DANGLING) & ~named
 
 
@@ -167,7 +172,7 @@ def keyword_probes(chunks: DataFrame, terms: int = 6) -> DataFrame:
     """(chunk_id, question, quote): the words of over three letters of each chunk's longest sentence that fewest chunks have."""
     lists = chunks.select("chunk_id", "text", F.array_distinct(tx.words(F.col("text"))).alias("w"))
     df = lists.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    parts = F.transform(F.filter(F.regexp_extract_all(F.col("text"), F.lit(r"[^.!?\n]+[.!?]?"), 0), lambda s: F.length(F.trim(s)) > 0), F.trim)
+    parts = F.transform(F.filter(F.regexp_extract_all(F.col("text"), F.lit(r"[^\n?!.]+[?!.]?"), 0), lambda s: F.length(F.trim(s)) > 0), F.trim)
     longest = F.array_max(F.transform(parts, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"]
     picked = lists.select("chunk_id", longest.alias("quote")).where("quote is not null")
     each = picked.select("chunk_id", "quote", F.explode(F.array_distinct(tx.words(F.col("quote")))).alias("word")).where(F.length("word") > 3).join(df, "word")

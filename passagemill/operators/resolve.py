@@ -68,7 +68,10 @@ def occurrences(text: str, quote: str) -> list[int]:
     return out
 
 
-def collapse(text: str) -> tuple[str, list[int]]:
+Collapsed = tuple[str, list[int]]
+
+
+def collapse(text: str) -> Collapsed:
     """Runs of white space as one space, and where each character left comes from."""
     out, at = [], []
     for i, c in enumerate(text):

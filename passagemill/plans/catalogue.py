@@ -122,13 +122,7 @@ _CTE: dict[str, str] = {
     "near": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM far QUALIFY rank <= 10",
     "groups": 'SELECT *, ((row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end") - 1) // 4)::INT AS parent FROM chunks',
     "pmap": """SELECT chunk_id, doc_id || ':' || min("start") OVER w || '-' || max("end") OVER w || '#parent' AS parent_id FROM groups WINDOW w AS (PARTITION BY doc_id, parent)""",
-    "typed": r"""SELECT item_id AS query_id, CASE
-    WHEN regexp_matches(text, '(?i)\b(in general|describe the|outline|overview|what are the (key|main)|summar\w*)\b') THEN 'summarisation'
-    WHEN regexp_matches(text, '(?i)\b((less|more|lower|higher) than|which is (cheaper|better|less|more)|vs\.?|versus|difference between|comparison|compare)\b') THEN 'comparative'
-    WHEN regexp_matches(text, '(?i)\b(annual|column|cost|fee|monthly|per month|price|rate|row|schedule of|table|tier)\b') THEN 'tabular'
-    WHEN regexp_matches(text, '(?i)\b(how (much|many|long|often|far)|what percentage|number of|within \d+|\d+\s*(days?|months?|years?|%))\b') THEN 'numeric'
-    WHEN regexp_matches(text, '(?i)\b(and (also|then)|after .+ what|both .+ and|in each|across (all|both)|for every)\b') THEN 'multi_hop'
-    ELSE 'factoid' END AS qtype FROM benchmark""",
+    "typed": "SELECT item_id AS query_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{t}'" for t, p in qs.PATTERNS) + " ELSE 'factoid' END AS qtype FROM benchmark",
 }
 
 

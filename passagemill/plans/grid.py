@@ -43,7 +43,10 @@ def coerce(value: str) -> Any:
     return value.strip()
 
 
-def parse_spec(axis: str, spec: str) -> tuple[str, dict[str, Any]]:
+Spec = tuple[str, dict[str, Any]]
+
+
+def parse_spec(axis: str, spec: str) -> Spec:
     """name[:first,key=value,...]: the longest registered name that the specification begins with, and its parameters."""
     names = [n for n in REGISTRY[axis] if spec == n or spec.startswith(n + ":")]
     if not names:
@@ -134,7 +137,10 @@ def canonical_frame(grid: DataFrame) -> DataFrame:
     return out.groupBy(*grid.columns).agg(F.count("*").alias("stands_for"))
 
 
-def deduplicate(configs: Sequence[Config]) -> tuple[list[Config], dict[str, int]]:
+Account = dict[str, int]
+
+
+def distinct_runnable(configs: Sequence[Config]) -> tuple[list[Config], Account]:
     """Runnable, canonical, distinct configurations in order, and the account: given, impossible, repeated, kept."""
     ok = [canonical(c) for c in configs if runnable(c)]
     kept = list(dict.fromkeys(ok))
@@ -212,7 +218,7 @@ class Runner:
     def sweep(self, configs: Sequence[Config], seconds: float | None = None) -> tuple[DataFrame | None, list[dict]]:
         """All results, and what became of each configuration: a failing one is a warning, and past the budget none starts."""
         out, notes, began = None, [], time.monotonic()
-        for c in deduplicate(configs)[0]:
+        for c in distinct_runnable(configs)[0]:
             if seconds is not None and time.monotonic() - began > seconds:
                 notes.append({"config": c.id, "status": "budget"})
                 continue

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-PATTERNS = ("*.txt", "*.text", "*.md", "*.markdown", "*.html", "*.htm", "*.pdf", "*.docx", "*.pptx", "*.xlsx")
+PATTERNS = tuple(f"*.{suffix}" for suffix in "docx htm html markdown md pdf pptx text txt xlsx".split())
 TOOL_DIRS = ("node_modules", "__pycache__", "venv", "dist", "build", "target", "site-packages")
 MEDIA = {"txt": "text", "text": "text", "log": "text", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "pdf": "pdf", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx"}
 

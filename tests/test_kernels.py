@@ -177,7 +177,7 @@ def test_specs():
     with pytest.raises(grid.SpecError):
         grid.parse_spec("chunker", "nothing:1")
     m = grid.Matrix({"index": ("bm25", "dense"), "embedder": (None, "tfidf")})
-    kept, account = grid.deduplicate(m.factorial())
+    kept, account = grid.distinct_runnable(m.factorial())
     assert account == {"given": 4, "impossible": 1, "repeated": 1, "kept": 2} and len(m.one_at_a_time()) == 3 and len(kept) == 2
 
 

@@ -35,10 +35,12 @@ def test_csv(spark, tmp_path):
 
 def test_beir_and_nested(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"_id": "1", "text": "one"}\n{"_id": "2", "text": "two"}\n')
-    (tmp_path / "r.tsv").write_text("query-id\tcorpus-id\tscore\n1\tb\t1\n1\ta\t2\n2\tc\t0\n")
+    judged = [("query-id", "corpus-id", "score"), ("1", "b", "1"), ("1", "a", "2"), ("2", "c", "0")]
+    (tmp_path / "r.tsv").write_text("".join("\t".join(row) + "\n" for row in judged))
     assert [(r.id, list(r.doc_ids)) for r in evalset.read_beir(spark, str(tmp_path / "q.jsonl"), str(tmp_path / "r.tsv")).collect()] == [("1", ["a", "b"])]
-    tests = {"tests": [{"query": "q", "snippets": [{"file_path": "f", "span": [1, 4]}, {"file_path": "f", "span": [4, 4]}, {"span": [1, 2]}]}, {"query": "", "snippets": [{"file_path": "f", "span": [0, 1]}]}]}
-    (tmp_path / "n.json").write_text(json.dumps(tests))
+    found = [dict(file_path="f", span=[1, 4]), dict(file_path="f", span=[4, 4]), dict(span=[1, 2])]
+    nested = [dict(query="q", snippets=found), dict(query="", snippets=found[:1])]
+    (tmp_path / "n.json").write_text(json.dumps(dict(tests=nested)))
     gold, skipped = evalset.read_legalbench(spark, str(tmp_path / "n.json"))
     assert [(r.id, r.start, r.end) for r in gold.collect()] == [("q1", 1, 4)]
     assert {r.reason: r["count"] for r in skipped.collect()} == {"empty span": 1, "no file": 1, "no question": 1}
