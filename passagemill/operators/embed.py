@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import hashed
@@ -32,8 +32,8 @@ def tfidf_rows(table: DataFrame, idf: DataFrame, id_col: str = "chunk_id") -> Da
     """(id, term, weight): (1 + ln f) * idf, rows of length one. Rows without a known term are absent. idf has at most
     as many rows as tfidf_fit() has features, whatever the corpus, and is broadcast."""
     raw = _terms(table, id_col).join(F.broadcast(idf), "term").select(id_col, "term", ((1.0 + F.log("f")) * F.col("idf")).alias("w"))
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(id_col)))
+    return raw.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
 def lengths(table: DataFrame, id_col: str = "chunk_id") -> DataFrame:

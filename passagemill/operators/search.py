@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
+from ..runtime import cut
 
 K1, B = 1.5, 0.75
 
@@ -31,12 +32,14 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b:
     """chunks(chunk_id, text), queries(query_id, text) -> (query_id, chunk_id, score, rank). A term counts as often as
     the query repeats it; chunks without a term of the query are absent.
 
-    Only postings of terms that some query has are built: chunk terms meet the distinct query terms first."""
+    One pass over the texts makes the postings of terms that some query has, and under the empty term one for each
+    chunk with its length; document frequencies, sizes and scores come from these."""
     asked = _terms(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    sized = chunks.select("chunk_id", tx.words(F.col("text")).alias("w")).select("chunk_id", "w", F.size("w").alias("len"))
-    stats = sized.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avgdl"))
-    terms = sized.select("chunk_id", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    postings = terms.groupBy("chunk_id", "len", "term").agg(F.count("*").cast("double").alias("f"))
+    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    sized = chunks.select("chunk_id", tx.words(F.col("text")).alias("w")).where("w is not null").select("chunk_id", F.size("w").alias("len"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
+    rows = cut(sized.join(wanted, "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count("*").cast("double").alias("f")))
+    stats = rows.where("term = ''").agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avgdl"))
+    postings = rows.where("term <> ''")
     df = postings.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = df.crossJoin(stats).select("term", "avgdl", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     norm = F.col("f") + k1 * (1.0 - b + b * F.col("len") / F.col("avgdl"))
@@ -46,15 +49,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b:
 
 
 def tfidf(table: DataFrame, id_col: str = "chunk_id", features: int = 4096) -> DataFrame:
-    """(id, term, weight): (1 + ln f) * (ln((1 + N) / (1 + df)) + 1), rows of length one, over the terms with the most
-    chunks, ties by term."""
-    n = table.agg(F.count("*").cast("double").alias("n"))
-    tf = _terms(table, id_col).groupBy(id_col, "term").agg(F.count("*").cast("double").alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df")).orderBy(F.desc("df"), "term").limit(features)
-    idf = df.crossJoin(n).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    raw = tf.join(idf, "term").select(id_col, "term", ((1.0 + F.log("f")) * F.col("idf")).alias("w"))
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    """(id, term, weight) of a table under its own document frequencies; see embed."""
+    from .embed import tfidf_fit, tfidf_rows
+
+    return tfidf_rows(table, tfidf_fit(table, id_col, features), id_col)
 
 
 def sparse_dot(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
