@@ -11,7 +11,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .search import dense, dot, doubles, top_k
+from .search import _blocks, dense, doubles, top_k
+
+#: Queries whose exact neighbours decide how deep the compressed searches look.
+SAMPLE = 256
 
 
 def _kmeans(vectors: DataFrame, k: int, iterations: int, seed: int) -> np.ndarray:
@@ -32,8 +35,40 @@ def product_fit(vectors: DataFrame, subspaces: int = 8, centroids: int = 256, it
     return np.stack([np.concatenate([p, np.full((most - len(p), width), np.inf)]) for p in part])
 
 
-def product_search(vectors: DataFrame, queries: DataFrame, codebook: np.ndarray, k: int = 10) -> DataFrame:
-    """(query_id, vec_id, score, rank): top k by the product of the query and a vector's nearest centroids."""
+def _sample(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """The queries with the smallest hashed ids, and whether these are all."""
+    return queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE), queries.count() <= SAMPLE
+
+
+def _least(needs: pd.DataFrame, recall: float, whole: bool) -> int | None:
+    """needs(query_id, need: the depth at which an exact neighbour is found) -> the least depth of that mean recall, less
+    three standard errors unless the queries are all there are; None if no depth has it."""
+    for depth in sorted(needs["need"].replace(np.inf, np.nan).dropna().unique()):
+        each = (needs["need"] <= depth).groupby(needs["query_id"]).mean()
+        error = 0.0 if whole or len(each) < 2 else 3 * float(each.std()) / len(each) ** 0.5
+        if each.mean() - error >= recall:
+            return int(depth)
+    return None
+
+
+def product_depth(vectors: DataFrame, queries: DataFrame, codebook: np.ndarray, k: int = 10, recall: float = 0.9) -> int:
+    """The shortlist that product_search() has to rescore for this recall of the exact product, by sampled queries."""
+    n, (asked, whole) = vectors.count(), _sample(queries)
+    exact = dense(vectors, asked, k, "dot").select("query_id", "vec_id").toPandas()
+    deep = max(k, 512)
+    while len(exact) and deep < n:
+        ranks = product_search(vectors, asked, codebook, deep).select("query_id", "vec_id", "rank").toPandas()
+        needs = exact.merge(ranks, "left", ["query_id", "vec_id"]).rename(columns={"rank": "need"})
+        found = _least(needs.fillna({"need": np.inf}), recall, whole)
+        if found is not None:
+            return max(k, found)
+        deep *= 4
+    return max(k, n)
+
+
+def product_search(vectors: DataFrame, queries: DataFrame, codebook: np.ndarray, k: int = 10, rescore: int = 0) -> DataFrame:
+    """(query_id, vec_id, score, rank): top k by the product of the query and a vector's nearest centroids; with rescore,
+    the best so many of each block of vectors, and so of all, are ranked again by the original product."""
     subspaces, _, width = codebook.shape
     shared = vectors.sparkSession.sparkContext.broadcast(codebook)
 
@@ -44,16 +79,47 @@ def product_search(vectors: DataFrame, queries: DataFrame, codebook: np.ndarray,
                 part = batch.slice(lo, 1024)
                 x = np.asarray(part.column(1).flatten()).reshape(part.num_rows, subspaces, width)
                 near = [((x[:, i, None] - book[None, i]) ** 2).sum(-1).argmin(1) for i in range(subspaces)]
-                y = np.concatenate([book[i, n] for i, n in enumerate(near)], axis=1)
+                y = np.concatenate([book[i, n] for i, n in enumerate(near)] + ([x.reshape(len(x), -1)] if rescore else []), axis=1)
                 firsts = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)[: len(y) + 1])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(firsts, pa.array(y.ravel()))], ["vec_id", "embedding"])
 
     coded = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), doubles("embedding")).mapInArrow(decoded, "vec_id bigint, embedding array<double>")
-    return dense(coded, queries, k, "dot")
-
+    if not rescore:
+        return dense(coded, queries, k, "dot")
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 100, probes: int = 8, seed: int = 0) -> DataFrame:
-    """Top k by cosine among the probes nearest inverted lists. Lists are at most one for 39 vectors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                asked, both = np.frombuffer(row["qm"], np.float64).reshape(-1, row["qd"]), np.frombuffer(row["m"], np.float64).reshape(-1, row["d"])
+                y, x = both[:, : row["qd"]], both[:, row["qd"] :]
+                asked_ids, xi = np.array(row["qids"]), np.array(row["ids"])
+                for lo in range(0, len(asked), 512):
+                    q, qi = asked[lo : lo + 512], asked_ids[lo : lo + 512]
+                    s = np.round(q @ y.T, 6)
+                    s[qi[:, None] == xi] = -np.inf
+                    short = np.sort(np.argsort(-s, axis=1, kind="stable")[:, :rescore], 1) if rescore < len(xi) else np.tile(np.arange(len(xi)), (len(qi), 1))
+                    exact = np.where(np.take_along_axis(s, short, 1) > -np.inf, np.round(np.take_along_axis(q @ x.T, short, 1), 6) + 0.0, -np.inf)
+                    yield _kept(qi, xi, exact, k, short)
+
+    n, nq = vectors.count(), queries.count()
+    corpus = _blocks(coded, "vec_id", max(1, n // 4096))
+    asked = _blocks(queries, "vec_id", max(1, nq // 4096)).select(F.col("ids").alias("qids"), F.col("m").alias("qm"), F.col("d").alias("qd"))
+    found = asked.crossJoin(corpus).select("qids", "qm", "qd", "ids", "m", "d").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return top_k(found, k, "vec_id")
+
+
+def _kept(qi: np.ndarray, xi: np.ndarray, scores: np.ndarray, k: int, columns: np.ndarray | None = None) -> pa.RecordBatch:
+    """(query_id, vec_id, score): the k best of each row of scores, the first of equals; columns: the vectors' places."""
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    best = np.take_along_axis(scores, order, 1)
+    place = order if columns is None else np.take_along_axis(columns, order, 1)
+    ok = (best > -np.inf).ravel()
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[ok]), pa.array(xi[place].ravel()[ok]), pa.array(best.ravel()[ok])], ["query_id", "vec_id", "score"])
+
+
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 100, probes: int = 8, seed: int = 0, recall: float = 0.9) -> DataFrame:
+    """Top k by cosine among the probes nearest inverted lists, or more, as sampled queries need for the recall. Lists are
+    at most one for 39 vectors."""
     from .search import normalise
 
     unit = vectors.select("vec_id", normalise("embedding").alias("v"))
@@ -61,22 +127,57 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int =
     centres = _kmeans(unit, max(1, min(lists, n // 39)), 12, seed)
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
+    def order(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.argsort(((c**2).sum(1) - 2 * (x @ c.T)), axis=1, kind="stable")
+
+    def needed() -> int:
+        """Probes that the sampled queries need to meet the lists of their exact neighbours."""
+        asked, whole = _sample(queries)
+        exact = dense(vectors, asked, k).select("query_id", "vec_id").toPandas()
+        if not len(exact):
+            return probes
+        spark = vectors.sparkSession
+        near = unit.join(F.broadcast(spark.createDataFrame(exact[["vec_id"]].drop_duplicates(), "vec_id bigint")), "vec_id", "left_semi").toPandas()
+        mine = asked.select("vec_id", normalise("embedding").alias("v")).toPandas()
+        home = dict(zip(near["vec_id"], order(np.array(near["v"].tolist()), centres)[:, 0]))
+        turn = dict(zip(mine["vec_id"], np.argsort(order(np.array(mine["v"].tolist()), centres), axis=1)))
+        exact["need"] = [1.0 + turn[q][home[v]] for q, v in zip(exact["query_id"], exact["vec_id"])]
+        return _least(exact, recall, whole) or len(centres)
+
+    most = min(max(probes, needed()), len(centres))
+
     def nearest(most: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = shared.value
             for batch in batches:
                 x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                at = np.argsort(((c**2).sum(1) - 2 * (x @ c.T)), axis=1, kind="stable")[:, :most]
+                at = order(x, c)[:, :most]
                 rows = np.repeat(np.arange(len(x)), at.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(at.ravel())], ["vec_id", "v", "list"])
 
         return run
 
+    def within(asked: pa.Table, held: pa.Table) -> pa.Table:
+        """The k best of a list for each query that probes it."""
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        if not asked.num_rows or not held.num_rows:
+            return schema.empty_table()
+        qi, xi = asked["vec_id"].to_numpy(), held["vec_id"].to_numpy()
+        q, x = (np.asarray(t["v"].combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (asked, held))
+        by = np.argsort(xi, kind="stable")
+        xi, x = xi[by], x[by]
+        parts = []
+        for lo in range(0, len(q), 1024):
+            s = np.round(q[lo : lo + 1024] @ x.T, 6) + 0.0
+            s[qi[lo : lo + 1024, None] == xi] = -np.inf
+            parts.append(_kept(qi[lo : lo + 1024], xi, s, k))
+        return pa.Table.from_batches(parts).cast(schema)
+
     schema = "vec_id bigint, v array<double>, list bigint"
     held = unit.mapInArrow(nearest(1), schema)
-    asked = queries.select("vec_id", normalise("embedding").alias("v")).mapInArrow(nearest(min(probes, len(centres))), schema).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "list")
-    pairs = asked.join(held, "list").where("query_id <> vec_id")
-    return top_k(pairs.select("query_id", "vec_id", F.round(dot("q", "v"), 6).alias("score")), k, "vec_id")
+    asked = queries.select("vec_id", normalise("embedding").alias("v")).mapInArrow(nearest(most), schema)
+    found = asked.groupBy("list").cogroup(held.groupBy("list")).applyInArrow(within, "query_id bigint, vec_id bigint, score double")
+    return top_k(found, k, "vec_id")
 
 
 def compression(vectors: DataFrame, codec: str, subspaces: int = 8) -> DataFrame:

@@ -405,7 +405,8 @@ def ann_recall(t: _T) -> DataFrame:
 
 @query()
 def product_topk(t: _T) -> DataFrame:
-    return codecs.product_search(t.embeddings, t.embeddings, codecs.product_fit(t.embeddings, 8, 64), K)
+    codebook = codecs.product_fit(t.embeddings, 8)
+    return codecs.product_search(t.embeddings, t.embeddings, codebook, K, codecs.product_depth(t.embeddings, t.embeddings, codebook, K))
 
 
 @query()

@@ -65,6 +65,19 @@ def test_product_and_ivf_recall(spark, vectors):
     assert codecs.compression(vectors, "binary").first().ratio == 32
 
 
+@pytest.mark.parametrize("name,metric", [("product_topk", "dot"), ("ivf_topk", "cosine")])
+def test_registered_recall(spark, name, metric):
+    """The registered searches, every row a query."""
+    from passagemill.plans import catalogue
+
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    found = catalogue.QUERIES[name](spark, folder)
+    recall = search.recall_against(found, search.dense(rows, rows, 10, metric)).first().recall
+    print(name, recall)
+    assert recall >= 0.9
+
+
 def test_adapter_moves_queries_towards_answers(spark):
     rng = np.random.default_rng(5)
     q, turn = rng.standard_normal((200, 6)), np.linalg.qr(rng.standard_normal((6, 6)))[0]
