@@ -7,7 +7,10 @@ they share those k-mers and their order, which makes agreement follow edit simil
 Documents that agree on any of m sketches are candidates; a banded bit-parallel alignment of the two whole
 word sequences verifies each one: near duplicates have 1 - edits / longer length >= threshold.
 
-Plan: one Arrow pass over the texts gives (id, digest of the words, m sketches). Equal digests are copies
+A text of few words has few k-mers, and scattered edits may leave none. Texts of up to MIDDLE words have sketches of pairs
+of words besides; for those of up to SHORT words, keys of their pieces find every pair of them that is near enough.
+
+Plan: one Arrow pass over the texts gives (id, digest of the words, sketches and keys). Equal digests are copies
 without a look at the text; one representative of each goes on. Bucket = (sketch number, sketch). Round one
 aligns every member of a bucket with the smallest id in it, which joins true groups of any size with
 linearly many alignments; round two aligns the pairs of a bucket that are still in different components, so
@@ -29,7 +32,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ._common import cut, free_names, frugal, named, pick, sized, utf8
 from .components import connected_components
 
-K, ELL, SKETCHES, THRESHOLD = 3, 2, 32, 0.7
+K, ELL, SKETCHES, THRESHOLD = 3, 2, 64, 0.7
+#: Texts of so many words at most have sketches of pairs of words too, half as many; SHORT words and fewer, exact keys.
+MIDDLE, SHORT = 64, 12
 _SPACE = 0x20
 #: ASCII letters in lower case, digits and every byte of other scripts stay; all else separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else _SPACE for c in range(256))
@@ -144,7 +149,22 @@ def order_minhash(kmers: np.ndarray, sizes: np.ndarray, ell: int, m: int) -> np.
     return out
 
 
-def _sketch_batches(k: int, ell: int, m: int):
+def piece_keys(words: list[int], threshold: float) -> set[int]:
+    """Keys of which two texts of up to SHORT words share one if they are as similar as the threshold asks: if e edits
+    are allowed, one of e + 1 pieces of the longer text is whole in the other, shifted by what the edits allow."""
+    n, out = len(words), set()
+    for longer in range(n, SHORT + 1):
+        edits, more = int((1 - threshold) * longer + 1e-9), longer - n
+        if more > edits:
+            continue
+        cuts = [i * longer // (edits + 1) for i in range(edits + 2)]
+        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            for at in range(max(0, lo - (edits + more) // 2), min(n - (hi - lo), lo + (edits - more) // 2) + 1):
+                out.add(hash((longer, i, *words[at : at + hi - lo])))
+    return out
+
+
+def _sketch_batches(k: int, ell: int, m: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -159,7 +179,16 @@ def _sketch_batches(k: int, ell: int, m: int):
                     sketches = order_minhash(*_labelled(words, counts, k), ell, m)
                     raw = part.tobytes().translate(WORD_BYTES)
                     digests = [hashlib.blake2b(b" ".join(raw[off[i] : off[i + 1]].split()), digest_size=16).digest() for i in has]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(has) * m + 1, m, dtype=np.int32)), pa.array(sketches.view(np.int64).ravel()))
+                    keys = list(sketches.view(np.int64))
+                    few = np.flatnonzero((counts > 0) & (counts <= MIDDLE))
+                    if len(few):
+                        inner, place = words[np.repeat(counts <= MIDDLE, counts)], np.searchsorted(has, few)
+                        pairs = _mix(order_minhash(*_labelled(inner, counts[few], 2), ell, max(1, m // 2)) ^ np.uint64(_BASE)).view(np.int64)
+                        for i, own, row in zip(place.tolist(), np.split(inner, np.cumsum(counts[few])[:-1]), pairs):
+                            pieces = sorted(piece_keys(own.tolist(), threshold)) if len(own) <= SHORT else []
+                            keys[i] = np.concatenate([keys[i], row, np.array(pieces, np.int64)])
+                    firsts = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(firsts), pa.array(np.concatenate(keys)))
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(has)), pa.array(digests, pa.binary()), pa.array(counts[has].astype(np.int32)), lists], ["id", "digest", "n", "sketches"])
                 lo = hi
 
@@ -321,13 +350,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, duplicate_of): every document that is not the smallest id of its group, and that smallest id.
 
     Groups are the components of verified pairs and of texts with equal words. Null texts, texts without
-    a word, and rows without an id are in no group; a text of fewer than k words is one k-mer, and so matches
-    only equal words. Repeated rows are one document; an id with several texts is in the groups of each.
+    a word, and rows without an id are in no group. Repeated rows are one document; an id with several texts is in the groups of each.
     Long texts count whole; extra columns, whatever their names, are ignored; an empty table gives no row.
     """
     texts = pick(docs, id=id_col, text=text_col).where("id is not null and text is not null")
     texts = texts.select(F.col("id").cast("bigint").alias("id"), "text")
-    sketched = texts.mapInArrow(frugal(_sketch_batches(k, ell, sketches)), "id bigint, digest binary, n int, sketches array<bigint>")
+    sketched = texts.mapInArrow(frugal(_sketch_batches(k, ell, sketches, threshold)), "id bigint, digest binary, n int, sketches array<bigint>")
     sketched = cut(sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.collect_set("id").alias("ids")))
     copies = sketched.where("size(ids) > 1").select(F.col("rep").alias("a"), F.explode("ids").alias("b")).where("a <> b")
     rows = sketched.select("rep", "n", F.explode("sketches").alias("bucket"))

@@ -162,6 +162,31 @@ def test_near_recall(docs, share, least):
     assert not got - want and len(got & want) >= least * len(want) and len(want) > 80
 
 
+@pytest.mark.parametrize("size,least", [(4, 1.0), (5, 1.0), (7, 1.0), (10, 1.0), (12, 1.0), (14, 0.9), (20, 0.9), (30, 0.9), (60, 0.9), (70, 0.9), (250, 0.9)])
+def test_near_recall_at_threshold(docs, size, least):
+    """Pairs with as many scattered edits as the threshold allows: exact for few words, and found mostly for more."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    data = []
+    for i in range(300):
+        base = [word() for _ in range(size)]
+        edited = list(base)
+        for j in rng.sample(range(size), int(0.3 * size + 1e-9)):
+            edited[j] = word()
+        data += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited))]
+    got = set(map(tuple, omh.near_duplicates(docs(data)).collect()))
+    want = {(i + 1, i) for i in range(0, len(data), 2)}
+    print(size, len(got & want) / len(want))
+    assert not got - want and len(got & want) >= least * len(want)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=omh.SHORT), st.lists(st.integers(0, 3), min_size=1, max_size=omh.SHORT))
+def test_piece_keys_never_lose_a_pair(a, b):
+    if a != b and omh.edit_similarity(a, b, omh.THRESHOLD):
+        assert omh.piece_keys(a, omh.THRESHOLD) & omh.piece_keys(b, omh.THRESHOLD)
+
+
 def test_near_shared_passage(docs):
     """Documents that share a passage, in a bucket of many, are no duplicates; two copies among them are."""
     rng = random.Random(5)
