@@ -13,6 +13,7 @@ Two scans of the pages, one to count, one to extract; what shuffles is counts by
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ CONSTANT, MIN_PAGES = 0.8, 3
 BROADCAST_HOSTS = 2000
 #: Elements nested deeper become siblings at this depth.
 MAX_DEPTH = 150
-#: Children lists with more pairs than this are matched in order by shape.
+#: Children lists with more pairs than this are matched in blocks of rows, from rows that are kept between them.
 MAX_PAIRS = 4_000_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
@@ -149,33 +150,39 @@ class Trees:
         total = sum(self.sizes[k] for k in ka[:lo]) + sum(self.sizes[k] for k in ka[m - tail :] if tail)
         a, b = ka[lo : m - tail], kb[lo : n - tail]
         if a and b:
-            if len(a) * len(b) > MAX_PAIRS:
-                j = 0
-                for i, x in enumerate(a):
-                    try:
-                        j = b.index(x, j) + 1
-                    except ValueError:
-                        continue
-                    out[lo + i] = lo + j - 1
-                    total += self.sizes[x]
-                return total, out
             ia, ib = {k: i for i, k in enumerate(dict.fromkeys(a))}, {k: i for i, k in enumerate(dict.fromkeys(b))}
             each = np.array([[self.weight(x, y) for y in ib] for x in ia], np.int64)
             cols = np.array([ib[y] for y in b])
-            best = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-            for i, x in enumerate(a):
-                row = np.maximum(best[i, 1:], best[i, :-1] + each[ia[x]][cols])
-                best[i + 1, 1:] = np.maximum.accumulate(row)
-            i, j = len(a), len(b)
-            total += int(best[i, j])
-            while i and j:
-                if best[i, j] == best[i - 1, j]:
-                    i -= 1
-                elif best[i, j] == best[i, j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    out[lo + i] = lo + j
+            step = len(a) if len(a) * len(b) <= MAX_PAIRS else math.isqrt(len(a)) + 1
+            starts = range(0, len(a), step)
+
+            def table(first: np.ndarray, start: int) -> np.ndarray:
+                part = a[start : start + step]
+                best = np.zeros((len(part) + 1, len(b) + 1), np.int64)
+                best[0] = first
+                for i, x in enumerate(part):
+                    row = np.maximum(best[i, 1:], best[i, :-1] + each[ia[x]][cols])
+                    best[i + 1, 1:] = np.maximum.accumulate(row)
+                return best
+
+            marks = [np.zeros(len(b) + 1, np.int64)]
+            for start in starts:
+                best = table(marks[-1], start)
+                marks.append(best[-1].copy())
+            j = len(b)
+            total += int(best[-1, j])
+            for at in reversed(range(len(starts))):
+                if at + 1 < len(starts):
+                    best = table(marks[at], starts[at])
+                i = len(best) - 1
+                while i and j:
+                    if best[i, j] == best[i - 1, j]:
+                        i -= 1
+                    elif best[i, j] == best[i, j - 1]:
+                        j -= 1
+                    else:
+                        i, j = i - 1, j - 1
+                        out[lo + starts[at] + i] = lo + j
         return total, out
 
     def number(self, root: tuple) -> tuple:

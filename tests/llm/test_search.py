@@ -36,6 +36,18 @@ def test_tree_matching(a, b):
         assert 1 + sum(match(a[1][i], b[1][j]) for i, j in pairs) == match(a, b)
 
 
+def test_tree_matching_of_long_lists(monkeypatch):
+    """Children of one label and different inner shapes are aligned, however many there are."""
+    rng = random.Random(3)
+    trees = wrapper.Trees()
+    text = trees.intern("#text", ())
+    leaf = [trees.intern(c, (text,) * n) for c in "ab" for n in range(1, 6)]
+    x, y = (trees.intern("ul", tuple(rng.choice(leaf) for _ in range(2_100))) for _ in range(2))
+    long = trees._match(trees.shapes[x][1], trees.shapes[y][1])
+    monkeypatch.setattr(wrapper, "MAX_PAIRS", 10**9)
+    assert long == trees._match(trees.shapes[x][1], trees.shapes[y][1])
+
+
 def texts(page):
     trees = wrapper.Trees()
     return [t for t, _ in trees.align(trees.parse(page), None)]
