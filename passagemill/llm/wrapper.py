@@ -1,22 +1,24 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host come from one template. One page of each host, the seed, stands for it; every other page is
-aligned with it by simple tree matching, the largest mapping of nodes that keeps labels, parents and order.
+Pages of one host come from one template, or a few. The seed of a host is the tree of all its pages: each page is aligned
+with it by simple tree matching, the largest mapping of nodes that keeps labels, parents and order, and its nodes that
+match none are grafted in where they stand. Tasks fold their pages, and then the trees of a host are folded.
 A text node of the seed whose aligned texts are the same on at least ``constant`` of the host's pages that have it
-is template; slots that vary, and nodes that the seed lacks, are content. Support is counted over all pages.
+is template; slots that vary are content. Support is counted over all pages.
 
 Trees are interned by shape, so that a subtree (and a pair of subtrees) that many pages share is matched once.
-Two scans of the pages, one to count, one to extract; what shuffles is counts by (host, node, text hash). A wrapper
+Three scans of the pages, to fold, to count, to extract; what shuffles is counts by (host, node, text hash). A wrapper
 (seed and constant nodes) is a row a host; wrappers are broadcast if they are small, else joined.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -185,6 +187,38 @@ class Trees:
                         out[lo + starts[at] + i] = lo + j
         return total, out
 
+    def graft(self, tree: int, page: int) -> int:
+        """The shape of a tree with the nodes of a page, of the same label, that match none of its own."""
+        if tree == page:
+            return tree
+        label, kids = self.shapes[tree]
+        out, at = [], 0
+        for kid, j in zip(self.shapes[page][1], self.map(page, tree)):
+            if j < 0:
+                out.append(kid)
+            else:
+                out += [*kids[at:j], self.graft(kids[j], kid)]
+                at = j + 1
+        return self.intern(label, (*out, *kids[at:]))
+
+    def dump(self, shape: int) -> str:
+        def nested(s: int) -> list:
+            return [self.shapes[s][0], [nested(k) for k in self.shapes[s][1]]]
+
+        return json.dumps(nested(shape), separators=(",", ":"))
+
+    def load(self, stored: str) -> tuple:
+        """The tree of a dump, with nodes as in parse()."""
+
+        def node(nested: list) -> tuple:
+            kids = tuple(node(k) for k in nested[1])
+            return self.intern(nested[0], tuple(k[0] for k in kids)), kids, None
+
+        return node(json.loads(stored))
+
+    def full(self) -> bool:
+        return len(self.shapes) > 200_000 or len(self.weights) + len(self.maps) > 500_000
+
     def number(self, root: tuple) -> tuple:
         """The tree with each node numbered: (shape, children, number)."""
         n = -1
@@ -226,7 +260,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
     """Batches with columns html and seed, and the aligned texts of each row, null for a null page."""
     trees, seeds = Trees(), {}
     for batch in batches:
-        if len(trees.shapes) > 200_000 or len(trees.weights) + len(trees.maps) > 500_000 or len(seeds) > 2000:
+        if trees.full() or len(seeds) > 2000:
             trees, seeds = Trees(), {}
         out: list = []
         for page, seed in zip(batch.column("html").to_pylist(), batch.column("seed").to_pylist()):
@@ -237,11 +271,45 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             if seed is not None:
                 tree = seeds.get(seed)
                 if tree is None:
-                    tree = seeds[seed] = trees.number(trees.parse(seed))
+                    tree = seeds[seed] = trees.number(trees.load(seed))
             out.append(trees.align(trees.parse(page), tree))
         yield batch, out
 
 
+def _folded(trees: Trees, held: dict[str, int], rows: Iterator[tuple[str, Callable[[], int]]]) -> None:
+    """Graft the trees of rows into those of their hosts."""
+    for host, shape in rows:
+        if trees.full():
+            stored = {h: trees.dump(s) for h, s in held.items()}
+            trees.clear()
+            held.update({h: trees.load(s)[0] for h, s in stored.items()})
+        new = shape()
+        held[host] = trees.graft(held[host], new) if host in held else new
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trees, held = Trees(), {}
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([trees.dump(s) for s in held.values()], pa.string())], ["host", "seed"])
+
+    for batch in batches:
+        pages = zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())
+        _folded(trees, held, ((h, lambda page=page: trees.parse(page)[0]) for h, page in pages))
+        if len(held) > BROADCAST_HOSTS:
+            yield out()
+            held.clear()
+    yield out()
+
+
+def _merge(parts: pa.Table) -> pa.Table:
+    trees, held = Trees(), {}
+    host = parts["host"][0].as_py()
+    stored = sorted(parts["seed"].to_pylist(), key=lambda s: (-len(s), s))
+    _folded(trees, held, ((host, lambda s=s: trees.load(s)[0]) for s in stored))
+    return pa.table({"host": pa.array([host], pa.string()), "seed": pa.array([trees.dump(held[host])], pa.string())})
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, rows in _aligned(batches):
         seen: Counter = Counter()
@@ -273,15 +341,13 @@ def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 
 def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", constant: float = CONSTANT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, seed, nodes, texts): the seed page of each host of at least min_pages pages, and of the seed's text nodes
-    those that are template, with the hash of their text. Among pages of a host the seed is the one with the
-    smallest hashed id."""
+    """(host, seed, nodes, texts): the tree of all pages of each host of at least min_pages pages, and of its text nodes
+    those that are template, with the hash of their text. Where several largest matches exist, the tree depends on the
+    order in which pages are folded."""
     hosted = _hosted(pages, id_col, url_col, html_col).where("host is not null and html is not null")
-    order = F.struct(F.xxhash64(F.col("id").cast("string")), F.col("id").cast("string"))
-    chosen = hosted.select("host", "id", order.alias("o")).groupBy("host").agg(F.min_by("id", "o").alias("id"), F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    chosen = cut(chosen)
-    seeds = hosted.join(sized(chosen.select("host", "id")), ["host", "id"], "left_semi").groupBy("host").agg(F.min("html").alias("seed"))
-    seeds = cut(seeds)
+    chosen = cut(hosted.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).select("host"))
+    folded = hosted.join(sized(chosen), "host", "left_semi").select("host", "html").mapInArrow(_fold, "host string, seed string")
+    seeds = cut(folded.groupBy("host").applyInArrow(_merge, "host string, seed string"))
     counted = hosted.join(sized(seeds, BROADCAST_HOSTS), "host").select("host", "html", "seed").mapInArrow(_count, "host string, node int, text bigint, n bigint")
     each = counted.groupBy("host", "node", "text").agg(F.sum("n").alias("n"))
     nodes = each.groupBy("host", "node").agg(F.sum("n").alias("total"), F.max(F.struct("n", "text")).alias("top"))

@@ -90,6 +90,24 @@ def test_wrapper(spark):
             assert lines == article and r.template_nodes >= 3
 
 
+@pytest.mark.parametrize("first", ["", "<html><body><main><h2>Rare</h2><p>only</p></main></body></html>"])
+def test_wrapper_of_several_layouts(spark, first):
+    """The page with the smallest hashed id is empty, or of the rarer layout; template that few pages have is template."""
+    rows = site("one.example", 40, 1)
+    least = spark.range(40).orderBy(F.xxhash64(F.col("id").cast("string"))).first().id
+    rows[least] = ("http://one.example/x", first)
+    rare = [i for i in range(40) if i % 8 == 3 and i != least]
+    for i in rare:
+        rows[i] = (rows[i][0], f"<html><body><main><h2>Rare</h2><p>only {i}</p></main></body></html>")
+    df = pages(spark, rows).repartition(5)
+    got = {r.page_id: r.content.split("\n") for r in wrapper.extract(df, wrapper.induce(df)).collect()}
+    for i, (_, html) in enumerate(rows):
+        if i in rare:
+            assert got[i] == [f"only {i}"]
+        elif i != least:
+            assert got[i] == texts(html[html.index("<article>") : html.index("</article>")])
+
+
 def test_wrapper_edges(spark):
     rows = [("http://a.example/1", None), (None, "<p>x</p>"), ("no url", "<p>y"), ("http://a.example/2", ""), ("http://a.example/3", "<p>" + "w " * 60_000)] + site("a.example", 4, 1)[:2] * 2
     df = pages(spark, rows)
