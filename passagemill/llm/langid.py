@@ -2,8 +2,9 @@
 
 For each language a suffix automaton of labelled text recognises every substring of that text. A document is
 parsed greedily into the longest phrases that a language's text contains; the number of phrases c of n characters
-estimates the cross entropy as c * log2(N) / n bits a character (N: length of the language's text). The
-language with the fewest normalised phrases wins.
+estimates the cross entropy as c * log2(N) / n bits a character. N is the length of the longest language's text, for
+all languages: with its own, a language of little text would be charged little for what it does not know. The
+language with the fewest phrases wins.
 
 The greedy parse only walks forward from the root, so the automaton becomes one complete table: the entry of
 (state, character) holds the next state and whether a phrase ended. All languages share one table, and a
@@ -26,6 +27,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 96, 24_000
 #: A document whose complete phrases alone cost more bits a character is in none of the languages: other
 #: scripts cost over 14, text of the fitted languages with numbers, codes and names in it up to 5.5.
 MAX_BITS = 6.0
+#: The least N, so that a phrase a character costs more than MAX_BITS however little text the labels have.
+LEAST_N = 256
 _CHUNK = 1 << 19
 
 
@@ -110,7 +113,7 @@ class Model:
         seen = np.unique(np.concatenate([np.zeros(1, np.uint32), *[p for x in parts.values() for p in x]]))
         self.alphabet = seen  # 0, the separator, comes first
         width = len(seen) + 1  # the last column: a character that no text has
-        self.width, tables, self.roots, self.bits, base = width, [], [], [], 0
+        self.width, tables, self.roots, sizes, base = width, [], [], [], 0
         for lang in self.languages:
             coded: list[int] = []
             for p in parts[lang]:
@@ -128,8 +131,9 @@ class Model:
                     table[state, c] = (base + s) * width << 1
             tables.append(table)
             self.roots.append(base * width)
-            self.bits.append(math.log2(max(2, len(coded))))
+            sizes.append(len(coded))
             base += lone + 1
+        self.bits = [math.log2(max([LEAST_N, *sizes]))] * len(sizes)
         full = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
         self.table = full.astype(np.int32) if base * width << 1 < 2**31 else full
 
@@ -204,7 +208,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", max_bits: float = MAX_BITS) -> DataFrame:
     """(doc_id, lang, bits, phrases, chars, accepted) for every row.
 
-    lang: the language of the fewest normalised phrases, the first by name if several tie; null, with null
+    lang: the language of the fewest phrases, the first by name if several tie; null, with null
     bits, for a text without a letter, an empty or null text, and with a model of no language. accepted: a
     language was found and the entropy of all but the last phrase is at most max_bits. Repeated rows give repeated rows, null ids stay,
     texts of any length count whole, and extra columns, whatever their names, are ignored.

@@ -62,6 +62,17 @@ def test_language_accuracy(spark):
     assert sum(r.accepted for r in found) >= 998
 
 
+def test_rare_label(docs):
+    """A label with hardly any text neither takes texts from others nor lets everything pass."""
+    rng = random.Random(2)
+    strange = " ".join("".join(rng.choice("qxzjkvw") for _ in range(7)) for _ in range(40))
+    data = docs([(1, "the cat sat on the mat and looked at the dog"), (2, strange), (3, "Кошка сидит на ковре и смотрит на собаку")])
+    for texts in ({**SAMPLE, "rare": "ok"}, {**SAMPLE, "rare": "a short note about nothing much"}, {"rare": "a short note"}):
+        found = {r.doc_id: r for r in langid.identify(data, langid.Model(texts)).collect()}
+        assert not found[2].accepted and not found[3].accepted
+        assert "en" not in texts or found[1].lang == "en"
+
+
 def test_language_edges(docs, spark):
     model = langid.Model(SAMPLE)
     df = docs([*EDGES, (20, "the cat sat"), (21, "Кошка сидит на ковре и смотрит"), (22, "１２３ ...")])
