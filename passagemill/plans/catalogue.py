@@ -500,7 +500,7 @@ def lexical_rerank(t: _T) -> DataFrame:
 
 @query()
 def mmr_rerank(t: _T) -> DataFrame:
-    return qs.mmr_rerank(t.run(), t.chunks(), K)
+    return qs.mmr_rerank(t.run(50), t.chunks(), K)
 
 
 # Scores

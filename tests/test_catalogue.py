@@ -38,6 +38,11 @@ def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_mmr_takes_from_deeper_ranks(spark):
+    run = catalogue._T(spark, SF).run().select("query_id", "chunk_id")
+    assert catalogue.QUERIES["mmr_rerank"](spark, SF).join(run, ["query_id", "chunk_id"], "left_anti").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
