@@ -5,12 +5,12 @@ distance, and assigned to k-means lists. A list stores its vectors in column blo
 one block of dimensions after another: a candidate whose partial distance, scaled by d / t, exceeds the
 query's k-th best distance by more than the hypothesis test allows, (1 + epsilon / sqrt(t)) ** 2, is abandoned.
 
-Every vector is a query. Its own list comes first and gives its k-th best distance, with which it goes on to the
-next nearest lists, so that most candidates there are abandoned after the first dimensions. How many lists are probed
-follows from the data: the exact neighbours of ``sample`` queries among all vectors tell how many of the nearest lists
-hold the share ``target`` of them. Lists are cut into blocks of at most ``block`` vectors, and neighbouring blocks
-share a bin; a query goes once to each bin that it probes, and a task holds one bin, never a table.
-Centroids come from all vectors.
+Every vector is indexed. Queries are the vectors whose id is divisible by ``every``, against all. A query's own list comes
+first and gives its k-th best distance, with which it goes on to the next nearest lists, so that most candidates there are
+abandoned after the first dimensions. How many lists are probed follows from the data: the exact neighbours of ``sample``
+vectors among all tell how many of the nearest lists hold the share ``target`` of them. Lists are cut into blocks of at
+most ``block`` vectors, and neighbouring blocks share a bin; a query goes once to each bin that it probes, and a task holds
+one bin, never a table. Centroids come from all vectors.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ._common import cut, pick
+from ._common import cut, pick, sized
 
-K, TARGET, SAMPLE, EPSILON, ITERATIONS, SEED = 10, 0.98, 256, 2.1, 6, 7
+K, TARGET, SAMPLE, EPSILON, ITERATIONS, SEED, EVERY = 10, 0.98, 256, 2.1, 6, 7, 50
 #: Vectors in a block and in a bin, and queries that one task runs against a bin.
 BLOCK, BIN, SLICE, STEP = 4096, 16_384, 100_000, 16
 
@@ -79,10 +79,15 @@ def centroids_of(vectors: DataFrame, d: int, lists: int, iterations: int = ITERA
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some]), sums_], ["list", "n", "total"])
 
         parts = vectors.select("v").mapInArrow(sums, "list bigint, n bigint, total array<double>")
-        merged = parts.groupBy("list").agg(F.sum("n").alias("n"), *[F.sum(F.element_at("total", i + 1)).alias(f"t{i}") for i in range(d)])
+
+        def merged(group: pa.Table) -> pa.Table:
+            n = group["n"].to_numpy().sum()
+            mean = np.asarray(group["total"].combine_chunks().flatten()).reshape(group.num_rows, d).sum(0) / n
+            return pa.table({"list": group["list"].slice(0, 1), "mean": pa.array([mean.tolist()], pa.list_(pa.float64()))})
+
         c = c.copy()
-        for r in merged.collect():  # a row a list
-            c[r[0]] = np.array(r[2:], np.float64) / r[1]
+        for r in parts.groupBy("list").applyInArrow(merged, "list bigint, mean array<double>").collect():  # a row a list
+            c[r["list"]] = r["mean"]
     return c
 
 
@@ -169,17 +174,18 @@ def probes_for(placed: DataFrame, d: int, centroids: np.ndarray, k: int, target:
     return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1 if len(ranks) else 1
 
 
-def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, target: float = TARGET, sample: int = SAMPLE, epsilon: float = EPSILON, iterations: int = ITERATIONS, lists: int | None = None, block: int = BLOCK, bin_size: int = BIN, slice_size: int = SLICE) -> DataFrame:
-    """(vec_id, neighbour, rank, distance): for every vector the k nearest other ids found, by Euclidean distance.
+def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, target: float = TARGET, sample: int = SAMPLE, epsilon: float = EPSILON, iterations: int = ITERATIONS, lists: int | None = None, block: int = BLOCK, bin_size: int = BIN, slice_size: int = SLICE, every: int = EVERY) -> DataFrame:
+    """(vec_id, neighbour, rank, distance): for every vector whose id is divisible by ``every`` the k nearest other ids found
+    among all vectors, by Euclidean distance.
 
-    Vectors are those of the commonest dimension (the larger if two tie); rows with a null id, a null, empty or
-    shorter vector, or one with a null, NaN or infinite element have no neighbours and are none. Repeated rows of
+    Vectors are those of the commonest dimension (the larger if two tie); rows with a null id, or one that is no whole
+    number, a null, empty or shorter vector, or one with a null, NaN or infinite element have no neighbours and are none. Repeated rows of
     one id are one vector, the smallest if they differ. Equal vectors of different ids are neighbours at distance 0.
     Ties go to the smaller id. Extra columns, whatever their names, are ignored; an empty table gives no row.
     lists: the square root of the number of vectors by default.
     """
     spark = vectors.sparkSession
-    raw = pick(vectors, id=id_col, v=vector_col).select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<float>").alias("v"))
+    raw = pick(vectors, id=id_col, v=vector_col).select(F.col("id").try_cast("bigint").alias("id"), F.col("v").cast("array<float>").alias("v"))
     sound = raw.where("id is not null and size(v) > 0").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     sound = cut(sound.groupBy("id", F.size("v").alias("d")).agg(F.min("v").alias("v")))
     sizes = sound.groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -223,26 +229,29 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
             own = first[at] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[at]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), pa.array(bin_of[own])], ["id", "v", "block", "bin"])
 
-    dealt_ = placed.mapInArrow(dealt, "id bigint, v array<float>, block bigint, bin bigint")
+    dealt_ = cut(placed.mapInArrow(dealt, "id bigint, v array<float>, block bigint, bin bigint"))
 
     def home(group: pa.Table) -> pa.Table:
-        """A block against itself: neighbours, and with each query its k-th best distance here."""
+        """The queries of a block against it: neighbours, and with each query its k-th best distance here."""
         ids = group["id"].to_numpy()
-        x = _matrix(group["v"].combine_chunks(), d)
-        cols = np.ascontiguousarray(x.T)
-        q, c, dist = scan(x, _limits(x, ids, cols, ids, k), cols, epsilon)
-        other = ids[q] != ids[c]
+        v = _matrix(group["v"].combine_chunks(), d)
+        cols = np.ascontiguousarray(v.T)
+        asked = np.flatnonzero(ids % every == 0)
+        own, x = ids[asked], v[asked]
+        q, c, dist = scan(x, _limits(x, own, cols, ids, k), cols, epsilon)
+        other = own[q] != ids[c]
         q, c, dist = q[other], c[other], dist[other]
         best = _best(q, ids[c], dist, k)
         q, c, dist = q[best], c[best], dist[best]
-        kth = np.full(len(ids), np.inf, np.float32)
-        found = np.bincount(q, minlength=len(ids))
+        kth = np.full(len(own), np.inf, np.float32)
+        found = np.bincount(q, minlength=len(own))
         full = found >= k
         kth[full] = dist[(np.cumsum(found) - 1)[full]] * np.float32(1.0001) + np.float32(1e-6)
         firsts = pa.array(np.concatenate([[0], np.cumsum(found)]).astype(np.int32))
-        return pa.table({"id": group["id"], "v": group["v"], "block": group["block"], "bin": group["bin"], "limit": pa.array(kth), "near": pa.ListArray.from_arrays(firsts, pa.array(ids[c])), "far": pa.ListArray.from_arrays(firsts, pa.array(dist.astype(np.float64)))})
+        group = group.take(pa.array(asked))
+        return pa.table({"id": group["id"], "v": group["v"], "block": group["block"], "limit": pa.array(kth), "near": pa.ListArray.from_arrays(firsts, pa.array(ids[c])), "far": pa.ListArray.from_arrays(firsts, pa.array(dist.astype(np.float64)))})
 
-    began = cut(dealt_.groupBy("block").applyInArrow(home, "id bigint, v array<float>, block bigint, bin bigint, limit float, near array<bigint>, far array<double>"))
+    began = cut(dealt_.groupBy("block").applyInArrow(home, "id bigint, v array<float>, block bigint, limit float, near array<bigint>, far array<double>"))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each bin that a query probes, with the blocks there."""
@@ -266,9 +275,9 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
 
     queries = began.select("id", "v", "block", "limit").mapInArrow(asked, "bin bigint, id bigint, v array<float>, limit float, blocks array<bigint>")
     slices = queries.groupBy("bin").agg(F.ceil(F.count("*") / F.lit(slice_size)).cast("int").alias("slices"))
-    slices = cut(slices)
-    queries = queries.join(slices, "bin").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices").cast("bigint"))).drop("slices")
-    held = began.select("bin", "block", "id", "v").join(slices, "bin").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices").cast("bigint") - 1))).drop("slices")
+    slices = cut(slices)  # a row a bin
+    queries = queries.join(sized(slices), "bin").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices").cast("bigint"))).drop("slices")
+    held = dealt_.select("bin", "block", "id", "v").join(sized(slices), "bin").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices").cast("bigint") - 1))).drop("slices")
 
     def away(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """The queries that probe blocks of a bin, against them, with limits that tighten from block to block."""

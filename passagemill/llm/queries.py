@@ -35,7 +35,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest neighbours of every vector."""
+    """The nearest neighbours, among all vectors, of every vector whose id is divisible by 50."""
     return ann.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

@@ -128,8 +128,8 @@ def brute(ids, x, k):
     return far, np.sort(far, axis=1)[:, : min(k, len(ids) - 1)]
 
 
-@pytest.mark.parametrize("n,d,clusters", [(600, 64, 10), (900, 24, 0), (500, 5, 30)])
-def test_neighbours(spark, n, d, clusters):
+@pytest.mark.parametrize("n,d,clusters,every", [(600, 64, 10, 1), (900, 24, 0, 3), (500, 5, 30, 1), (1500, 64, 10, 50)])
+def test_neighbours(spark, n, d, clusters, every):
     rng = np.random.default_rng(n)
     x = rng.standard_normal((n, d))
     if clusters:
@@ -137,9 +137,11 @@ def test_neighbours(spark, n, d, clusters):
     x[50:80] = x[10]  # copies
     x = x.astype(np.float32)
     far, best = brute(range(n), x, 10)
-    got = ann.nearest_neighbours(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), block=64, bin_size=150, slice_size=200).collect()
+    got = ann.nearest_neighbours(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), block=64, bin_size=150, slice_size=200, every=every).collect()
     assert len({(r.vec_id, r.neighbour) for r in got}) == len(got) and all(r.vec_id != r.neighbour for r in got)
-    assert sum(r.distance**2 <= best[r.vec_id, -1] + 1e-3 for r in got) >= 0.93 * 10 * n
+    asked = range(0, n, every)
+    assert {r.vec_id for r in got} == set(asked)
+    assert sum(r.distance**2 <= best[r.vec_id, -1] + 1e-3 for r in got) >= 0.93 * 10 * len(asked)
     for r in got:
         assert abs(r.distance**2 - far[r.vec_id, r.neighbour]) < 1e-2
     by = {(r.vec_id, r.rank): r.distance for r in got}
@@ -163,7 +165,10 @@ def test_rotation():
 
 def test_neighbour_edges(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [1.0, 1.0]), (4, []), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0]), (8, [0.0, 0.0]), (9, [float("inf"), 0.0])]
-    got = sorted((r.vec_id, r.rank, r.neighbour, round(r.distance, 3)) for r in ann.nearest_neighbours(vectors(spark, rows)).collect())
+    got = sorted((r.vec_id, r.rank, r.neighbour, round(r.distance, 3)) for r in ann.nearest_neighbours(vectors(spark, rows), every=1).collect())
     assert got == [(1, 1, 8, 0.0), (1, 2, 2, 1.0), (2, 1, 1, 1.0), (2, 2, 8, 1.0), (8, 1, 1, 0.0), (8, 2, 2, 1.0)]
+    assert {r.vec_id for r in ann.nearest_neighbours(vectors(spark, [(i, [float(i)]) for i in range(-50, 101)])).collect()} == {-50, 0, 50, 100}
+    text = vectors(spark, rows).withColumn("vec_id", F.concat(F.lit("v"), "vec_id"))
+    assert ann.nearest_neighbours(text).count() == 0 and ann.nearest_neighbours(vectors(spark, [(1, [0.0]), (2, [1.0])])).count() == 0
     assert ann.nearest_neighbours(vectors(spark, [])).count() == 0
     assert ann.nearest_neighbours(vectors(spark, [(1, [1.0])])).count() == 0
