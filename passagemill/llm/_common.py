@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -11,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import cut  # noqa: F401
+
 #: Rows of at most this many ids (8 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -40,15 +41,6 @@ def named(df: DataFrame, name: str) -> str:
     return next(c for c in df.columns if c.lower() == name.lower())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder that the session names in spark.checkpoint.dir and cut its
-    lineage there, so that a lost executor costs a read, not a recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def few(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:
     """Whether a materialised table has at most limit rows (it counts one more than the limit at most)."""
     return ids.limit(limit + 1).count() <= limit

@@ -6,9 +6,9 @@ estimates the cross entropy as c * log2(N) / n bits a character. N is the length
 all languages: with its own, a language of little text would be charged little for what it does not know. The
 language with the fewest phrases wins.
 
-The greedy parse only walks forward from the root, so the automaton becomes one complete table: the entry of
-(state, character) holds the next state and whether a phrase ended. All languages share one table, and a
-batch of documents runs in lockstep, one vectorised table lookup a character position. One scan, no shuffle.
+The greedy parse only walks forward from the root, so that a table of transitions is all it needs; where one lacks, a
+phrase ends and the next begins at the root. A table takes room in proportion to the labelled sample, not to the alphabet.
+A batch of documents runs in lockstep, one vectorised lookup a character position and language. One scan, no shuffle.
 """
 
 from __future__ import annotations
@@ -99,8 +99,40 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def overlapped(nxt: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions as rows of a table that overlap: a row is moved until its entries fall on free places, and each place knows
+    the state it belongs to. (row, owner, to): a place a transition or little more, however large the alphabet."""
+    sizes = np.array([len(t) for t in nxt], np.int64)
+    row = np.zeros(len(nxt) + 1, np.int64)
+    owner, to = np.full(int(sizes.sum()) + 8192, -1, np.int64), np.zeros(int(sizes.sum()) + 8192, np.int64)
+    low = 0  # no place before it is free
+    for state in np.argsort(-sizes, kind="stable").tolist():
+        if not sizes[state]:
+            continue
+        columns = np.fromiter(nxt[state], np.int64, sizes[state])
+        least, most = int(columns.min()), int(columns.max())
+        at = max(0, low - least)
+        while True:
+            if at + most + 4097 > len(owner):
+                more = len(owner) + most + 4097
+                owner, to = np.concatenate([owner, np.full(more, -1, np.int64)]), np.concatenate([to, np.zeros(more, np.int64)])
+            free = owner[at + columns[0] : at + columns[0] + 4096] < 0
+            for c in columns[1:].tolist():
+                free &= owner[at + c : at + c + 4096] < 0
+            gap = int(free.argmax())
+            if free[gap]:
+                at += gap
+                break
+            at += 4096
+        owner[at + columns], row[state] = state, at
+        to[at + columns] = np.fromiter(nxt[state].values(), np.int64, sizes[state])
+        while low < len(owner) and owner[low] >= 0:
+            low += 1
+    return row, owner, to
+
+
 class Model:
-    """One table for all languages, and the alphabet."""
+    """The tables of all languages, one after another, and their common alphabet."""
 
     def __init__(self, texts: dict[str, str]) -> None:
         """texts: labelled text by language, documents separated by a line feed."""
@@ -110,39 +142,35 @@ class Model:
             points, offsets = code_points(pa.array(texts[lang].split("\n")))
             low, off = normalised(points, offsets)
             parts[lang] = [low[off[i] : off[i + 1]] for i in range(len(off) - 1) if off[i + 1] > off[i]]
-        seen = np.unique(np.concatenate([np.zeros(1, np.uint32), *[p for x in parts.values() for p in x]]))
-        self.alphabet = seen  # 0, the separator, comes first
-        width = len(seen) + 1  # the last column: a character that no text has
-        self.width, tables, self.roots, sizes, base = width, [], [], [], 0
+        self.alphabet = np.unique(np.concatenate([np.zeros(1, np.uint32), *[p for x in parts.values() for p in x]]))  # 0, the separator, comes first
+        self.width = len(self.alphabet) + 1  # the last column: a character that no text has
+        rows, owners, tos, firsts, self.roots, sizes, states, places = [], [], [], [], [], [], 0, 0
         for lang in self.languages:
             coded: list[int] = []
             for p in parts[lang]:
-                coded += np.searchsorted(seen, p).tolist() + [0]
+                coded += np.searchsorted(self.alphabet, p).tolist() + [0]
             nxt = suffix_automaton(coded)
-            lone = len(nxt)  # after a character that the language's text lacks: a phrase that nothing extends
-            begin = np.full(width, base + lone, np.int64)
+            row, owner, to = overlapped(nxt)
+            last = int(np.flatnonzero(owner >= 0).max(initial=-1)) + 1
+            first = np.full(self.width, len(nxt), np.int64)  # after a character that the language's text lacks: a phrase that nothing extends
             for c, s in nxt[0].items():
-                begin[c] = base + s
-            table = np.empty((lone + 1, width), np.int64)
-            table[:] = begin * width << 1 | 1  # the phrase ends; the next one begins with this character
-            table[0] = begin * width << 1  # only the first character comes in state 0
-            for state, to in enumerate(nxt):
-                for c, s in to.items():
-                    table[state, c] = (base + s) * width << 1
-            tables.append(table)
-            self.roots.append(base * width)
+                first[c] = s
+            pad = np.full(self.width, -1, np.int64)  # so that no row reads into the next language's
+            rows.append(row + places), owners.append(np.concatenate([np.where(owner[:last] < 0, -1, owner[:last] + states), pad])), tos.append(np.concatenate([to[:last] + states, pad]))
+            firsts.append(first + states)
+            self.roots.append(states)
             sizes.append(len(coded))
-            base += lone + 1
+            states, places = states + len(row), places + last + self.width
+        joined = lambda x: np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)
+        self.row, self.owner, self.to, self.first = joined(rows), joined(owners), joined(tos), joined(firsts)
         self.bits = [math.log2(max([LEAST_N, *sizes]))] * len(sizes)
-        full = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
-        self.table = full.astype(np.int32) if base * width << 1 < 2**31 else full
 
     def encode(self, low: np.ndarray) -> np.ndarray:
-        """Columns of the table for normalised characters."""
+        """Columns of the tables for normalised characters."""
         codes = np.searchsorted(self.alphabet, low)
         codes[codes == len(self.alphabet)] = 0
         codes[self.alphabet[codes] != low] = self.width - 1
-        return codes.astype(np.uint8 if self.width <= 256 else np.uint16)
+        return codes.astype(np.uint8 if self.width <= 256 else np.uint16 if self.width <= 65_536 else np.int32)
 
     def phrases(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Numbers of phrases: (language, text). A phrase that the end of the text cuts counts."""
@@ -150,16 +178,26 @@ class Model:
         order = np.argsort(-lengths, kind="stable")
         lengths, place = lengths[order], offsets[:-1][order].copy()
         live = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), "right")
-        state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], len(lengths), 1)
+        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(lengths), 1)
+        begin = np.arange(len(self.roots), dtype=np.int32)[:, None] * np.int32(self.width)
         count = np.zeros(state.shape, np.int32)
-        table = self.table
+        row, owner, to, first = self.row, self.owner, self.to, self.first
         for k in live.tolist():
-            entry = table[state[:, :k] + codes[place[:k]]]
-            count[:, :k] += entry & 1
-            state[:, :k] = entry >> 1
+            code, now = codes[place[:k]], state[:, :k]
+            at = row[now] + code
+            new = owner[at] != now
+            state[:, :k] = np.where(new, first[begin + code], to[at])
+            count[:, :k] += new
             place[:k] += 1
         out = np.empty_like(count)
-        out[:, order] = count + (lengths > 0)
+        # the first character has no phrase before it to end: it counts only if the root lacks it
+        lead = np.flatnonzero(lengths > 0)
+        known = np.ones(count.shape, bool)
+        if len(lead):
+            code = codes[offsets[:-1][order][lead]]
+            root = np.array(self.roots)[:, None]
+            known[:, lead] = owner[row[root] + code] == root
+        out[:, order] = count + (lengths > 0) - ~known
         return out
 
     def identify(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -184,15 +222,15 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit to at most sample_docs labelled documents a language, those with the smallest hashed ids, and to
-    sample_chars characters of them in even shares. The ids are chosen without reading a text."""
+    sample_chars characters of them: short ones whole, the rest of the room in even shares. What comes to the driver is
+    sample_chars characters of each of them at most. The ids are chosen without reading a text."""
     labelled = pick(docs, id=id_col, lang=lang_col).where("id is not null and lang is not null")
     hashed = F.xxhash64(F.col("id").cast("string"))
     chosen = labelled.select("id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(hashed, "id")).alias("nth")).where(F.col("nth") <= sample_docs)
     ids = [r.id for r in chosen.select("id").distinct().collect()]
     texts: dict[str, list[str]] = {}
-    share = max(1, sample_chars // sample_docs)
     rows = pick(docs, id=id_col, lang=lang_col, text=text_col).where(F.col("id").isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    for r in sorted(rows.select("lang", "id", F.substring("text", 1, 4 * share).alias("text")).collect(), key=lambda r: (r.lang, str(r.id), r.text)):
+    for r in sorted(rows.select("lang", "id", F.substring("text", 1, sample_chars).alias("text")).collect(), key=lambda r: (r.lang, str(r.id), r.text)):
         texts.setdefault(r.lang, []).append(r.text.replace("\n", " "))
     fitted = {}
     for lang, parts in texts.items():
@@ -230,17 +268,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return found.withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", max_bits: float = MAX_BITS) -> DataFrame:
-    """The rows of docs, all columns, that identify() accepts; one scan, no join. Clashing names as in
-    free_names()."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", max_bits: float = MAX_BITS) -> DataFrame:
+    """The rows of docs, all columns, that identify() accepts, with the language found in lang_col; one scan, no join.
+
+    Null, empty and letterless texts go, and all rows with a model of no language. Null ids and labels, repeated rows and texts
+    of any length are no obstacle. A table without lang_col gets it. Clashing names as in free_names()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = free_names(docs)
+    if lang_col.lower() not in [c.lower() for c in docs.columns]:
+        docs = docs.withColumn(lang_col, F.lit(None).cast("string"))
+    lang = docs.columns.index(named(docs, lang_col))
+    docs = docs.withColumn(docs.columns[lang], F.col(docs.columns[lang]).cast("string"))
     at = docs.columns.index(named(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(shared.value.languages, pa.string())
         for batch in batches:
-            if shared.value.languages:
-                _, _, whole, _, n = shared.value.identify(batch.column(at))
-                yield batch.filter(pa.array((n > 0) & (whole <= max_bits)))
+            if len(names):
+                best, _, whole, _, n = shared.value.identify(batch.column(at))
+                found = batch.set_column(lang, batch.schema.names[lang], names.take(pa.array(best)))
+                yield found.filter(pa.array((n > 0) & (whole <= max_bits)))
 
     return docs.mapInArrow(frugal(run), docs.schema)

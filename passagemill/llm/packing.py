@@ -1,26 +1,32 @@
 """Best-fit packing of documents into sequences of equal capacity, by patterns and non-negative least squares.
 
-A document longer than the capacity gives full sequences and a remainder; remainders and short documents are
+Lengths are tokens of the vocabulary. A document longer than the capacity gives full sequences and a remainder; remainders and short documents are
 the items to pack. Item lengths are rounded up to ``grid`` steps. A pattern is a multiset of at most
 ``max_parts`` lengths that fill a sequence exactly. Non-negative least squares fits repeat counts of all
 patterns to the histogram of item lengths over the whole table; each group of documents takes its share of
 them, rounded down and as far as its own items go, and what is left is packed best fit, longest first.
 
 Only ids and lengths shuffle, into groups of about ``group_docs`` documents that pack independently, so the work is
-linear in the input and no task grows with it.
+linear in the input and no task grows with it: rows of one id and length are counted first and then dealt over all groups
+one by one, so that an id that a third of the rows have, or none at all, is no larger a group than others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import cut, pick
+from ._common import cut, frugal, pick
+from .tokenizer import VOCABULARY, encoding
 
-CAPACITY, GRID, MAX_PARTS, GROUP_DOCS = 8192, 128, 4, 50_000
+CAPACITY, GRID, MAX_PARTS, GROUP_DOCS = 2048, 128, 4, 50_000
+#: Repeats of a row that one row of a sequence stands for while they are dealt.
+_DEAL = 1 << 16
 
 
 @lru_cache(4)
@@ -115,18 +121,33 @@ def pack_group(lengths: np.ndarray, capacity: int, grid: int, mix: list[tuple[np
     return at
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, grid: int = GRID, max_parts: int = MAX_PARTS, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """(pack, slot, doc_id, start, length, offset): piece [start, start + length) of the document's characters is
-    in sequence pack, as its slot-th piece, from character offset on.
+def token_lengths(picked: DataFrame, vocabulary: str | None) -> DataFrame:
+    """(id, n) of (id, text): tokens of each text, or characters without a vocabulary; null and empty texts left out."""
+    if vocabulary is None:
+        return picked.select("id", F.length("text").cast("bigint").alias("n")).where("n > 0")
 
-    Every character of every row is in exactly one piece and no sequence holds more than capacity characters;
-    no piece is cut but those of documents over the capacity. Null and empty texts have no piece. Repeated
-    rows are packed as often as they occur; rows without an id are packed with a null id. Ties go by id. Extra
-    columns, whatever their names, are ignored; an empty table gives no row.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(vocabulary)
+        for batch in batches:
+            n = [len(enc.encode_ordinary(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "n"])
+
+    kind = picked.schema["id"].dataType.simpleString()
+    return picked.where("text is not null and text <> ''").mapInArrow(frugal(run), f"id {kind}, n bigint")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, grid: int = GRID, max_parts: int = MAX_PARTS, group_docs: int = GROUP_DOCS, vocabulary: str | None = VOCABULARY) -> DataFrame:
+    """(pack, slot, doc_id, start, length, offset): piece [start, start + length) of the document's tokens is in sequence
+    pack, as its slot-th piece, from token offset on. vocabulary: where the tokens are, or None for characters.
+
+    Every token of every row is in exactly one piece and no sequence holds more than capacity tokens; no piece is cut but
+    those of documents over the capacity. Null and empty texts have no piece, nor has an empty table. Repeated rows are packed
+    as often as they occur; rows without an id are packed with a null id. Ties go by id, and the result does not depend on how
+    the table is partitioned. Texts count whole, however long. Extra columns, whatever their names, are ignored.
     """
     picked = pick(docs, id=id_col, text=text_col)
     kind = picked.schema["id"].dataType.simpleString()
-    lengths = cut(picked.select("id", F.length("text").cast("bigint").alias("n")).where("n > 0"))
+    lengths = cut(token_lengths(picked, vocabulary))
     items = lengths.where(F.col("n") % capacity > 0)
     size = F.floor(((F.col("n") % capacity) * grid + (capacity - 1)) / F.lit(capacity)).cast("int")
     histogram = np.zeros(grid + 1)
@@ -152,6 +173,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         out["offset"] = by["length"].cumsum() - out["length"]
         return out[["pack", "slot", "id", "start", "length", "offset"]]
 
-    keyed = lengths.withColumn("group", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(groups)))
+    equal = lengths.groupBy("id", "n").agg(F.count("*").alias("rows__"))
+    last = F.col("rows__") - 1
+    dealt = equal.select("id", "n", "rows__", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / _DEAL).cast("bigint"))).alias("hi"))
+    low = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(_DEAL - 1).cast("bigint"), last - F.col("hi") * _DEAL)))
+    each = dealt.select("id", "n", "hi", low.alias("lo"))
+    keyed = each.select("id", "n", F.pmod(F.xxhash64(F.col("id").cast("string"), "n", "hi", "lo"), F.lit(groups)).alias("group"))
     packed = keyed.groupBy("group").applyInPandas(run, f"pack bigint, slot int, id {kind}, start bigint, length bigint, offset bigint")
     return packed.withColumnRenamed("id", id_col)

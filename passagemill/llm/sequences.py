@@ -17,7 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ._common import pick
 from .tokenizer import VOCABULARY, encoding
@@ -25,9 +25,9 @@ from .tokenizer import VOCABULARY, encoding
 LENGTH, BATCH_ROWS, FILE_ROWS = 512, 256, 4096
 
 
-def schema(length: int) -> pa.Schema:
+def schema(length: int, id_type: pa.DataType | None = None) -> pa.Schema:
     """Of the files. 16 bits hold any id of a vocabulary of up to 65,536."""
-    return pa.schema([pa.field("doc_id", pa.int64()), pa.field("part", pa.int32()), pa.field("ids", pa.list_(pa.uint16(), length)), pa.field("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([pa.field("doc_id", id_type or pa.int64()), pa.field("part", pa.int32()), pa.field("ids", pa.list_(pa.uint16(), length)), pa.field("mask", pa.list_(pa.uint8(), length))])
 
 
 def cut_into(tokens: list[list[int]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,8 +44,8 @@ def cut_into(tokens: list[list[int]], length: int) -> tuple[np.ndarray, np.ndarr
     return ids, mask, doc, part.astype(np.int32)
 
 
-def _batches(length: int, batch_rows: int, file_rows: int, vocabulary: str):
-    kind = schema(length)
+def _batches(length: int, batch_rows: int, file_rows: int, vocabulary: str, id_type: pa.DataType = pa.int64()):
+    kind = schema(length, id_type)
 
     def as_file(rows: list[tuple]) -> pa.RecordBatch:
         """Equal batches, but the last."""
@@ -60,7 +60,7 @@ def _batches(length: int, batch_rows: int, file_rows: int, vocabulary: str):
                 out.write_batch(pa.RecordBatch.from_arrays([docs.slice(lo, hi - lo), pa.array(columns[2][lo:hi]), *lists], schema=kind))
         payload = sink.getvalue().to_pybytes()
         distinct = docs.unique()
-        return pa.RecordBatch.from_arrays([pa.array([distinct.to_pylist()], pa.list_(pa.int64())), pa.array([n], pa.int64()), pa.array([int(columns[1].sum(dtype=np.int64))], pa.int64()), pa.array([payload], pa.binary())], ["doc_ids", "sequences", "tokens", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array([distinct.to_pylist()], pa.list_(id_type)), pa.array([n], pa.int64()), pa.array([int(columns[1].sum(dtype=np.int64))], pa.int64()), pa.array([payload], pa.binary())], ["doc_ids", "sequences", "tokens", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
@@ -93,19 +93,21 @@ def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that have tokens in them, and what they hold.
 
     Null and empty texts have no sequence. Repeated rows are stored as often as they occur; a row without an
-    id is stored with a null id. Long texts are cut across sequences and, if need be, files, never truncated. The
+    id is stored with a null id. Integer ids are stored as 64 bits, all others as strings. Long texts are cut across sequences and, if need be, files, never truncated. The
     strings of special tokens are ordinary text. Extra columns, whatever their names, are ignored; an empty
     table gives no row.
     """
     picked = pick(docs, id=id_col, text=text_col)
-    picked = picked.select(picked["id"].cast("bigint").alias("id"), "text")
-    return picked.mapInArrow(_batches(length, batch_rows, file_rows, vocabulary), "doc_ids array<bigint>, sequences bigint, tokens bigint, payload binary")
+    whole = picked.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    kind = "bigint" if whole else "string"
+    picked = picked.select(picked["id"].cast(kind).alias("id"), "text")
+    return picked.mapInArrow(_batches(length, batch_rows, file_rows, vocabulary, pa.int64() if whole else pa.string()), f"doc_ids array<{kind}>, sequences bigint, tokens bigint, payload binary")
 
 
-def write_files(files: DataFrame, path: str) -> None:
-    """Commit a token_files() table as Parquet and unpack it into path/*.arrow, each file under a name of its
-    content, by rename: a retried task leaves no half file. path: a folder that all executors share."""
-    import hashlib
+def write_files(files: DataFrame, path: str) -> int:
+    """Commit a token_files() table as Parquet and unpack it into path/*.arrow, and say how many files that makes. A file is
+    named by the part of the committed table that holds it and its number there, which a retried task gives it again, so
+    that equal files stay apart and a rename leaves no half file. path: a folder that all executors share."""
     import os
 
     files.write.mode("overwrite").parquet(f"{path}/table")
@@ -113,16 +115,19 @@ def write_files(files: DataFrame, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = []
-            for payload in batch.column(0):
+            for payload, part, at in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = payload.as_buffer()
-                name = hashlib.sha256(data).hexdigest()[:32] + ".arrow"
+                name = f"{part}-{at:06d}.arrow"
                 tmp = f"{path}/.{name}.{os.getpid()}"
                 Path(tmp).write_bytes(data)
                 os.replace(tmp, f"{path}/{name}")
                 names.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(names)], ["name"])
 
-    files.sparkSession.read.parquet(f"{path}/table").select("payload").mapInArrow(run, "name string").count()
+    stored = files.sparkSession.read.parquet(f"{path}/table")
+    part = F.regexp_replace("_metadata.file_name", r"^part-(\d+)-.*?(c\d+)?\.[^/]*parquet$", "$1$2")
+    rows = stored.select("payload", part.alias("part"), F.col("_metadata.row_index").alias("at"))
+    return rows.mapInArrow(run, "name string").count()
 
 
 class Reader:

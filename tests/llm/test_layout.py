@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from passagemill.llm import mixing, packing, sharding
+from passagemill.llm.tokenizer import VOCABULARY, encoding
 
 from .conftest import EDGES
 
@@ -80,7 +81,10 @@ def test_patterns():
     assert found == want
 
 
-def check_pack(rows, data, capacity):
+ENC = encoding(VOCABULARY)
+
+
+def check_pack(rows, data, capacity, size=lambda t: len(t or "")):
     used, pieces = defaultdict(int), defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.pack, r.slot)):
         assert r.offset == used[r.pack] and 0 < r.length <= capacity
@@ -89,7 +93,7 @@ def check_pack(rows, data, capacity):
     assert all(n <= capacity for n in used.values())
     want = defaultdict(list)
     for i, t in data:
-        n = len(t or "")
+        n = size(t)
         want[i] += [(s, min(capacity, n - s)) for s in range(0, n, capacity)]
     assert {i: sorted(p) for i, p in pieces.items()} == {i: sorted(p) for i, p in want.items() if p}
     return used
@@ -100,20 +104,51 @@ def test_pack(docs, groups):
     rng = random.Random(9)
     data = [(i, "x" * max(1, int(rng.lognormvariate(5, 1)))) for i in range(1500)]
     df = docs(data)
-    rows = packing.pack(df, capacity=1024, group_docs=groups).collect()
+    rows = packing.pack(df, capacity=1024, group_docs=groups, vocabulary=None).collect()
     used = check_pack(rows, data, 1024)
     least = -(-sum(len(t) for _, t in data) // 1024)
     assert len(used) <= least * (1.06 if groups == 5000 else 1.35)
-    assert sorted(rows) == sorted(packing.pack(df.repartition(7), capacity=1024, group_docs=groups).collect())
+    assert sorted(rows) == sorted(packing.pack(df.repartition(7), capacity=1024, group_docs=groups, vocabulary=None).collect())
 
 
 def test_pack_edges(docs):
     data = [*EDGES, (50, "y" * 8192), (51, "y" * 16384)]
-    check_pack(packing.pack(docs(data)).collect(), data, packing.CAPACITY)
-    check_pack(packing.pack(docs(data), capacity=7, grid=128).collect(), data, 7)
+    check_pack(packing.pack(docs(data)).collect(), data, packing.CAPACITY, lambda t: len(ENC.encode_ordinary(t or "")))
+    check_pack(packing.pack(docs(data), capacity=7, grid=128, vocabulary=None).collect(), data, 7)
     assert packing.pack(docs([])).count() == 0 and packing.pack(docs([(1, None), (2, "")])).count() == 0
 
 
+def test_pack_of_one_id(docs):
+    """Rows of one id, or none, fall in all groups alike, and every row is packed."""
+    data = [(None, "x" * 700)] * 900 + [(7, "y" * 300)] * 900 + [(i, "z" * (1 + i % 50)) for i in range(100)]
+    rows = packing.pack(docs(data).repartition(3), capacity=1024, group_docs=100, vocabulary=None).collect()
+    check_pack(rows, data, 1024)
+    by = Counter(r.pack >> 32 for r in rows)
+    assert len(by) == 19 and max(by.values()) < 200
+    assert sorted(map(str, rows)) == sorted(map(str, packing.pack(docs(data), capacity=1024, group_docs=100, vocabulary=None).collect()))
+
+
+def brute_first_fit(lengths, capacity):
+    """Plain best fit, longest first: how many sequences it takes."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(room) if r >= n]
+        if fits:
+            room[min(fits, key=lambda i: room[i])] -= n
+        else:
+            room.append(capacity - n)
+    return len(room)
+
+
+def test_pack_against_plain_best_fit(docs):
+    """Patterns and residuals together need hardly more sequences than best fit over all documents at once."""
+    rng = random.Random(5)
+    data = [(i, "x" * max(1, min(1024, int(rng.lognormvariate(5.3, 0.8))))) for i in range(1200)]
+    rows = packing.pack(docs(data), capacity=1024, vocabulary=None).collect()
+    used = check_pack(rows, data, 1024)
+    assert len(used) <= 1.04 * brute_first_fit([len(t) for _, t in data], 1024)
+
+
 def bits(key):
     return bin(int(hashlib.md5(("" if key is None else str(key)).encode()).hexdigest()[:15], 16))[2:].zfill(60)
 

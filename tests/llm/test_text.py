@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from passagemill.llm import langid, prefix_counts as pc, sequences
 from passagemill.llm._common import code_points
@@ -161,10 +162,16 @@ def test_token_round_trip(docs, tmp_path):
         assert ENC.decode(tokens) == dict(data)[doc]
     assert len(back[4]) == 2 and back[4][0] == back[4][1] and set(back) == {1, None, 4, 5, 6, 7, 8, 40}
     assert sum(r.tokens for r in rows) == sum(len(ENC.encode_ordinary(t)) for _, t in data if t)
-    sequences.write_files(files, str(tmp_path / "out"))
+    n = sequences.write_files(files, str(tmp_path / "out"))
     written = sorted((tmp_path / "out").glob("*.arrow"))
-    assert sum(len(sequences.Reader(p)) for p in written) <= sum(r.sequences for r in rows)  # equal files are one
+    assert n == len(written) == len(rows) and sum(len(sequences.Reader(p)) for p in written) == sum(r.sequences for r in rows)
     assert {sequences.Reader(p)[0][0] for p in written} <= set(back)
+    equal = docs([(1, "one two three " * 40)] * 4).repartition(1)
+    files = sequences.token_files(equal, length=64, batch_rows=1, file_rows=sequences.token_files(equal, length=64).first().sequences // 4)
+    assert files.select("payload").distinct().count() == 1 and sequences.write_files(files, str(tmp_path / "equal")) == 4
+    assert len(list((tmp_path / "equal").glob("*.arrow"))) == 4
+    text = sequences.token_files(docs(data).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).first()
+    assert "d1" in text.doc_ids and {sequences.Reader(text.payload)[i][0] for i in range(2)} <= set(text.doc_ids)
     assert sequences.token_files(docs([])).count() == 0
 
 
