@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
@@ -25,9 +27,61 @@ def tiles(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TILE), 0)
 
 
-def token_spans(text: str, tokenizer: str = "regex") -> Ranges:
+class _Characters(Sequence):
+    """(i, i + 1) for each character, none of them stored."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        i = range(self.n)[i]
+        return i, i + 1
+
+
+@lru_cache(4)
+def _bpe(name: str):
+    """A byte-level BPE of tiktoken: one of its own names, if the vocabulary is at hand, or bpe:path of a rank file."""
+    import tiktoken
+
+    kind, _, path = name.partition(":")
+    if kind != "bpe":
+        return tiktoken.get_encoding(name)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding(path, pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+#: The published split of the byte-level vocabularies of 50,000 tokens.
+BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def bpe_spans(text: str, name: str) -> Ranges:
+    """Spans of the tokens in characters; tokens that share a character have one span together."""
+    enc = _bpe(name)
+    data = enc.decode_tokens_bytes(enc.encode_ordinary(text))
+    out: Ranges = []
+    at = lo = 0  # characters that began so far
+    for piece in data:
+        began = sum(b & 0xC0 != 0x80 for b in piece)
+        if not began and out:
+            continue  # the rest of a character of the token before
+        lo, at = at, at + began
+        if out and piece[0] & 0xC0 == 0x80:
+            out[-1] = out[-1][0], at
+        else:
+            out.append((lo, at))
+    return out
+
+
+def token_spans(text: str, tokenizer: str = "regex") -> Ranges | _Characters:
+    """tokenizer: regex (words and marks), character, a name of tiktoken's, such as cl100k_base, or bpe:path."""
     if tokenizer == "character":
-        return list(zip(range(len(text)), range(1, len(text) + 1)))
+        return _Characters(len(text))
+    if tokenizer != "regex":
+        return bpe_spans(text, tokenizer)
     return [m.span() for m in _TOKEN.finditer(text)]
 
 
@@ -36,7 +90,10 @@ class Ruler:
 
     def __init__(self, text: str, tokenizer: str = "regex") -> None:
         self.text, self.spans = text, token_spans(text, tokenizer)
-        self.starts, self.ends = [s for s, _ in self.spans], [e for _, e in self.spans]
+        if tokenizer == "character":
+            self.starts, self.ends = range(len(text)), range(1, len(text) + 1)
+        else:
+            self.starts, self.ends = [s for s, _ in self.spans], [e for _, e in self.spans]
 
     def count(self, start: int, end: int) -> int:
         # a token that a border cuts still counts as one on each side

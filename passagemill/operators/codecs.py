@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .search import _blocks, dense, doubles, top_k
+from . import search
+from .search import dense, doubles, matrix, scan_topk, top_k
 
 #: Queries whose exact neighbours decide how deep the compressed searches look.
 SAMPLE = 256
@@ -54,7 +55,7 @@ def _least(needs: pd.DataFrame, recall: float, whole: bool) -> int | None:
 def product_depth(vectors: DataFrame, queries: DataFrame, codebook: np.ndarray, k: int = 10, recall: float = 0.9) -> int:
     """The shortlist that product_search() has to rescore for this recall of the exact product, by sampled queries."""
     n, (asked, whole) = vectors.count(), _sample(queries)
-    exact = dense(vectors, asked, k, "dot").select("query_id", "vec_id").toPandas()
+    exact = dense(vectors, asked, k, "dot").select("query_id", "vec_id").toPandas()  # k rows a sampled query
     deep = max(k, 512)
     while len(exact) and deep < n:
         ranks = product_search(vectors, asked, codebook, deep).select("query_id", "vec_id", "rank").toPandas()
@@ -66,46 +67,107 @@ def product_depth(vectors: DataFrame, queries: DataFrame, codebook: np.ndarray,
     return max(k, n)
 
 
-def product_search(vectors: DataFrame, queries: DataFrame, codebook: np.ndarray, k: int = 10, rescore: int = 0) -> DataFrame:
-    """(query_id, vec_id, score, rank): top k by the product of the query and a vector's nearest centroids; with rescore,
-    the best so many of each block of vectors, and so of all, are ranked again by the original product."""
-    subspaces, _, width = codebook.shape
+def product_codes(vectors: DataFrame, codebook: np.ndarray, id_col: str = "vec_id") -> DataFrame:
+    """(id, code): the nearest centroid in each part of the dimensions, a byte or two each."""
+    subspaces, most, width = codebook.shape
     shared = vectors.sparkSession.sparkContext.broadcast(codebook)
+    small = np.uint8 if most <= 256 else np.uint16
+    kind = vectors.schema[id_col].dataType.simpleString()
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                x = np.asarray(part.column(1).flatten()).reshape(part.num_rows, subspaces, width)
-                near = [((x[:, i, None] - book[None, i]) ** 2).sum(-1).argmin(1) for i in range(subspaces)]
-                y = np.concatenate([book[i, n] for i, n in enumerate(near)] + ([x.reshape(len(x), -1)] if rescore else []), axis=1)
-                firsts = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)[: len(y) + 1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(firsts, pa.array(y.ravel()))], ["vec_id", "embedding"])
+                x = matrix(part.column(1)).reshape(part.num_rows, subspaces, width)
+                near = np.stack([((x[:, i, None] - book[None, i]) ** 2).sum(-1).argmin(1) for i in range(subspaces)], 1).astype(small)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in near], pa.binary())], [id_col, "code"])
+
+    return vectors.where("size(embedding) > 0").select(id_col, doubles("embedding")).mapInArrow(run, f"{id_col} {kind}, code binary")
+
 
-    coded = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), doubles("embedding")).mapInArrow(decoded, "vec_id bigint, embedding array<double>")
-    if not rescore:
-        return dense(coded, queries, k, "dot")
+def _doubles_of(queries: DataFrame, query_col: str) -> DataFrame:
+    """(query_id, code): vectors as the bytes of their doubles."""
+    kind = queries.schema[query_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                asked, both = np.frombuffer(row["qm"], np.float64).reshape(-1, row["qd"]), np.frombuffer(row["m"], np.float64).reshape(-1, row["d"])
-                y, x = both[:, : row["qd"]], both[:, row["qd"] :]
-                asked_ids, xi = np.array(row["qids"]), np.array(row["ids"])
-                for lo in range(0, len(asked), 512):
-                    q, qi = asked[lo : lo + 512], asked_ids[lo : lo + 512]
-                    s = np.round(q @ y.T, 6)
-                    s[qi[:, None] == xi] = -np.inf
-                    short = np.sort(np.argsort(-s, axis=1, kind="stable")[:, :rescore], 1) if rescore < len(xi) else np.tile(np.arange(len(xi)), (len(qi), 1))
-                    exact = np.where(np.take_along_axis(s, short, 1) > -np.inf, np.round(np.take_along_axis(q @ x.T, short, 1), 6) + 0.0, -np.inf)
-                    yield _kept(qi, xi, exact, k, short)
-
-    n, nq = vectors.count(), queries.count()
-    corpus = _blocks(coded, "vec_id", max(1, n // 4096))
-    asked = _blocks(queries, "vec_id", max(1, nq // 4096)).select(F.col("ids").alias("qids"), F.col("m").alias("qm"), F.col("d").alias("qd"))
-    found = asked.crossJoin(corpus).select("qids", "qm", "qd", "ids", "m", "d").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    return top_k(found, k, "vec_id")
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in matrix(batch.column(1))], pa.binary())], ["query_id", "code"])
+
+    return queries.where("size(embedding) > 0").select(F.col(query_col).alias("query_id"), doubles("embedding")).mapInArrow(run, f"query_id {kind}, code binary")
+
+
+def _coded_search(codes: DataFrame, queries: DataFrame, depth: int, kind: type, width: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray], id_col: str, skip_self: bool, query_col: str | None) -> DataFrame:
+    """Top depth of codes of so many elements each, for queries that stay as they are."""
+    code_bytes, d = width * np.dtype(kind).itemsize, search.dimensions(queries)
+
+    def read(col: pa.Array) -> np.ndarray:
+        flat = b"".join(col.to_pylist())
+        return np.frombuffer(flat, kind if len(flat) == len(col) * code_bytes else np.float64).reshape(len(col), -1)
+
+    if code_bytes == 8 * d:
+        raise ValueError("codes are as wide as the vectors")
+    asked = _doubles_of(queries, query_col or id_col)
+    return top_k(scan_topk(codes, asked, depth, read, score, id_col, skip_self, d), depth, id_col)
+
+
+def product_search(vectors: DataFrame, queries: DataFrame, codebook: np.ndarray, k: int = 10, rescore: int = 0, id_col: str = "vec_id", skip_self: bool = True, query_col: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): top k by the product of the query and a vector's nearest centroids, from tables of the
+    products of each query's parts with all centroids; with rescore, the best so many are ranked again by the original product."""
+    subspaces, most, width = codebook.shape
+    book = np.where(np.isfinite(codebook), codebook, 0)
+
+    def score(q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        parts = q.reshape(len(q), subspaces, width)
+        out = np.zeros((len(q), len(codes)))
+        for i in range(subspaces):
+            out += (parts[:, i] @ book[i].T)[:, codes[:, i]]
+        return out
+
+    near = _coded_search(product_codes(vectors, codebook, id_col), queries, max(k, rescore), np.uint8 if most <= 256 else np.uint16, subspaces, score, id_col, skip_self, query_col)
+    return search.rescored(near, vectors, queries, k, id_col, query_col) if rescore else near
+
+
+def scalar_fit(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The least element of each dimension, and the step of 255 to the largest; a constant dimension has the range 1."""
+    e = vectors.select(F.posexplode(doubles("embedding")).alias("dim", "x"))
+    rows = sorted(e.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect())  # a row a dimension
+    lo, hi = np.array([r["lo"] for r in rows], np.float64), np.array([r["hi"] for r in rows], np.float64)
+    return lo, np.where(hi > lo, hi - lo, 1.0) / 255.0
+
+
+def scalar_search(vectors: DataFrame, queries: DataFrame, fitted: tuple[np.ndarray, np.ndarray], k: int = 10, rescore: int = 0, id_col: str = "vec_id", skip_self: bool = True, query_col: str | None = None) -> DataFrame:
+    """Top k by the product of the query and a vector's codes of a byte a dimension; rescore as in product_search()."""
+    lo, step = fitted
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = np.clip(np.rint((matrix(batch.column(1)) - lo) / step), 0, 255).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in codes], pa.binary())], [id_col, "code"])
+
+    codes = vectors.where("size(embedding) > 0").select(id_col, doubles("embedding")).mapInArrow(run, f"{id_col} {kind}, code binary")
+    near = _coded_search(codes, queries, max(k, rescore), np.uint8, len(lo), lambda q, c: q @ (c * step + lo).T, id_col, skip_self, query_col)
+    return search.rescored(near, vectors, queries, k, id_col, query_col) if rescore else near
+
+
+CODECS = ("none", "scalar", "product", "binary")
+
+
+def quantized_search(vectors: DataFrame, queries: DataFrame, codec: str = "scalar", k: int = 10, rescore: int = 0, subspaces: int = 8, id_col: str = "vec_id", skip_self: bool = True, query_col: str | None = None) -> DataFrame:
+    """Fit the codec to all vectors, search their codes; rescore: how many of the best are ranked again by the original product."""
+    same = {"id_col": id_col, "skip_self": skip_self, "query_col": query_col}
+    if codec == "none":
+        return dense(vectors, queries, k, "dot", **same)
+    if codec == "scalar":
+        return scalar_search(vectors, queries, scalar_fit(vectors), k, rescore, **same)
+    if codec == "product":
+        return product_search(vectors, queries, product_fit(vectors, subspaces), k, rescore, **same)
+    if codec == "binary":
+        return search.binary_search(vectors, queries, k, rescore, **same)
+    raise ValueError(f"unknown codec {codec!r}; known: {', '.join(CODECS)}")
 
 
 def _kept(qi: np.ndarray, xi: np.ndarray, scores: np.ndarray, k: int, columns: np.ndarray | None = None) -> pa.RecordBatch:

@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.ranking import Postings, postings
 from ..functions.vectors import hashed
 
 #: Word characters of a text-to-vector call that a model reads, by tokens.
@@ -17,23 +18,35 @@ CHARS_PER_TOKEN = 4
 PREFIXES: tuple[tuple[str, str, str], ...] = (("e5", "query: ", "passage: "), ("bge", "Represent this sentence for searching relevant passages: ", ""), ("nomic", "search_query: ", "search_document: "))
 
 
-def _terms(table: DataFrame, id_col: str) -> DataFrame:
-    return table.select(id_col, F.explode(tx.words(F.col("text"))).alias("term")).groupBy(id_col, "term").agg(F.count("*").cast("double").alias("f"))
-
-
 def tfidf_fit(table: DataFrame, id_col: str = "chunk_id", features: int = 4096) -> DataFrame:
     """(term, idf) of the terms that most rows have, ties by term: ln((1 + N) / (1 + df)) + 1."""
     n = table.agg(F.count("*").cast("double").alias("n"))
-    df = _terms(table, id_col).groupBy("term").agg(F.count("*").cast("double").alias("df")).orderBy(F.desc("df"), "term").limit(features)
-    return df.crossJoin(n).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    df = table.select(F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df")).orderBy(F.desc("df"), "term").limit(features)
+    return df.join(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def tfidf_weights(found: Postings, idf: np.ndarray) -> np.ndarray:
+    """(1 + ln f) * idf of postings, each row of length one."""
+    row, term, f, lengths = found
+    w = (1 + np.log(f)) * idf[term]
+    return w / np.sqrt(np.bincount(row, w * w, minlength=len(lengths)))[row]
 
 
 def tfidf_rows(table: DataFrame, idf: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """(id, term, weight): (1 + ln f) * idf, rows of length one. Rows without a known term are absent. idf has at most
-    as many rows as tfidf_fit() has features, whatever the corpus, and is broadcast."""
-    raw = _terms(table, id_col).join(F.broadcast(idf), "term").select(id_col, "term", ((1.0 + F.log("f")) * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(id_col)))
-    return raw.select(id_col, "term", (F.col("w") / norm).alias("weight"))
+    """(id, term, weight): (1 + ln f) * idf, rows of length one. Rows without a known term are absent. One pass without a
+    shuffle: idf has at most as many rows as tfidf_fit() has features, whatever the corpus, and goes to every task."""
+    known = idf.collect()
+    shared = table.sparkSession.sparkContext.broadcast((pa.array([r["term"] for r in known], pa.string()), np.array([r["idf"] for r in known], np.float64)))
+    kind = table.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, idfs = shared.value
+        for batch in batches:
+            found = postings(batch.column(1), vocabulary)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[0])), vocabulary.take(pa.array(found[1])), pa.array(tfidf_weights(found, idfs))], ["id", "term", "weight"])
+
+    rows = table.select(F.col(id_col).alias("id"), tx.words(F.col("text")).alias("w")).where("w is not null")
+    return rows.mapInArrow(run, f"id {kind}, term string, weight double").withColumnRenamed("id", id_col)
 
 
 def lengths(table: DataFrame, id_col: str = "chunk_id") -> DataFrame:

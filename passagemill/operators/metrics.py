@@ -16,6 +16,14 @@ def check_run(run: DataFrame) -> DataFrame:
     return run.groupBy("query_id", "chunk_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def once(run: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, rank) of a run; it fails when it is read if a ranking has a chunk more than once. The aggregate
+    leaves the rows where the join with the judgements wants them."""
+    by = run.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.count("*").alias("n__"))
+    why = F.concat(F.lit("a ranking has a chunk more than once: "), F.to_json(F.struct("query_id", "chunk_id")))
+    return by.select("query_id", "chunk_id", F.when(F.col("n__") > 1, F.raise_error(why).cast("int")).otherwise(F.col("rank")).alias("rank"))
+
+
 def per_query(qrels: DataFrame, run: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
     """(query_id, k, recall, precision, hit_rate, mrr, map, ndcg) for each query with a relevant chunk; one that
     the run lacks scores 0. qrels(query_id, chunk_id, grade), run(query_id, chunk_id, rank)."""
@@ -26,7 +34,7 @@ def per_query(qrels: DataFrame, run: DataFrame, ks: Sequence[int] = KS) -> DataF
     by_query = W.partitionBy("query_id")
     ideal = relevant.withColumn("pos", F.row_number().over(by_query.orderBy(F.desc("grade"), "chunk_id")))
     ideal = ideal.withColumn("n_rel", F.count("*").over(by_query)).select("query_id", "n_rel", "pos", F.col("grade").alias("ideal_grade"))
-    hits = run.select("query_id", "chunk_id", "rank").join(relevant, ["query_id", "chunk_id"]).withColumn("found", F.row_number().over(by_query.orderBy("rank")))
+    hits = once(run).join(relevant, ["query_id", "chunk_id"]).withColumn("found", F.row_number().over(by_query.orderBy("rank")))
     levels = F.broadcast(spark.createDataFrame([(int(k),) for k in ks], "k int"))
     gain = F.col("ideal_grade") / F.log2(F.col("pos") + 1.0)
     base = ideal.crossJoin(levels).groupBy("query_id", "n_rel", "k").agg(F.sum(F.when(F.col("pos") <= F.col("k"), gain).otherwise(F.lit(0.0))).alias("idcg"))
@@ -55,7 +63,7 @@ def evaluate(qrels: DataFrame, run: DataFrame, ks: Sequence[int] = KS) -> DataFr
 
 def first_relevant(qrels: DataFrame, run: DataFrame) -> DataFrame:
     """(mean_rank, misses): the mean rank of the first relevant chunk, and queries without one."""
-    first = run.join(qrels.where("grade > 0"), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+    first = once(run).join(qrels.where("grade > 0"), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
     queries = qrels.where("grade > 0").select("query_id").distinct().join(first, "query_id", "left")
     return queries.agg(F.round(F.avg("first"), 6).alias("mean_rank"), F.count_if(F.col("first").isNull()).alias("misses"))
 
@@ -70,7 +78,7 @@ def diagnose(queries: DataFrame, qrels: DataFrame, run: DataFrame, k: int = 5, d
     """(query_id, failure): fp1 no relevant chunk; fp3 none returned, or past deep_k; fp2 the first past k; fp7 found, but
     not all within k; none."""
     rel = qrels.where("grade > 0").select("query_id", "chunk_id")
-    hit = rel.join(run.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left")
+    hit = rel.join(once(run), ["query_id", "chunk_id"], "left")
     each = hit.groupBy("query_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.count_if(F.col("rank") <= k).alias("inside"))
     j = queries.select("query_id").join(each, "query_id", "left")
     failure = (
@@ -80,6 +88,17 @@ def diagnose(queries: DataFrame, qrels: DataFrame, run: DataFrame, k: int = 5, d
     return j.select("query_id", failure.alias("failure"))
 
 
+def cluster(diagnosed: DataFrame) -> DataFrame:
+    """(failure, n, query_ids) of diagnose(), most questions first."""
+    return diagnosed.groupBy("failure").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("query_id")).alias("query_ids")).orderBy(F.desc("n"), "failure")
+
+
+def dominant(diagnosed: DataFrame) -> str | None:
+    """The failure that most questions have, the first by name if several tie; None without one."""
+    row = diagnosed.where("failure <> 'none'").groupBy("failure").count().orderBy(F.desc("count"), "failure").first()
+    return row["failure"] if row else None
+
+
 def compare(left: DataFrame, right: DataFrame, metric: str, k: int) -> DataFrame:
     """(n, wins, losses, ties, mean_difference) of two per_query() tables over the queries of both."""
     a, b = (x.where(F.col("k") == k).select("query_id", F.col(metric).alias(n)) for x, n in ((left, "a"), (right, "b")))
@@ -88,11 +107,19 @@ def compare(left: DataFrame, right: DataFrame, metric: str, k: int) -> DataFrame
     return j.agg(F.count("*").alias("n"), F.count_if(d > 1e-9).alias("wins"), F.count_if(d < -1e-9).alias("losses"), F.count_if(F.abs(d) <= 1e-9).alias("ties"), F.round(F.avg(d), 6).alias("mean_difference"))
 
 
+#: Draws of a resampling that are held at a time.
+_DRAWS = 1 << 22
+
+
 def bootstrap(values: np.ndarray, resamples: int = 2000, seed: int = 0, confidence: float = 0.95) -> tuple[float, float, float]:
-    """Mean, and the interval of the means of resamples."""
-    n = len(values)
-    drawn = np.random.default_rng(seed).integers(0, n, (resamples, n))
-    low, high = np.quantile(values[drawn].mean(1), [0.5 - confidence / 2, 0.5 + confidence / 2])
+    """Mean, and the interval of the means of resamples. Drawn row by row, so that the numbers are those of one draw."""
+    n, rng = len(values), np.random.default_rng(seed)
+    if not n:
+        return float("nan"), float("nan"), float("nan")
+    means, step = np.empty(resamples), max(1, _DRAWS // n)
+    for lo in range(0, resamples, step):
+        means[lo : lo + step] = values[rng.integers(0, n, (min(step, resamples - lo), n))].mean(1)
+    low, high = np.quantile(means, [0.5 - confidence / 2, 0.5 + confidence / 2])
     return float(values.mean()), float(low), float(high)
 
 
@@ -100,9 +127,12 @@ def sign_flip(differences: np.ndarray, resamples: int = 2000, seed: int = 0) ->
     """p of the mean difference, with signs flipped at random; 1 for equal scores."""
     if not differences.any():
         return 1.0
-    flips = np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (resamples, len(differences)))
-    extreme = np.abs(flips @ differences) >= abs(differences.sum()) - 1e-12 * len(differences)
-    return (1 + int(extreme.sum())) / (1 + resamples)
+    rng, n, extreme = np.random.default_rng(seed), len(differences), 0
+    step = max(1, _DRAWS // n)
+    for lo in range(0, resamples, step):
+        flips = rng.choice(np.array([-1.0, 1.0]), (min(step, resamples - lo), n))
+        extreme += int((np.abs(flips @ differences) >= abs(differences.sum()) - 1e-12 * n).sum())
+    return (1 + extreme) / (1 + resamples)
 
 
 def significance(left: DataFrame, right: DataFrame, metric: str, k: int, resamples: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:

@@ -7,56 +7,52 @@ results of different chunkers compare.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import spans as sp
+from .search import slabs
 
-#: Characters of all quotes together up to which find_quotes() sends one automaton to every task.
-QUOTES_LIMIT = 64 << 20
+#: Characters of the quotes that one scan of the texts looks for; more quotes take more scans.
+SLAB = 8 << 20
 
 
 def find_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """(item_id, doc_id, start, end, occurrence): every place, overlapping ones too, where a quote occurs in a document.
-    quotes(item_id, quote). One scan of the texts with an automaton of all quotes; too many quotes for that are
-    searched for pair by pair."""
+    quotes(item_id, quote). One scan of the texts, with an automaton of the quotes, for each slab of quotes."""
     size = quotes.agg(F.coalesce(F.sum(F.length("quote")), F.lit(0)).alias("n")).first()["n"]
     schema = "item_id bigint, doc_id bigint, start int, end int, occurrence int"
-    if size > QUOTES_LIMIT:
-        def pairwise(batches):
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    parts = []
+    for part in slabs(quotes.where("length(quote) > 0").select("item_id", "quote"), "quote", size, SLAB):
+        by_quote: dict[str, list[int]] = {}
+        for r in part.collect():  # about SLAB characters
+            by_quote.setdefault(r.quote, []).append(r.item_id)
+        shared = docs.sparkSession.sparkContext.broadcast(by_quote)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            machine = ahocorasick.Automaton()
+            for quote in shared.value:
+                machine.add_word(quote, quote)
+            machine.make_automaton()
             for batch in batches:
-                out = []
-                for doc, text, item, quote in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                    out += [(item, doc, s, s + len(quote), n) for n, s in enumerate(occurrences(text, quote))]
-                yield pa.RecordBatch.from_pylist([dict(zip(("item_id", "doc_id", "start", "end", "occurrence"), o)) for o in out], schema=pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("occurrence", pa.int32())]))
-        both = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").crossJoin(quotes.select("item_id", "quote")).where("length(quote) > 0 and contains(text, quote)")
-        return both.mapInArrow(pairwise, schema)
-    rows = [(r.item_id, r.quote) for r in quotes.where("length(quote) > 0").select("item_id", "quote").collect()]
-    by_quote: dict[str, list[int]] = {}
-    for item, quote in rows:
-        by_quote.setdefault(quote, []).append(item)
-    shared = docs.sparkSession.sparkContext.broadcast(by_quote)
+                out: list[tuple] = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    seen: dict[str, int] = {}
+                    for last, quote in machine.iter(text) if text and len(machine) else ():
+                        n = seen[quote] = seen.get(quote, -1) + 1
+                        out += [(item, doc, last + 1 - len(quote), last + 1, n) for item in shared.value[quote]]
+                cols = list(zip(*out)) or [()] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["item_id", "doc_id", "start", "end", "occurrence"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = ahocorasick.Automaton()
-        for quote in shared.value:
-            machine.add_word(quote, quote)
-        machine.make_automaton()
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen: dict[str, int] = {}
-                for last, quote in machine.iter(text) if text and len(machine) else ():
-                    n = seen[quote] = seen.get(quote, -1) + 1
-                    out += [(item, doc, last + 1 - len(quote), last + 1, n) for item in shared.value[quote]]
-            cols = list(zip(*out)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["item_id", "doc_id", "start", "end", "occurrence"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+        parts.append(texts.mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def occurrences(text: str, quote: str) -> list[int]:
@@ -68,61 +64,107 @@ def occurrences(text: str, quote: str) -> list[int]:
     return out
 
 
-Collapsed = tuple[str, list[int]]
+_WHITE = re.compile(r"\s+")
+
+
+def collapse(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """Runs of white space as one space, and where the text left and the text given part: (place left, characters lost
+    before it), in order."""
+    lost, marks = 0, [(0, 0)]
+    for m in _WHITE.finditer(text):
+        if m.end() - m.start() > 1:
+            lost += m.end() - m.start() - 1
+            marks.append((m.end() - lost, lost))
+    return _WHITE.sub(" ", text), marks
+
 
+def _origin(marks: list[tuple[int, int]], at: int) -> int:
+    return at + marks[bisect_right(marks, (at, 1 << 62)) - 1][1]
 
-def collapse(text: str) -> Collapsed:
-    """Runs of white space as one space, and where each character left comes from."""
-    out, at = [], []
-    for i, c in enumerate(text):
-        if c.isspace():
-            if out and out[-1] == " " and text[i - 1].isspace():
-                continue
-            c = " "
-        out.append(c)
-        at.append(i)
-    return "".join(out), at
 
+#: Where a quote is, how it was found, and in how many places it could be.
+Place = tuple[int, int, str, int]
 
-def locate(quote: str, text: str, occurrence: int = 0, bounded: bool = False, slack: float = 1.5, edge: int = 3) -> tuple[int, int, str] | None:
-    """(start, end, strategy) of a quote: exact; then with white space collapsed; then, if asked for, from its first
-    words to its last, if that is at most slack times as long."""
+
+def candidates(quote: str, text: str, bounded: bool = False, slack: float = 1.5, edge: int = 3) -> tuple[str, list[tuple[int, int]]]:
+    """The first strategy that finds a quote, and all places it finds: exact; with white space collapsed; then, if asked
+    for, from its first words to its last, if that is at most slack times as long. not_found without any."""
     quote = quote.strip()
     if not quote or not text:
-        return None
-    found = occurrences(text, quote)
-    if occurrence < len(found):
-        return found[occurrence], found[occurrence] + len(quote), "exact"
-    flat, at = collapse(text)
+        return "not_found", []
+    if found := occurrences(text, quote):
+        return "exact", [(s, s + len(quote)) for s in found]
+    flat, marks = collapse(text)
     words = quote.split()
     needle = " ".join(words)
-    found = occurrences(flat, needle)
-    if occurrence < len(found):
-        s = found[occurrence]
-        return at[s], at[s + len(needle) - 1] + 1, "normalised"
+    if found := occurrences(flat, needle):
+        return "normalised", [(_origin(marks, s), _origin(marks, s + len(needle) - 1) + 1) for s in found]
     if bounded and len(words) >= 2 * edge:
         head, tail = " ".join(words[:edge]), " ".join(words[-edge:])
-        s = flat.find(head)
-        t = flat.find(tail, s + len(head)) if s >= 0 else -1
-        if t >= 0 and t + len(tail) - s <= len(quote) * slack:
-            return at[s], at[t + len(tail) - 1] + 1, "bounded"
-    return None
+        places = []
+        for s in occurrences(flat, head):
+            t = flat.find(tail, s + len(head))
+            if t >= 0 and t + len(tail) - s <= len(quote) * slack:
+                places.append((_origin(marks, s), _origin(marks, t + len(tail) - 1) + 1))
+        if places:
+            return "bounded", places
+    return "not_found", []
+
+
+def locate(quote: str, text: str, occurrence: int = 0, bounded: bool = False, slack: float = 1.5, edge: int = 3, page_hint: int | None = None, pages: list[tuple[int, int]] | None = None) -> Place | None:
+    """(start, end, strategy, places): place number occurrence of candidates(). Where some places start on the page that the
+    hint names, only these count; pages: (start, number) in order. Out of range: (None, None, "out_of_range", places)."""
+    strategy, places = candidates(quote, text, bounded, slack, edge)
+    if not places:
+        return None
+    if page_hint is not None and pages:
+        starts = [p[0] for p in pages]
+        there = [p for p in places if pages[max(0, bisect_right(starts, p[0]) - 1)][1] == page_hint]
+        places = there or places
+    if occurrence >= len(places):
+        return None, None, "out_of_range", len(places)
+    return *places[occurrence], strategy, len(places)
 
 
 def resolve_anchors(anchors: DataFrame, docs: DataFrame, bounded: bool = False) -> DataFrame:
-    """anchors(item_id, doc_id, quote, occurrence) -> with start, end and strategy, which is not_found, or no_document,
-    where there is none."""
+    """anchors(item_id, doc_id, quote, occurrence, and if it is there page_hint) -> with start, end, strategy and ambiguous:
+    whether the first of several places was taken. Without a place the strategy says why: not_found, out_of_range, or
+    no_document. docs may have pages: array of (start, number)."""
+    hints = "page_hint" if "page_hint" in anchors.columns else None
+    own = docs.select("doc_id", "text", *(["pages"] if "pages" in docs.columns else []), F.lit(True).alias("known"))
+    pages = F.col("pages") if "pages" in docs.columns else F.lit(None).cast("array<struct<start:int,number:int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for quote, text, n, known in zip(*(batch.column(c).to_pylist() for c in ("quote", "text", "occurrence", "known"))):
-                out.append((locate(quote or "", text or "", n or 0, bounded) or (None, None, "not_found")) if known else (None, None, "no_document"))
-            cols = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("doc_id"), batch.column("quote"), *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.string())))], ["item_id", "doc_id", "quote", "start", "end", "strategy"])
+            for quote, text, n, known, hint, at in zip(*(batch.column(c).to_pylist() for c in ("quote", "text", "occurrence", "known", "hint", "pages"))):
+                if not known:
+                    out.append((None, None, "no_document", False))
+                    continue
+                found = locate(quote or "", text or "", n or 0, bounded, page_hint=hint, pages=[(p["start"], p["number"]) for p in at or ()])
+                out.append((None, None, "not_found", False) if found is None else (*found[:3], found[0] is not None and found[3] > 1 and not n))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("doc_id"), batch.column("quote"), *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.bool_())))], ["item_id", "doc_id", "quote", "start", "end", "strategy", "ambiguous"])
+
+    joined = anchors.join(own, "doc_id", "left").withColumns({"hint": F.col(hints).cast("int") if hints else F.lit(None).cast("int"), "pages": pages})
+    return joined.select("item_id", "doc_id", "quote", "occurrence", "text", "known", "hint", "pages").mapInArrow(run, "item_id bigint, doc_id bigint, quote string, start int, end int, strategy string, ambiguous boolean")
+
 
-    joined = anchors.join(docs.select("doc_id", "text", F.lit(True).alias("known")), "doc_id", "left")
-    return joined.select("item_id", "doc_id", "quote", "occurrence", "text", "known").mapInArrow(run, "item_id bigint, doc_id bigint, quote string, start int, end int, strategy string")
+def resolve_everywhere(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id, start, end, strategy) of quotes(item_id, quote) wherever a document has one, by any strategy, and one row
+    not_found for a quote that none has. Each strategy needs the quote's first words, white space aside: one scan finds the
+    documents that have them, and only these are looked at."""
+    squeeze = lambda c: F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
+    heads = quotes.select("item_id", F.array_join(F.slice(F.split(squeeze(F.col("quote")), " "), 1, 3), " ").alias("quote"))
+    where = find_quotes(docs.select("doc_id", squeeze(F.col("text")).alias("text")), heads).select("item_id", "doc_id").distinct()
+    found = resolve_anchors(where.join(quotes, "item_id").withColumn("occurrence", F.lit(0)), docs, True).where("start is not null").drop("quote", "ambiguous")
+    none = quotes.select("item_id").distinct().join(found.select("item_id"), "item_id", "left_anti")
+    return found.unionByName(none.select("item_id", F.lit("not_found").alias("strategy")), allowMissingColumns=True)
+
+
+def resolution_report(resolved: DataFrame) -> DataFrame:
+    """(strategy, n) of resolve_anchors(): absent quotes and those of a wrong number apart."""
+    return resolved.groupBy("strategy").agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("ambiguous"))
 
 
 def judge(gold: DataFrame, chunks: DataFrame, policy: str = "coverage") -> DataFrame:
@@ -177,6 +219,31 @@ def character_metrics(gold: DataFrame, retrieved: DataFrame) -> DataFrame:
     return all_.select("item_id", F.round(recall, 6).alias("char_recall"), F.round(precision, 6).alias("char_precision"), F.round(f1, 6).alias("char_f1"))
 
 
+def retrieved_characters(retrieved: DataFrame) -> DataFrame:
+    """(item_id, characters): what spans(item_id, doc_id, start, end) cover together."""
+    return sp.total_length(retrieved, ["item_id", "doc_id"]).groupBy("item_id").agg(F.sum("total_length").alias("characters"))
+
+
+def gold_coverage(gold: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(item_id, chunk_id, covered): the share of an item's evidence, merged, that each chunk has."""
+    merged = sp.merge_spans(gold.select("item_id", "doc_id", "start", "end"), ["item_id", "doc_id"])
+    size = merged.groupBy("item_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+    g = merged.withColumnsRenamed({"start": "gs", "end": "ge"})
+    each = g.join(chunks.select("doc_id", "chunk_id", "start", "end"), "doc_id").where("start < ge and gs < end")
+    by = each.groupBy("item_id", "chunk_id").agg(F.sum(sp.overlap_len("start", "end", "gs", "ge")).alias("o"))
+    return by.join(size, "item_id").select("item_id", "chunk_id", F.round(F.col("o") / F.col("n"), 6).alias("covered"))
+
+
+def items_without_gold(items: DataFrame, gold: DataFrame) -> DataFrame:
+    return items.join(gold.select("item_id").distinct(), "item_id", "left_anti")
+
+
+def gold_extent(gold: DataFrame) -> DataFrame:
+    """(item_id, gold_length, documents) of an item's evidence, merged."""
+    merged = sp.merge_spans(gold.select("item_id", "doc_id", "start", "end"), ["item_id", "doc_id"])
+    return merged.groupBy("item_id").agg(F.sum(F.col("end") - F.col("start")).cast("bigint").alias("gold_length"), F.countDistinct("doc_id").alias("documents"))
+
+
 def self_check(gold: DataFrame, docs: DataFrame) -> DataFrame:
     """(items, missing_document, out_of_bounds, text_differs): gold(doc_id, start, end, quote) against the documents."""
     j = gold.join(docs.select("doc_id", "text"), "doc_id", "left")
@@ -184,5 +251,3 @@ def self_check(gold: DataFrame, docs: DataFrame) -> DataFrame:
     differs = ~out & (F.expr("substring(text, start + 1, end - start)") != F.col("quote"))
     return j.agg(F.count("*").alias("items"), F.count_if(F.col("text").isNull()).alias("missing_document"), F.count_if(out).alias("out_of_bounds"), F.count_if(differs).alias("text_differs"))
 
-
-WHITE = re.compile(r"\s+")

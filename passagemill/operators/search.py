@@ -1,21 +1,26 @@
 """Indexes and searches: BM25, TF-IDF, dense vectors, compressed vectors, and the fusion of ranked lists.
 
-A search is a join and a top-k. Scores are rounded to six places before they are ranked, so that equal scores tie
-whatever the order of summation; ties go to the smaller id.
+The query side of a search is a bounded slab: queries go to the tasks in slabs of a checked size, each slab is one pass
+over the rows, and a task sends k rows a query, so that neither postings nor pairs of a query and a row shuffle. Scores are
+rounded to six places before they are ranked, so that equal scores tie whatever the order of summation; ties go to the
+smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import text as tx
-from ..runtime import cut
+from ..functions import ranking, text as tx
 
 K1, B = 1.5, 0.75
+#: What one slab of queries may hold: pairs of a query and a term, and elements of dense vectors.
+SLAB_TERMS, SLAB_ELEMENTS = 2_000_000, 8_000_000
 
 
 def top_k(scored: DataFrame, k: int, id_col: str = "chunk_id", by: str = "score") -> DataFrame:
@@ -24,41 +29,109 @@ def top_k(scored: DataFrame, k: int, id_col: str = "chunk_id", by: str = "score"
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _terms(table: DataFrame, id_col: str) -> DataFrame:
-    return table.select(id_col, F.explode(tx.words(F.col("text"))).alias("term"))
+def slabs(table: DataFrame, id_col: str, size: int, most: int) -> list[DataFrame]:
+    """The table in parts of about most of its size units each, by hashed id."""
+    n = max(1, -(-size // most))
+    return [table.where(F.pmod(F.xxhash64(id_col), F.lit(n)) == i) for i in range(n)] if n > 1 else [table]
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """chunks(chunk_id, text), queries(query_id, text) -> (query_id, chunk_id, score, rank). A term counts as often as
-    the query repeats it; chunks without a term of the query are absent.
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _words(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", tx.words(F.col("text")).alias("w")).where("w is not null")
 
-    One pass over the texts makes the postings of terms that some query has, and under the empty term one for each
-    chunk with its length; document frequencies, sizes and scores come from these."""
-    asked = _terms(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
-    sized = chunks.select("chunk_id", tx.words(F.col("text")).alias("w")).where("w is not null").select("chunk_id", F.size("w").alias("len"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
-    rows = cut(sized.join(wanted, "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count("*").cast("double").alias("f")))
-    stats = rows.where("term = ''").agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avgdl"))
-    postings = rows.where("term <> ''")
-    df = postings.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    idf = df.crossJoin(stats).select("term", "avgdl", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    norm = F.col("f") + k1 * (1.0 - b + b * F.col("len") / F.col("avgdl"))
-    part = F.col("qf") * F.col("idf") * F.col("f") * (k1 + 1.0) / norm
-    scored = postings.join(idf, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored, k)
 
+def _nothing(spark: SparkSession, query: str, id_col: str = "chunk_id", kind: str = "string") -> DataFrame:
+    return spark.createDataFrame([], f"query_id {query}, {id_col} {kind}, score double")
 
-def tfidf(table: DataFrame, id_col: str = "chunk_id", features: int = 4096) -> DataFrame:
-    """(id, term, weight) of a table under its own document frequencies; see embed."""
-    from .embed import tfidf_fit, tfidf_rows
 
-    return tfidf_rows(table, tfidf_fit(table, id_col, features), id_col)
+def _collected(part: DataFrame) -> tuple[list, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, terms, and the entries (query, term, weight) of a slab of (query_id, term, weight)."""
+    rows = part.collect()  # at most SLAB_TERMS entries
+    queries: dict = {}
+    terms: dict[str, int] = {}
+    q = np.array([queries.setdefault(r[0], len(queries)) for r in rows], np.int64)
+    t = np.array([terms.setdefault(r[1], len(terms)) for r in rows], np.int64)
+    return list(queries), list(terms), q, t, np.array([r[2] for r in rows], np.float64)
 
 
-def sparse_dot(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Top k by the product of sparse rows: chunks(chunk_id, term, weight), queries(query_id, term, weight)."""
-    both = chunks.join(queries.withColumnRenamed("weight", "qw"), "term")
-    return top_k(both.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score")), k)
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """chunks(chunk_id, text), queries(query_id, text) -> (query_id, chunk_id, score, rank). A term counts as often as
+    the query repeats it; chunks without a term of the query are absent.
+
+    Two passes over the texts a slab of queries: one counts the documents that have its terms, the other scores."""
+    spark, kind = chunks.sparkSession, queries.schema["query_id"].dataType.simpleString()
+    asked = queries.select("query_id", F.explode(tx.words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    words, found = _words(chunks), []
+    for part in slabs(asked, "query_id", asked.count(), SLAB_TERMS):
+        ids, terms, q, t, weight = _collected(part)
+        if not ids:
+            continue
+        vocabulary = pa.array(terms, pa.string())
+
+        def count(batches: Iterator[pa.RecordBatch], vocabulary: pa.Array = vocabulary) -> Iterator[pa.RecordBatch]:
+            df, n, total = np.zeros(len(vocabulary), np.int64), 0, 0
+            for batch in batches:
+                _, term, _, lengths = ranking.postings(batch.column(0), vocabulary)
+                df += np.bincount(term, minlength=len(vocabulary))
+                n, total = n + len(lengths), total + int(lengths.sum())
+            flat = np.concatenate([df, [n, total]])
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["i", "n"])
+
+        sums = np.zeros(len(terms) + 2)
+        for r in words.select("w").mapInArrow(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row a term
+            sums[r["i"]] = r["n"]
+        df, n, total = sums[:-2], sums[-2], sums[-1]
+        if not n:
+            continue
+        idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / n
+        held = spark.sparkContext.broadcast((ranking.Asked(_ids(ids, queries), vocabulary, q, t, weight), idf))
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held, mean: float = mean) -> Iterator[pa.RecordBatch]:
+            asked_, idf_ = held.value
+
+            def weigh(p: ranking.Postings) -> np.ndarray:
+                row, term, f, lengths = p
+                return idf_[term] * f * (k1 + 1) / (f + k1 * (1 - b + b * lengths[row] / (mean or 1)))
+
+            yield from ranking.sparse_scan(asked_, weigh, k)(batches)
+
+        found.append(words.mapInArrow(scan, f"query_id {kind}, chunk_id string, score double"))
+    return top_k(_union(found or [_nothing(spark, kind)]), k)
+
+
+def _ids(values: list, like: DataFrame) -> pa.Array:
+    """Query ids of any type as Arrow takes them."""
+    plain = [v.asDict() if hasattr(v, "asDict") else v for v in values]
+    return pa.array(plain, to_arrow_type(like.schema["query_id"].dataType))
+
+
+def tfidf_search(chunks: DataFrame, queries: DataFrame, idf: DataFrame, k: int = 10) -> DataFrame:
+    """Top k by the product of TF-IDF rows of chunks(chunk_id, text) and queries(query_id, text); idf: of tfidf_fit(). One pass
+    over the texts a slab of queries; the vocabulary is at most as large as tfidf_fit() was told."""
+    from .embed import tfidf_rows, tfidf_weights
+
+    spark, kind = chunks.sparkSession, queries.schema["query_id"].dataType.simpleString()
+    known = {r["term"]: r["idf"] for r in idf.collect()}  # at most the features of tfidf_fit()
+    vocabulary, idfs = pa.array(list(known), pa.string()), np.array(list(known.values()), np.float64)
+    place = {t: i for i, t in enumerate(known)}
+    asked = tfidf_rows(queries, idf, "query_id").select("query_id", "term", "weight")
+    words, found = _words(chunks), []
+    for part in slabs(asked, "query_id", asked.count(), SLAB_TERMS):
+        ids, terms, q, t, weight = _collected(part)
+        if not ids:
+            continue
+        to = np.array([place[x] for x in terms], np.int64)
+        held = spark.sparkContext.broadcast(ranking.Asked(_ids(ids, queries), vocabulary, q, to[t], weight))
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            yield from ranking.sparse_scan(held.value, lambda p: tfidf_weights(p, idfs), k)(batches)
+
+        found.append(words.mapInArrow(scan, f"query_id {kind}, chunk_id string, score double"))
+    return top_k(_union(found or [_nothing(spark, kind)]), k)
 
 
 def doubles(v: str | Column) -> Column:
@@ -75,45 +148,67 @@ def normalise(v: str | Column) -> Column:
     return F.transform(doubles(v), lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
-def _blocks(vectors: DataFrame, id_col: str, blocks: int) -> DataFrame:
-    """(block, ids, matrix): vectors of a block as one row of float64 bytes."""
+def matrix(col: pa.Array) -> np.ndarray:
+    """A list column without nulls as a matrix of doubles."""
+    return np.asarray(col.flatten(), np.float64).reshape(len(col), -1)
 
-    def run(group: pa.Table) -> pa.Table:
-        ids = group["id"].to_numpy()
-        order = np.argsort(ids)
-        x = np.array(group["v"].to_pylist(), np.float64)[order]
-        return pa.table({"block": group["block"].slice(0, 1), "ids": pa.array([ids[order].tolist()]), "d": pa.array([x.shape[1]], pa.int32()), "m": pa.array([x.tobytes()], pa.binary())})
 
-    keyed = vectors.select(F.col(id_col).alias("id"), doubles("embedding").alias("v")).where("size(v) > 0").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    return keyed.groupBy("block").applyInArrow(run, "block bigint, ids array<bigint>, d int, m binary")
+def scan_topk(rows: DataFrame, queries: DataFrame, k: int, read: Callable[[pa.Array], np.ndarray], score: Callable[[np.ndarray, np.ndarray], np.ndarray], id_col: str = "vec_id", skip_self: bool = False, width: int = 64) -> DataFrame:
+    """(query_id, id, score): exact top k of rows(id, payload) for queries(query_id, payload); a task keeps k a query over all
+    of its rows. read: a column of payloads as an array; score: a matrix of queries by rows; width: elements of a query."""
+    spark = rows.sparkSession
+    kind, asks = rows.schema[0].dataType.simpleString(), queries.schema[0].dataType.simpleString()
+    found = []
+    for part in slabs(queries, queries.columns[0], queries.count() * max(1, width), SLAB_ELEMENTS):
+        table = part.toArrow().combine_chunks()  # at most SLAB_ELEMENTS elements
+        if not table.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((table.column(0).to_numpy(), read(table.column(1).combine_chunks())))
 
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qi, q = shared.value
+            keeper = ranking.Keeper(len(qi), k)
+            step = max(1, ranking.CELLS // len(qi))
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                x = read(batch.column(1))
+                for lo in range(0, len(ids), step):
+                    s = np.round(score(q, x[lo : lo + step]), 6) + 0.0
+                    if skip_self:
+                        s[qi[:, None] == ids[lo : lo + step]] = -np.inf
+                    keeper.add_block(s, ids[lo : lo + step])
+            at, ids, s = keeper.compact()
+            yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(ids), pa.array(s)], ["query_id", id_col, "score"])
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "vec_id", skip_self: bool = True, block_rows: int = 4096) -> DataFrame:
-    """Exact search by blocks: each pair of a block of queries and one of vectors is one matrix product in one task,
-    which keeps k a query. (query_id, vec_id, score, rank); metric: cosine, dot or l2 (negated)."""
+        found.append(rows.mapInArrow(run, f"query_id {asks}, {id_col} {kind}, score double"))
+    return _union(found or [_nothing(spark, asks, id_col, kind)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q, x = (np.frombuffer(row[m], np.float64).reshape(-1, row["d"]) for m in ("qm", "m"))
-                qi, xi = np.array(row["qids"]), np.array(row["ids"])
-                if metric == "cosine":
-                    q, x = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1) for v in (q, x))
-                s = q @ x.T if metric != "l2" else -((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * (q @ x.T))
-                s = np.round(s, 6) + 0.0
-                if skip_self:
-                    s[qi[:, None] == xi] = -np.inf
-                most = min(k, len(xi))
-                order = np.argsort(-s, axis=1, kind="stable")[:, :most]  # ids ascend, so ties go to the smaller
-                best = np.take_along_axis(s, order, 1)
-                ok = (best > -np.inf).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, most)[ok]), pa.array(xi[order].ravel()[ok]), pa.array(best.ravel()[ok])], ["query_id", "vec_id", "score"])
-
-    n, nq = vectors.count(), queries.count()
-    corpus = _blocks(vectors, id_col, max(1, n // block_rows))
-    asked = _blocks(queries, id_col, max(1, nq // block_rows)).select(F.col("ids").alias("qids"), F.col("m").alias("qm"))
-    found = asked.crossJoin(corpus).select("qids", "qm", "ids", "m", "d").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    return top_k(found, k, "vec_id")
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay."""
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
+
+
+SCORES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "cosine": lambda q, x: unit(q) @ unit(x).T,
+    "dot": lambda q, x: q @ x.T,
+    "l2": lambda q, x: -((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * (q @ x.T)),
+}
+
+
+def dimensions(vectors: DataFrame) -> int:
+    return vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "vec_id", skip_self: bool = True, query_col: str | None = None) -> DataFrame:
+    """Exact search: (query_id, id, score, rank). metric: cosine, dot or l2 (negated). Null and empty vectors are nothing's
+    neighbour; a vector of another dimension than the first raises."""
+    if metric not in SCORES:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(SCORES)}")
+    asked = queries.where("size(embedding) > 0").select(F.col(query_col or id_col).alias("query_id"), doubles("embedding").alias("v"))
+    rows = vectors.where("size(embedding) > 0").select(id_col, doubles("embedding").alias("v"))
+    return top_k(scan_topk(rows, asked, k, matrix, SCORES[metric], id_col, skip_self, dimensions(queries)), k, id_col)
 
 
 def rrf(lists: list[DataFrame], k: int = 10, c: int = 60, id_col: str = "chunk_id") -> DataFrame:
@@ -155,27 +250,59 @@ def scalar_quantise(vectors: DataFrame) -> DataFrame:
     return coded.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["c"]).alias("codes"))
 
 
-def binary_codes(vectors: DataFrame) -> DataFrame:
-    """(vec_id, bits): whether each dimension is above its mean."""
-    e = _elements(vectors)
-    means = e.groupBy("dim").agg(F.round(F.avg("x"), 9).alias("mean"))
-    bits = e.join(F.broadcast(means), "dim").select("vec_id", F.struct("dim", (F.col("x") > F.col("mean")).cast("int").alias("b")).alias("p"))
-    return bits.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["b"]).alias("bits"))
-
-
-def binary_search(vectors: DataFrame, queries: DataFrame, k: int = 10, rescore: int = 0) -> DataFrame:
-    """Top k by bits that agree; with rescore, the best so many are ranked again by the original product. Bits as +1
-    and -1 make the Hamming distance (d - product) / 2, so that the blocks of dense() serve here too."""
-    signed = binary_codes(vectors).select("vec_id", F.transform("bits", lambda b: 2.0 * b - 1.0).alias("embedding"))
-    asked = signed.join(queries.select("vec_id"), "vec_id", "left_semi")
-    near = dense(signed, asked, max(k, rescore), "dot")
-    width = vectors.agg(F.max(F.size("embedding")).cast("double").alias("d"))
-    first = near.crossJoin(width).select("query_id", "vec_id", ((F.col("score") - F.col("d")) / 2 + 0.0).alias("score"), "rank")
-    if not rescore:
-        return first
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    again = first.select("query_id", "vec_id").join(q, "query_id").join(vectors.select("vec_id", "embedding"), "vec_id")
-    return top_k(again.select("query_id", "vec_id", F.round(dot("qe", "embedding"), 6).alias("score")), k, "vec_id")
+def means(vectors: DataFrame) -> np.ndarray:
+    """The mean of each dimension, to nine places."""
+    rows = _elements(vectors).groupBy("dim").agg(F.round(F.avg("x"), 9).alias("mean")).collect()  # a row a dimension
+    return np.array([r["mean"] for r in sorted(rows)], np.float64)
+
+
+def pack_bits(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Whether each element is above its dimension's mean, 64 to a word."""
+    bits = np.packbits(x > mean, axis=1)
+    return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
+
+
+def hamming(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Bits that differ between each row of q and each of x."""
+    out = np.zeros((len(q), len(x)), np.int64)
+    for w in range(q.shape[1]):
+        out += np.bitwise_count(q[:, w, None] ^ x[:, w])
+    return out
+
+
+def words_of(col: pa.Array) -> np.ndarray:
+    """A column of equally long binary codes as a matrix of 64-bit words."""
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(len(col), -1)
+
+
+def binary_codes(vectors: DataFrame, mean: np.ndarray, id_col: str = "vec_id") -> DataFrame:
+    """(id, code): a bit a dimension, packed; one pass."""
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                packed = pack_bits(matrix(batch.column(1)), mean)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], [id_col, "code"])
+
+    return vectors.where("size(embedding) > 0").select(id_col, doubles("embedding")).mapInArrow(run, f"{id_col} {kind}, code binary")
+
+
+def rescored(hits: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_col: str | None = None) -> DataFrame:
+    """A shortlist ranked again by the original product."""
+    q = queries.select(F.col(query_col or id_col).alias("query_id"), F.col("embedding").alias("qe"))
+    again = hits.select("query_id", id_col).join(q, "query_id").join(vectors.select(id_col, "embedding"), id_col)
+    return top_k(again.select("query_id", id_col, F.round(dot("qe", "embedding"), 6).alias("score")), k, id_col)
+
+
+def binary_search(vectors: DataFrame, queries: DataFrame, k: int = 10, rescore: int = 0, id_col: str = "vec_id", skip_self: bool = True, query_col: str | None = None) -> DataFrame:
+    """Top k by bits that agree (score: bits that differ, negated); with rescore, the best so many are ranked again by the
+    original product. What is scanned is a bit a dimension."""
+    mean = means(vectors)
+    codes, asked = binary_codes(vectors, mean, id_col), binary_codes(queries, mean, query_col or id_col)
+    near = scan_topk(codes, asked, max(k, rescore), words_of, lambda q, x: -hamming(q, x).astype(np.float64), id_col, skip_self, len(mean) // 64 + 1)
+    near = top_k(near, max(k, rescore), id_col)
+    return rescored(near, vectors, queries, k, id_col, query_col) if rescore else near
 
 
 def recall_against(approximate: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> DataFrame:

@@ -53,15 +53,13 @@ class _T:
     def run(self, k: int = K, k1: float = search.K1) -> DataFrame:
         return search.bm25(self.chunks().select("chunk_id", "text"), self.questions(), k, k1)
 
-    def tfidf_rows(self) -> tuple[DataFrame, DataFrame]:
-        """TF-IDF rows of the chunks, and of the questions under the chunks' document frequencies."""
+    def dense(self) -> DataFrame:
         chunks = self.chunks().select("chunk_id", "text")
-        idf = embed.tfidf_fit(chunks)
-        return embed.tfidf_rows(chunks, idf), embed.tfidf_rows(self.questions(), idf, "query_id")
+        return search.tfidf_search(chunks, self.questions(), embed.tfidf_fit(chunks), 100)
 
-    def dense(self) -> DataFrame:
-        a, b = self.tfidf_rows()
-        return search.sparse_dot(a, b, 100)
+    def asked(self) -> DataFrame:
+        """The queries of the vector searches."""
+        return self.embeddings.where(F.col("vec_id") % 50 == 0)
 
     def spoken(self) -> DataFrame:
         """Answers with what came before them as context and as the text to match."""
@@ -98,6 +96,7 @@ _CTE: dict[str, str] = {
   FROM asked a JOIN post p USING (term) JOIN dfs d USING (term) JOIN lens l USING (chunk_id), (SELECT count(*)::DOUBLE AS n, avg(n) AS av FROM lens) s GROUP BY ALL""",
     "bm100": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm_all QUALIFY rank <= 100",
     "run": "SELECT * FROM bm100 WHERE rank <= 10",
+    "bm50": "SELECT * FROM bm100 WHERE rank <= 50",
     "low_all": """SELECT a.query_id, p.chunk_id, round(sum(a.qf * ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * p.f * 1.9 / (p.f + 0.9 * (0.25 + 0.75 * l.n / s.av))), 6) AS score
   FROM asked a JOIN post p USING (term) JOIN dfs d USING (term) JOIN lens l USING (chunk_id), (SELECT count(*)::DOUBLE AS n, avg(n) AS av FROM lens) s GROUP BY ALL""",
     "low": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM low_all QUALIFY rank <= 10",
@@ -109,7 +108,7 @@ _CTE: dict[str, str] = {
     "dn": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(sum(cw.weight * qw.weight), 6) AS score FROM cw JOIN qw USING (term) GROUP BY ALL) QUALIFY rank <= 100",
     "levels": "SELECT unnest([1, 3, 5, 10, 20])::INT AS k",
     "rel": "SELECT query_id, chunk_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, chunk_id) AS pos, count(*) OVER (PARTITION BY query_id) AS n_rel FROM qrels",
-    "hits": "SELECT r.query_id, r.grade, x.rank, row_number() OVER (PARTITION BY r.query_id ORDER BY x.rank) AS found FROM rel r JOIN run x USING (query_id, chunk_id)",
+    "hits": "SELECT r.query_id, r.grade, x.rank, row_number() OVER (PARTITION BY r.query_id ORDER BY x.rank) AS found FROM rel r JOIN bm100 x USING (query_id, chunk_id)",
     "per": """SELECT q.query_id, q.k, round(coalesce(h.n / q.n_rel, 0), 6) AS recall, round(coalesce(h.n / q.k, 0), 6) AS precision, round(CASE WHEN h.n > 0 THEN 1.0::DOUBLE ELSE 0 END, 6) AS hit_rate,
     round(coalesce(1.0::DOUBLE / h.first, 0), 6) AS mrr, round(coalesce(h.ap / q.n_rel, 0), 6) AS map, round(coalesce(h.dcg / q.idcg, 0), 6) AS ndcg
   FROM (SELECT query_id, k, n_rel, sum(CASE WHEN pos <= k THEN grade / log2(pos + 1.0::DOUBLE) ELSE 0 END) AS idcg FROM rel, levels GROUP BY ALL) q
@@ -117,8 +116,10 @@ _CTE: dict[str, str] = {
     "vecs": "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings",
     "elems": "SELECT vec_id, unnest(range(0, len(v))) AS dim, unnest(v) AS x FROM vecs",
     "bits": "SELECT vec_id, list(CASE WHEN x > m THEN 1 ELSE 0 END ORDER BY dim) AS bits FROM (SELECT *, round(avg(x) OVER (PARTITION BY dim), 9) AS m FROM elems) GROUP BY vec_id",
-    "exact": "SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v), 6) + 0.0 AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 6) + 0.0 DESC, b.vec_id) AS rank FROM vecs a, vecs b WHERE a.vec_id <> b.vec_id QUALIFY rank <= 10",
-    "far": "SELECT a.vec_id AS query_id, b.vec_id, -list_sum(list_transform(range(1, len(a.bits) + 1), lambda i: CASE WHEN a.bits[i] = b.bits[i] THEN 0 ELSE 1 END))::DOUBLE AS score FROM bits a, bits b WHERE a.vec_id <> b.vec_id",
+    "exact": "SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v), 6) + 0.0 AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 6) + 0.0 DESC, b.vec_id) AS rank FROM vecs a, vecs b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 10",
+    "far": "SELECT a.vec_id AS query_id, b.vec_id, -list_sum(list_transform(range(1, len(a.bits) + 1), lambda i: CASE WHEN a.bits[i] = b.bits[i] THEN 0 ELSE 1 END))::DOUBLE AS score FROM bits a, bits b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id",
+    "decoded": """SELECT vec_id, list(least(255, greatest(0, round_even((x - lo) / step, 0))) * step + lo ORDER BY dim) AS v
+  FROM (SELECT vec_id, dim, x, min(x) OVER w AS lo, (CASE WHEN max(x) OVER w > min(x) OVER w THEN max(x) OVER w - min(x) OVER w ELSE 1 END) / 255.0::DOUBLE AS step FROM elems WINDOW w AS (PARTITION BY dim)) GROUP BY vec_id""",
     "near": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM far QUALIFY rank <= 10",
     "groups": 'SELECT *, ((row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end") - 1) // 4)::INT AS parent FROM chunks',
     "pmap": """SELECT chunk_id, doc_id || ':' || min("start") OVER w || '-' || max("end") OVER w || '#parent' AS parent_id FROM groups WINDOW w AS (PARTITION BY doc_id, parent)""",
@@ -267,9 +268,8 @@ def anchor_exact(t: _T) -> DataFrame:
 
 @query()
 def anchor_resolve(t: _T) -> DataFrame:
-    """Each quote in each document that has it, as the resolver finds it."""
-    quotes = t.benchmark.select("item_id", F.col("text").alias("quote"))
-    return resolve.resolve_anchors(t.places().select("item_id", "doc_id", "occurrence").join(quotes, "item_id"), t.docs(), bounded=True)
+    """Every quote in every document that has it verbatim, in other white space or abridged; not_found for the rest."""
+    return resolve.resolve_everywhere(t.benchmark.select("item_id", F.col("text").alias("quote")), t.docs())
 
 
 @query("SELECT query_id, chunk_id, grade FROM qrels")
@@ -322,7 +322,8 @@ def self_check(t: _T) -> DataFrame:
 
 @query("SELECT chunk_id, term, round(weight, 6) AS weight FROM cw")
 def tfidf_weights(t: _T) -> DataFrame:
-    return t.tfidf_rows()[0].withColumn("weight", F.round("weight", 6))
+    chunks = t.chunks().select("chunk_id", "text")
+    return embed.tfidf_rows(chunks, embed.tfidf_fit(chunks)).withColumn("weight", F.round("weight", 6))
 
 
 @query()
@@ -346,22 +347,22 @@ def tfidf_topk(t: _T) -> DataFrame:
 
 
 def _dense_sql(score: str) -> str:
-    return f"SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, round({score}, 6) + 0.0 AS score FROM vecs a, vecs b WHERE a.vec_id <> b.vec_id)) WHERE rank <= {K}"
+    return f"SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, round({score}, 6) + 0.0 AS score FROM vecs a, vecs b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)) WHERE rank <= {K}"
 
 
 @query(_dense_sql("list_cosine_similarity(a.v, b.v)"))
 def dense_cosine_topk(t: _T) -> DataFrame:
-    return search.dense(t.embeddings, t.embeddings, K)
+    return search.dense(t.embeddings, t.asked(), K)
 
 
 @query(_dense_sql("list_dot_product(a.v, b.v)"))
 def dense_dot_topk(t: _T) -> DataFrame:
-    return search.dense(t.embeddings, t.embeddings, K, "dot")
+    return search.dense(t.embeddings, t.asked(), K, "dot")
 
 
 @query(_dense_sql("-list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))"))
 def dense_l2_topk(t: _T) -> DataFrame:
-    return search.dense(t.embeddings, t.embeddings, K, "l2")
+    return search.dense(t.embeddings, t.asked(), K, "l2")
 
 
 _FUSED = "SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ({0})) WHERE rank <= 10"
@@ -389,29 +390,34 @@ def scalar_quantise(t: _T) -> DataFrame:
 
 @query("SELECT query_id, vec_id, score, rank::INT AS rank FROM near")
 def binary_hamming_topk(t: _T) -> DataFrame:
-    return search.binary_search(t.embeddings, t.embeddings, K)
+    return search.binary_search(t.embeddings, t.asked(), K)
 
 
 @query("""SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT f.query_id, f.vec_id, round(list_dot_product(a.v, b.v), 6) + 0.0 AS score, row_number() OVER (PARTITION BY f.query_id ORDER BY round(list_dot_product(a.v, b.v), 6) + 0.0 DESC, f.vec_id) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM far QUALIFY r <= 50) f JOIN vecs a ON a.vec_id = f.query_id JOIN vecs b ON b.vec_id = f.vec_id) WHERE rank <= 10""")
 def binary_rescore(t: _T) -> DataFrame:
-    return search.binary_search(t.embeddings, t.embeddings, K, 50)
+    return search.binary_search(t.embeddings, t.asked(), K, 50)
 
 
 @query("SELECT round(avg(r), 6) AS recall FROM (SELECT e.query_id, count(n.vec_id) / count(*) AS r FROM exact e LEFT JOIN near n USING (query_id, vec_id) GROUP BY e.query_id)")
 def ann_recall(t: _T) -> DataFrame:
-    return search.recall_against(search.binary_search(t.embeddings, t.embeddings, K), search.dense(t.embeddings, t.embeddings, K, "dot"))
+    return search.recall_against(search.binary_search(t.embeddings, t.asked(), K), search.dense(t.embeddings, t.asked(), K, "dot"))
 
 
 @query()
 def product_topk(t: _T) -> DataFrame:
     codebook = codecs.product_fit(t.embeddings, 8)
-    return codecs.product_search(t.embeddings, t.embeddings, codebook, K, codecs.product_depth(t.embeddings, t.embeddings, codebook, K))
+    return codecs.product_search(t.embeddings, t.asked(), codebook, K, codecs.product_depth(t.embeddings, t.asked(), codebook, K))
 
 
 @query()
 def ivf_topk(t: _T) -> DataFrame:
-    return codecs.ivf_search(t.embeddings, t.embeddings, K)
+    return codecs.ivf_search(t.embeddings, t.asked(), K)
+
+
+@query(f"SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v), 6) + 0.0 AS score FROM vecs a, decoded b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)) WHERE rank <= {K}")
+def scalar_topk(t: _T) -> DataFrame:
+    return codecs.quantized_search(t.embeddings, t.asked(), "scalar", K)
 
 
 @query("SELECT count(*) AS vectors, (count(*) * max(len(embedding)) * 4)::BIGINT AS exact_bytes, (count(*) * ceil(max(len(embedding)) / 8))::BIGINT AS coded_bytes, round(max(len(embedding)) * 4 / ceil(max(len(embedding)) / 8), 6) AS ratio FROM embeddings")
@@ -493,9 +499,9 @@ def decomposed_search(t: _T) -> DataFrame:
 
 @query("""SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT r.query_id, r.chunk_id, round(count(DISTINCT c.term) FILTER (a.term IS NOT NULL) / max(q.n) + 0.1 * count(a.term) / pow(count(c.term), 0.25), 6) AS score
-  FROM run r JOIN cterms c USING (chunk_id) LEFT JOIN asked a ON a.query_id = r.query_id AND a.term = c.term JOIN (SELECT query_id, count(*) AS n FROM asked GROUP BY ALL) q ON q.query_id = r.query_id GROUP BY ALL))""")
+  FROM bm50 r JOIN cterms c USING (chunk_id) LEFT JOIN asked a ON a.query_id = r.query_id AND a.term = c.term JOIN (SELECT query_id, count(*) AS n FROM asked GROUP BY ALL) q ON q.query_id = r.query_id GROUP BY ALL)) WHERE rank <= 10""")
 def lexical_rerank(t: _T) -> DataFrame:
-    return qs.lexical_rerank(t.run(), t.chunks(), t.questions(), K)
+    return qs.lexical_rerank(t.run(50), t.chunks(), t.questions(), K)
 
 
 @query()
@@ -508,13 +514,13 @@ def mmr_rerank(t: _T) -> DataFrame:
 
 @query("SELECT * FROM per")
 def metrics_per_query(t: _T) -> DataFrame:
-    return metrics.per_query(t.qrels(), t.run())
+    return metrics.per_query(t.qrels(), t.run(20))
 
 
 @query("SELECT metric, k, round(avg(v), 6) AS value FROM (UNPIVOT (SELECT * FROM per) ON recall, precision, hit_rate, mrr, map, ndcg INTO NAME metric VALUE v) GROUP BY ALL")
 def retrieval_metrics(t: _T) -> DataFrame:
     """Documents to chunks, BM25, relevance by span overlap, and all six metrics."""
-    return metrics.evaluate(t.qrels(), t.run())
+    return metrics.evaluate(t.qrels(), t.run(20))
 
 
 _CTE["firsts"] = "SELECT q.query_id, min(h.rank) AS first FROM (SELECT DISTINCT query_id FROM rel) q LEFT JOIN hits h USING (query_id) GROUP BY ALL"
@@ -522,7 +528,7 @@ _CTE["firsts"] = "SELECT q.query_id, min(h.rank) AS first FROM (SELECT DISTINCT
 
 @query("SELECT round(avg(first), 6) AS mean_rank, count(*) FILTER (first IS NULL) AS misses FROM firsts")
 def first_relevant(t: _T) -> DataFrame:
-    return metrics.first_relevant(t.qrels(), t.run())
+    return metrics.first_relevant(t.qrels(), t.run(100))
 
 
 @query("SELECT coalesce(y.qtype, 'unlabelled') AS qtype, count(*) AS n, round(avg(p.recall), 6) AS value FROM per p LEFT JOIN typed y USING (query_id) WHERE p.k = 5 GROUP BY ALL")
@@ -530,10 +536,19 @@ def slice_by_type(t: _T) -> DataFrame:
     return metrics.slice_by(metrics.per_query(t.qrels(), t.run()), t.questions().select("query_id", qs.classify(F.col("text")).alias("qtype")), "recall", 5)
 
 
-@query("""SELECT b.item_id AS query_id, CASE WHEN n IS NULL THEN 'fp1_missing_content' WHEN first IS NULL THEN 'fp3_not_retrieved' WHEN first > 5 THEN 'fp2_missed_top_ranked' WHEN inside < n THEN 'fp7_incomplete' ELSE 'none' END AS failure
-FROM benchmark b LEFT JOIN (SELECT r.query_id, count(*) AS n, min(x.rank) AS first, count(*) FILTER (x.rank <= 5) AS inside FROM rel r LEFT JOIN run x USING (query_id, chunk_id) GROUP BY ALL) e ON e.query_id = b.item_id""")
+_CTE["diag"] = """SELECT b.item_id AS query_id, CASE WHEN n IS NULL THEN 'fp1_missing_content' WHEN first IS NULL THEN 'fp3_not_retrieved' WHEN first > 5 THEN 'fp2_missed_top_ranked' WHEN inside < n THEN 'fp7_incomplete' ELSE 'none' END AS failure
+FROM benchmark b LEFT JOIN (SELECT r.query_id, count(*) AS n, min(x.rank) AS first, count(*) FILTER (x.rank <= 5) AS inside FROM rel r LEFT JOIN bm100 x USING (query_id, chunk_id) GROUP BY ALL) e ON e.query_id = b.item_id"""
+
+
+@query("SELECT * FROM diag")
 def diagnose(t: _T) -> DataFrame:
-    return metrics.diagnose(t.questions(), t.qrels(), t.run())
+    return metrics.diagnose(t.questions(), t.qrels(), t.run(100))
+
+
+@query("SELECT failure, count(*) AS n, list(query_id ORDER BY query_id)::VARCHAR AS query_ids FROM diag GROUP BY failure")
+def failure_clusters(t: _T) -> DataFrame:
+    found = metrics.cluster(metrics.diagnose(t.questions(), t.qrels(), t.run(100)))
+    return found.select("failure", "n", F.concat(F.lit("["), F.concat_ws(", ", F.col("query_ids").cast("array<string>")), F.lit("]")).alias("query_ids"))
 
 
 _CTE["reach"] = "SELECT q.query_id, round(coalesce(1.0::DOUBLE / a.first, 0), 6) AS a, round(coalesce(1.0::DOUBLE / b.first, 0), 6) AS b FROM (SELECT DISTINCT query_id FROM rel) q LEFT JOIN (SELECT query_id, min(rank) AS first FROM run JOIN rel USING (query_id, chunk_id) GROUP BY ALL) a USING (query_id) LEFT JOIN (SELECT query_id, min(rank) AS first FROM low JOIN rel USING (query_id, chunk_id) GROUP BY ALL) b USING (query_id)"

@@ -27,10 +27,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder that the session names in spark.checkpoint.dir: what several parts of a plan read is
-    made once, and a lost executor costs a read."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. A temporary one takes its place only where driver and
+    executors are one machine; on a cluster executors could not read it, and its lack is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in shared_folder(), and cut its lineage there: what several parts of a plan read is made once, and a
+    lost executor costs a read, not a recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
