@@ -54,6 +54,24 @@ def test_merge_runs(spark, fan_in, partitions):
     assert sorted((r.id, r.rows) for r in merged.collect()) == sorted((min(x), len(x)) for x in by_text.values())
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 1), st.one_of(st.none(), st.integers(0, 9))), max_size=12), min_size=1, max_size=5))
+def test_merge_of_runs(runs):
+    """Merged runs are sorted, and hold each text once with its smallest id, the rows that have it and all rows."""
+    import pyarrow as pa
+
+    kind = pa.schema([("digest", pa.binary()), ("check", pa.int64()), ("n", pa.int32()), ("id", pa.int64()), ("copies", pa.int64()), ("rows", pa.int64())])
+    tables = [pa.Table.from_pylist([{"digest": bytes([d]) * 32, "check": c, "n": 1, "id": i, "copies": 1, "rows": 1} for d, c, i in sorted(run, key=lambda x: x[0])], kind) for run in runs]
+    got = exact.merge([exact._one_each(t) for t in tables]).to_pylist()
+    by = defaultdict(list)
+    for run in runs:
+        for d, c, i in run:
+            by[d, c].append(i)
+    least = {k: min(v, key=lambda i: (i is None, i or 0)) for k, v in by.items()}
+    assert [r["digest"] for r in got] == sorted(r["digest"] for r in got)
+    assert {(r["digest"][0], r["check"]): (r["id"], r["copies"], r["rows"]) for r in got} == {k: (least[k], v.count(least[k]), len(v)) for k, v in by.items()} and len(got) == len(by)
+
+
 def test_exact_edges(docs):
     df = docs(EDGES)
     assert rows(exact.exact_duplicates(df)) == [(4, 1), (6, 5)]
@@ -202,3 +220,6 @@ def test_near_edges(docs):
     assert rows(omh.near_duplicates(df)) == [(4, 1), (6, 5)]
     assert sorted(str(r.doc_id) for r in omh.drop_near_duplicates(df).collect()) == ["1", "2", "3", "5", "7", "8", "None", "None"]
     assert rows(omh.near_duplicates(docs([(1, "A, b c!"), (2, "a b  C")]))) == [(2, 1)]  # equal words
+    text = df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert rows(omh.near_duplicates(text)) == [("d4", "d1"), ("d6", "d5")] and omh.drop_near_duplicates(text).count() == 8
+    assert rows(exact.exact_duplicates(text)) == [("d4", "d1"), ("d6", "d5")]
