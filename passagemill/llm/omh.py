@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ._common import cut, free_names, frugal, named, pick, sized, utf8
 from .components import connected_components
@@ -338,38 +338,42 @@ def _of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b), materialised, whose texts are as similar as the threshold asks. A bag of hashed words, a
     sixth of a text, bounds the similarity of every pair from above; the texts of those it leaves are aligned."""
-    bags = cut(_of(pairs, texts).mapInArrow(frugal(_bag_batches), "id bigint, bag binary"))
+    kind = texts.schema["id"].dataType.simpleString()
+    bags = cut(_of(pairs, texts).mapInArrow(frugal(_bag_batches), f"id {kind}, bag binary"))
     both = pairs.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bb")), "b").join(bags.select(F.col("id").alias("a"), F.col("bag").alias("ba")), "a")
-    pairs = cut(both.select("a", "b", "ba", "bb").mapInArrow(frugal(_bound_batches(threshold)), "a bigint, b bigint").distinct())
+    pairs = cut(both.select("a", "b", "ba", "bb").mapInArrow(frugal(_bound_batches(threshold)), f"a {kind}, b {kind}").distinct())
     near = _of(pairs, texts)
     both = pairs.join(near.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(near.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(frugal(_verify_batches(threshold)), "a bigint, b bigint, similarity double").where("similarity > 0")
+    return both.select("a", "b", "ta", "tb").mapInArrow(frugal(_verify_batches(threshold)), f"a {kind}, b {kind}, similarity double").where("similarity > 0")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ell: int = ELL, sketches: int = SKETCHES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, duplicate_of): every document that is not the smallest id of its group, and that smallest id.
 
-    Groups are the components of verified pairs and of texts with equal words. Null texts, texts without
+    Groups are the components of verified pairs and of texts with equal words. Ids are of any type that orders. Null texts, texts without
     a word, and rows without an id are in no group. Repeated rows are one document; an id with several texts is in the groups of each.
     Long texts count whole; extra columns, whatever their names, are ignored; an empty table gives no row.
     """
     texts = pick(docs, id=id_col, text=text_col).where("id is not null and text is not null")
-    texts = texts.select(F.col("id").cast("bigint").alias("id"), "text")
-    sketched = texts.mapInArrow(frugal(_sketch_batches(k, ell, sketches, threshold)), "id bigint, digest binary, n int, sketches array<bigint>")
+    kind = texts.schema["id"].dataType.simpleString()
+    sketched = texts.mapInArrow(frugal(_sketch_batches(k, ell, sketches, threshold)), f"id {kind}, digest binary, n int, sketches array<bigint>")
     sketched = cut(sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.collect_set("id").alias("ids")))
     copies = sketched.where("size(ids) > 1").select(F.col("rep").alias("a"), F.explode("ids").alias("b")).where("a <> b")
-    rows = sketched.select("rep", "n", F.explode("sketches").alias("bucket"))
-    bucket = W.partitionBy("bucket")
-    rows = rows.withColumns({"hub": F.min("rep").over(bucket), "last": F.max("rep").over(bucket)}).where("hub <> last")
-    rows = cut(rows.select("bucket", F.col("rep").alias("id"), "n", "hub"))
+    rows = sketched.select(F.col("rep").alias("id"), "n", F.explode("sketches").alias("bucket"))
+    hubs = cut(rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("bucket", "hub"))
+    rows = cut(rows.join(sized(hubs), "bucket").select("bucket", "id", "n", "hub"))
     star = cut(rows.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     edges = cut(_verified(star, texts, threshold).select("a", "b"))
     parts = connected_components(edges)
     rows = rows.join(sized(parts), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
-    rows = rows.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket)}).where("lo <> hi").select("bucket", "id", "n", "root")
     rows = cut(rows)
-    left, right = (rows.select("bucket", *[F.col(c).alias(c + x) for c in ("id", "n", "root")]) for x in "ab")
-    cross = left.join(right, "bucket").where("ida < idb and roota <> rootb")
+    split = cut(rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket"))
+    # texts whose lengths differ too much for the threshold do not meet: a bucket is cut into bands of lengths, and only
+    # neighbouring ones join
+    rows = cut(rows.join(sized(split), "bucket").withColumn("band", F.floor(F.log("n") / float(np.log(1 / threshold)) + 1e-9) if threshold < 1 else F.col("n").cast("bigint")))
+    left, right = (rows.select("bucket", "band", *[F.col(c).alias(c + x) for c in ("id", "n", "root")]) for x in "ab")
+    right = right.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    cross = left.join(right, ["bucket", "band"]).where("ida < idb and roota <> rootb")
     cross = cross.where(F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9)).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
     cross = cut(cross.join(star, ["a", "b"], "left_anti"))
     more = _verified(cross, texts, threshold).select("a", "b")
@@ -381,4 +385,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs, all columns, without those near_duplicates() names; clashing names as in free_names()."""
     gone = cut(near_duplicates(docs, id_col, text_col, **how).select(F.col("doc_id").alias("gone__")))
     docs = free_names(docs)
-    return docs.join(sized(gone), docs[named(docs, id_col)].cast("bigint") == F.col("gone__"), "left_anti")
+    return docs.join(sized(gone), docs[named(docs, id_col)] == F.col("gone__"), "left_anti")
