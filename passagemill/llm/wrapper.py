@@ -17,6 +17,7 @@ import html
 import json
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -30,12 +31,13 @@ from ._common import cut, pick, sized
 
 CONSTANT, MIN_PAGES = 0.8, 3
 BROADCAST_HOSTS = 2000
-#: Elements nested deeper become siblings at this depth.
-MAX_DEPTH = 150
+#: Trees are walked by recursion, as deep as pages nest; calls from Python to Python take no room on the C stack.
+_DEEP = 1 << 24
 #: Children lists with more pairs than this are matched in blocks of rows, from rows that are kept between them.
 MAX_PAIRS = 4_000_000
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/<>]*)|[!?])")
+_MARK = re.compile(r"[\"'>]")
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe"))
@@ -45,10 +47,52 @@ _BLOCK = frozenset("p div ul ol dl table article section header footer nav aside
 _SPACE = re.compile(r"\s+")
 
 
+class Scanner:
+    """The tags of a page, in time linear in its length, however broken it is."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.dead = page, page.rfind(">"), set()
+
+    def end(self, at: int) -> int:
+        """Where the tag whose attributes begin at this place ends: its first > outside quotes, or -1. From a quote that led
+        nowhere once, no other tag gets anywhere."""
+        page, seen = self.page, []
+        while at <= self.last:
+            m = _MARK.search(page, at)
+            if m is None or m.start() in self.dead:
+                break
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            close = page.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(seen)
+        return -1
+
+    def tags(self) -> Iterator[tuple[int, int, bool, str | None, str]]:
+        """(start, end, closing, name, attributes) of each tag, without a name for comments and declarations; send() where to
+        go on."""
+        page, at = self.page, 0
+        while m := _TAG.search(page, at):
+            if m[1]:
+                end = page.find("-->", m.end())
+                end = len(page) if end < 0 else end + 3
+            else:
+                end = (self.end(m.end()) if m[3] else page.find(">", m.end()) if m.end() <= self.last else -1) + 1
+            if not end:
+                at = m.start() + 1
+                continue
+            go_on = yield m.start(), end, bool(m[2]), m[3].lower() if m[3] else None, page[m.end() : end - 1]
+            at = end if go_on is None else go_on
+
+
 class Trees:
     """Parsed pages with interned shapes, and matches of shapes; forgotten when they grow too many."""
 
     def __init__(self) -> None:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), _DEEP))
         self.clear()
 
     def clear(self) -> None:
@@ -70,6 +114,7 @@ class Trees:
     def parse(self, page: str) -> tuple:
         """(shape, children, text) of the root; text nodes have no children, and hidden elements no node."""
         stack: list[tuple[str, str, list]] = [("#root", "#root", [])]
+        open_: Counter = Counter()
 
         def text(s: str) -> None:
             s = _SPACE.sub(" ", html.unescape(s)).strip()
@@ -78,27 +123,28 @@ class Trees:
 
         def close() -> None:
             label, name, kids = stack.pop()
+            open_[name] -= 1
             if name not in _HIDDEN:
                 stack[-1][2].append((self.intern(label, tuple(k[0] for k in kids)), kids, None))
 
-        at, n = 0, len(page)
-        while at < n:
-            m = _TAG.search(page, at)
-            if m is None:
-                text(page[at:])
+        done, tags, go_on = 0, Scanner(page).tags(), None
+        while True:
+            try:
+                start, end, closing, name, attributes = tags.send(go_on)
+            except StopIteration:
                 break
-            if m.start() > at:
-                text(page[at : m.start()])
-            at = m.end()
-            name = m.group(2)
+            go_on = None
+            if start > done:
+                text(page[done:start])
+            done = end
             if name is None:
                 continue
-            name = name.lower()
-            if m.group(1):
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == name), 0)
-                if depth:
-                    while len(stack) > depth:
-                        close()
+            if closing:
+                while open_[name] > 0:
+                    last = stack[-1][1] == name
+                    close()
+                    if last:
+                        break
                 continue
             if name in _BLOCK and any(s[1] == "p" for s in stack[-8:]):
                 while any(s[1] == "p" for s in stack[-8:]):
@@ -108,14 +154,17 @@ class Trees:
             if name in _VOID:
                 continue
             if name in _RAW:  # up to its own end tag
-                end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
-                if name == "title" and end and "head" not in [s[1] for s in stack]:
+                over = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, end)
+                if name == "title" and over and not open_["head"]:
                     stack[-1][2].append((self.intern("title", ()), (), None))
-                at = end.end() if end else n
+                done = go_on = over.end() if over else len(page)
                 continue
-            if len(stack) < MAX_DEPTH and not m.group(3).endswith("/"):
-                c = _CLASS.search(m.group(3)) if "class" in m.group(3) else None
+            if not attributes.endswith("/"):
+                c = _CLASS.search(attributes) if "class" in attributes else None
                 stack.append((f"{name}.{next(filter(None, c.groups()), '')}" if c else name, name, []))
+                open_[name] += 1
+        if done < len(page):
+            text(page[done:])
         while len(stack) > 1:
             close()
         kids = stack[0][2]
@@ -202,19 +251,24 @@ class Trees:
         return self.intern(label, (*out, *kids[at:]))
 
     def dump(self, shape: int) -> str:
-        def nested(s: int) -> list:
-            return [self.shapes[s][0], [nested(k) for k in self.shapes[s][1]]]
-
-        return json.dumps(nested(shape), separators=(",", ":"))
+        """Labels and numbers of children, parents first."""
+        labels, many, todo = [], [], [shape]
+        while todo:
+            label, kids = self.shapes[todo.pop()]
+            labels.append(label)
+            many.append(len(kids))
+            todo += reversed(kids)
+        return json.dumps([labels, many], separators=(",", ":"))
 
     def load(self, stored: str) -> tuple:
         """The tree of a dump, with nodes as in parse()."""
-
-        def node(nested: list) -> tuple:
-            kids = tuple(node(k) for k in nested[1])
-            return self.intern(nested[0], tuple(k[0] for k in kids)), kids, None
-
-        return node(json.loads(stored))
+        labels, many = json.loads(stored)
+        held: list[tuple] = []  # finished nodes, the first child last
+        for label, n in zip(reversed(labels), reversed(many)):
+            kids = tuple(reversed(held[len(held) - n :])) if n else ()
+            del held[len(held) - n :]
+            held.append((self.intern(label, tuple(k[0] for k in kids)), kids, None))
+        return held[0]
 
     def full(self) -> bool:
         return len(self.shapes) > 200_000 or len(self.weights) + len(self.maps) > 500_000
@@ -343,7 +397,7 @@ def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", constant: float = CONSTANT, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, seed, nodes, texts): the tree of all pages of each host of at least min_pages pages, and of its text nodes
     those that are template, with the hash of their text. Where several largest matches exist, the tree depends on the
-    order in which pages are folded."""
+    order in which pages are folded. Pages without a host or without HTML take no part; an id, null or not, plays none."""
     hosted = _hosted(pages, id_col, url_col, html_col).where("host is not null and html is not null")
     chosen = cut(hosted.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).select("host"))
     folded = hosted.join(sized(chosen), "host", "left_semi").select("host", "html").mapInArrow(_fold, "host string, seed string")

@@ -59,6 +59,100 @@ def test_parser():
     assert texts("<div " * 3 + ">x") and texts("<i>" * 3000 + "deep" + "</i>" * 3000) == ["deep"]
 
 
+def test_scanner_is_linear():
+    """Unclosed quotes, brackets and end tags of a megabyte take time in proportion."""
+    import time
+
+    for piece in ('<a "', "<a '", '<a "\'', "<a ", "<!", "<i></b>", "</i>", "<i>", "<p class='x", "<a<a"):
+        began = time.perf_counter()
+        wrapper.Trees().parse(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 8, piece
+    assert texts('<a "' * 3) == ['<a "<a "<a "'] and texts("a<b 'x>y'>c</b>") == ["a", "c"] and texts("<a '>t<b>u") == ["<a '>t", "u"]
+
+
+def test_deep_pages_are_trees():
+    """A page of 3,000 levels is aligned level by level."""
+    trees = wrapper.Trees()
+    page = lambda t: trees.parse("<div>" * 3000 + f"<b>{t}</b><i>same</i>" + "</div>" * 3000)
+    one, two = page("first"), page("second")
+    assert trees.weight(one[0], two[0]) == 3000 + 5
+    other = trees.parse("<div>" * 2999 + "<p>more</p><div><b>x</b><i>same</i><u>y</u></div>" + "</div>" * 2999)
+    assert trees.weight(one[0], other[0]) == 3000 + 5
+    seed = trees.number(trees.load(trees.dump(trees.graft(one[0], other[0]))))
+    assert [t for t, n in trees.align(other, seed) if n < 0] == [] and len({n for _, n in trees.align(one, seed)}) == 2
+
+
+def brute_wrapper(rows, constant, least):
+    """Content of the pages of one host, with the tree folded page by page and aligned by plain dynamic programming."""
+    trees = wrapper.Trees()
+
+    def plain(node):
+        return ("#text", [], node[2]) if node[2] is not None else (trees.shapes[node[0]][0], [plain(k) for k in node[1]], None)
+
+    def pairs(a, b):
+        m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + size(x, y))
+        i, j, out = len(a), len(b), []
+        while i and j:
+            if m[i][j] == m[i - 1][j]:
+                i -= 1
+            elif m[i][j] == m[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return m[-1][-1], out[::-1]
+
+    def size(x, y):
+        return 1 + pairs(x[1], y[1])[0] if x[0] == y[0] else 0
+
+    def align(page, seed, path, out):
+        if page[0] == "#text":
+            out.append((page[2], path))
+            return
+        to = dict(pairs(page[1], seed[1])[1]) if seed else {}
+        for i, kid in enumerate(page[1]):
+            align(kid, seed[1][to[i]] if i in to else None, (*path, to[i]) if i in to and path is not None else None, out)
+
+    def graft(seed, page):
+        out, at = [], 0
+        to = dict(pairs(page[1], seed[1])[1])
+        for i, kid in enumerate(page[1]):
+            if i in to:
+                out += [*seed[1][at : to[i]], graft(seed[1][to[i]], kid)]
+                at = to[i] + 1
+            else:
+                out.append(kid)
+        return seed[0], out + seed[1][at:], None
+
+    pages_ = [plain(trees.parse(h)) for h in rows]
+    seed = pages_[0]
+    for page in pages_[1:]:
+        seed = graft(seed, page)
+    found = []
+    for page in pages_:
+        align(page, seed, (), out := [])
+        found.append(out)
+    seen = {}
+    for out in found:
+        for t, path in out:
+            if path is not None:
+                seen.setdefault(path, []).append(t)
+    fixed = {p: max(set(ts), key=ts.count) for p, ts in seen.items() if max(map(ts.count, ts)) >= max(least, constant * len(ts))}
+    return ["\n".join(t for t, path in out if path is None or fixed.get(path) != t) for out in found]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_wrapper_against_brute_force(spark, seed):
+    rows = site("one.example", 12, seed)
+    df = pages(spark, rows).coalesce(1).sortWithinPartitions("page_id")
+    got = {r.page_id: r.content for r in wrapper.extract(df, wrapper.induce(df)).collect()}
+    want = brute_wrapper([h for _, h in rows], wrapper.CONSTANT, wrapper.MIN_PAGES)
+    assert [got[i] for i in range(len(rows))] == want
+
+
 def site(host, n, seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
