@@ -16,9 +16,13 @@ from ..functions import text as tx
 _CHUNKS = "doc_id bigint, idx int, start int, end int, text string, heading_path array<string>, n_tokens int"
 
 
-def chunk(docs: DataFrame, chunker: str | Callable[..., tx.Ranges] = "fixed", **how) -> DataFrame:
-    """(chunk_id, doc_id, idx, start, end, text, heading_path, n_tokens) of docs(doc_id, text). Null texts have no chunk."""
+def chunk(docs: DataFrame, chunker: str | Callable[..., tx.Ranges] = "fixed", markdown: bool = True, **how) -> DataFrame:
+    """(chunk_id, doc_id, idx, start, end, text, heading_path, n_tokens) of docs(doc_id, text). Null texts have no chunk.
+    markdown: whether headings are looked for; plain text has none, so that the structural chunker cuts it like the recursive
+    one."""
     cut = tx.CHUNKERS[chunker] if isinstance(chunker, str) else chunker
+    if chunker == "structural" and not markdown:
+        cut = lambda text, max_size=512, min_size=None, split_tables=False, tokenizer="regex": tx.recursive(text, max_size, 0, tokenizer)  # noqa: E731, ARG005
     tokenizer = how.get("tokenizer", "regex")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,7 +35,7 @@ def chunk(docs: DataFrame, chunker: str | Callable[..., tx.Ranges] = "fixed", **
                 if not ranges:
                     continue
                 ruler = tx.Ruler(text, tokenizer)
-                heads = tx.heading_paths(text) if "#" in text or "\n=" in text or "\n-" in text else []
+                heads = tx.heading_paths(text) if markdown and ("#" in text or "\n=" in text or "\n-" in text) else []
                 at = [h[0] for h in heads]
                 for i, (lo, hi) in enumerate(ranges):
                     h = bisect_right(at, lo)
@@ -92,7 +96,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def decode(content: Column) -> Column:
     """Text of UTF-8 bytes without a byte order mark; empty if they are not UTF-8."""
-    return F.when(F.expr("is_valid_utf8(cast({} as string))".replace("{}", "content")) if content is None else F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^﻿", "")).otherwise(F.lit(""))
+    return F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^﻿", "")).otherwise(F.lit(""))
 
 
 def looks_binary(content: Column) -> Column:

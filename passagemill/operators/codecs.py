@@ -12,14 +12,21 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import search
+from ..functions import ranking
+from ..runtime import cut
 from .search import dense, doubles, matrix, scan_topk, top_k
 
 #: Queries whose exact neighbours decide how deep the compressed searches look.
 SAMPLE = 256
+#: Vectors of a list that one task searches.
+PART = 65_536
 
 
 def _kmeans(vectors: DataFrame, k: int, iterations: int, seed: int) -> np.ndarray:
-    """Centroids of all vectors(v)."""
+    """Centroids of all vectors(v); one is their mean."""
+    if k < 2:
+        rows = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).collect()  # a row a dimension
+        return np.array([[r["x"] for r in sorted(rows)]])
     fitted = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="f").fit(vectors.select(array_to_vector("v").alias("f")))
     return np.array(fitted.clusterCenters())
 
@@ -36,9 +43,9 @@ def product_fit(vectors: DataFrame, subspaces: int = 8, centroids: int = 256, it
     return np.stack([np.concatenate([p, np.full((most - len(p), width), np.inf)]) for p in part])
 
 
-def _sample(queries: DataFrame) -> tuple[DataFrame, bool]:
+def _sample(queries: DataFrame, id_col: str = "vec_id") -> tuple[DataFrame, bool]:
     """The queries with the smallest hashed ids, and whether these are all."""
-    return queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE), queries.count() <= SAMPLE
+    return queries.orderBy(F.xxhash64(id_col), F.col(id_col).cast("string")).limit(SAMPLE), queries.count() <= SAMPLE
 
 
 def _least(needs: pd.DataFrame, recall: float, whole: bool) -> int | None:
@@ -170,21 +177,12 @@ def quantized_search(vectors: DataFrame, queries: DataFrame, codec: str = "scala
     raise ValueError(f"unknown codec {codec!r}; known: {', '.join(CODECS)}")
 
 
-def _kept(qi: np.ndarray, xi: np.ndarray, scores: np.ndarray, k: int, columns: np.ndarray | None = None) -> pa.RecordBatch:
-    """(query_id, vec_id, score): the k best of each row of scores, the first of equals; columns: the vectors' places."""
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    best = np.take_along_axis(scores, order, 1)
-    place = order if columns is None else np.take_along_axis(columns, order, 1)
-    ok = (best > -np.inf).ravel()
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[ok]), pa.array(xi[place].ravel()[ok]), pa.array(best.ravel()[ok])], ["query_id", "vec_id", "score"])
-
-
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 100, probes: int = 8, seed: int = 0, recall: float = 0.9) -> DataFrame:
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 100, probes: int = 8, seed: int = 0, recall: float = 0.9, id_col: str = "vec_id", skip_self: bool = True, query_col: str | None = None) -> DataFrame:
     """Top k by cosine among the probes nearest inverted lists, or more, as sampled queries need for the recall. Lists are
-    at most one for 39 vectors."""
-    from .search import normalise
-
-    unit = vectors.select("vec_id", normalise("embedding").alias("v"))
+    at most one for 39 vectors. A query meets a list once, and a list is searched where it lies; AQE splits no group, so that
+    lists of more than PART vectors are dealt over several tasks."""
+    unit = vectors.where("size(embedding) > 0").select(F.col(id_col).alias("id"), search.normalise("embedding").alias("v"))
+    asks = queries.where("size(embedding) > 0").select(F.col(query_col or id_col).alias("id"), search.normalise("embedding").alias("v"))
     n = vectors.count()
     centres = _kmeans(unit, max(1, min(lists, n // 39)), 12, seed)
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
@@ -194,16 +192,17 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int =
 
     def needed() -> int:
         """Probes that the sampled queries need to meet the lists of their exact neighbours."""
-        asked, whole = _sample(queries)
-        exact = dense(vectors, asked, k).select("query_id", "vec_id").toPandas()
+        asked, whole = _sample(asks, "id")
+        mine = asked.toPandas()  # at most SAMPLE rows
+        exact = scan_topk(unit, asked, k, matrix, lambda q, x: q @ x.T, "id", skip_self, centres.shape[1])
+        exact = top_k(exact, k, "id").select("query_id", "id").toPandas()
         if not len(exact):
             return probes
-        spark = vectors.sparkSession
-        near = unit.join(F.broadcast(spark.createDataFrame(exact[["vec_id"]].drop_duplicates(), "vec_id bigint")), "vec_id", "left_semi").toPandas()
-        mine = asked.select("vec_id", normalise("embedding").alias("v")).toPandas()
-        home = dict(zip(near["vec_id"], order(np.array(near["v"].tolist()), centres)[:, 0]))
-        turn = dict(zip(mine["vec_id"], np.argsort(order(np.array(mine["v"].tolist()), centres), axis=1)))
-        exact["need"] = [1.0 + turn[q][home[v]] for q, v in zip(exact["query_id"], exact["vec_id"])]
+        near = unit.join(F.broadcast(vectors.sparkSession.createDataFrame(exact[["id"]].drop_duplicates(), unit.select("id").schema)), "id", "left_semi").toPandas()
+        home = dict(zip(near["id"], order(np.array(near["v"].tolist()), centres)[:, 0]))
+        turn = dict(zip(map(str, mine["id"]), np.argsort(order(np.array(mine["v"].tolist()), centres), axis=1)))
+        exact["need"] = [1.0 + turn[str(q)][home[v]] for q, v in zip(exact["query_id"], exact["id"])]
+        exact["query_id"] = exact["query_id"].map(str)
         return _least(exact, recall, whole) or len(centres)
 
     most = min(max(probes, needed()), len(centres))
@@ -212,34 +211,40 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = shared.value
             for batch in batches:
-                x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                at = order(x, c)[:, :most]
-                rows = np.repeat(np.arange(len(x)), at.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(at.ravel())], ["vec_id", "v", "list"])
+                at = order(matrix(batch.column(1)), c)[:, :most] if batch.num_rows else np.zeros((0, 1), np.int64)
+                rows = pa.array(np.repeat(np.arange(len(at)), at.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.ravel())], ["id", "v", "list"])
 
         return run
 
+    kinds = [f"id {t.schema['id'].dataType.simpleString()}, v array<double>, list bigint" for t in (unit, asks)]
+    held, asked = unit.mapInArrow(nearest(1), kinds[0]), asks.mapInArrow(nearest(most), kinds[1])
+    sizes = cut(held.groupBy("list").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts")))  # a row a list
+    held = held.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    asked = asked.join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))).drop("parts")
+
     def within(asked: pa.Table, held: pa.Table) -> pa.Table:
-        """The k best of a list for each query that probes it."""
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        """The k best of a part of a list for each query that probes it."""
+        schema = pa.schema([("query_id", asked.schema.field("id").type), (id_col, held.schema.field("id").type), ("score", pa.float64())])
         if not asked.num_rows or not held.num_rows:
             return schema.empty_table()
-        qi, xi = asked["vec_id"].to_numpy(), held["vec_id"].to_numpy()
+        names, ids = (t["id"].combine_chunks() for t in (asked, held))
+        names, ids = (pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in (names, ids))
+        qi, xi = names.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
         q, x = (np.asarray(t["v"].combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (asked, held))
-        by = np.argsort(xi, kind="stable")
-        xi, x = xi[by], x[by]
-        parts = []
-        for lo in range(0, len(q), 1024):
-            s = np.round(q[lo : lo + 1024] @ x.T, 6) + 0.0
-            s[qi[lo : lo + 1024, None] == xi] = -np.inf
-            parts.append(_kept(qi[lo : lo + 1024], xi, s, k))
-        return pa.Table.from_batches(parts).cast(schema)
-
-    schema = "vec_id bigint, v array<double>, list bigint"
-    held = unit.mapInArrow(nearest(1), schema)
-    asked = queries.select("vec_id", normalise("embedding").alias("v")).mapInArrow(nearest(most), schema)
-    found = asked.groupBy("list").cogroup(held.groupBy("list")).applyInArrow(within, "query_id bigint, vec_id bigint, score double")
-    return top_k(found, k, "vec_id")
+        keeper = ranking.Keeper(len(q), k)
+        for lo in range(0, len(x), max(1, ranking.CELLS // len(q))):
+            hi = lo + max(1, ranking.CELLS // len(q))
+            s = np.round(q @ x[lo:hi].T, 6) + 0.0
+            if skip_self:
+                s[qi[:, None] == xi[lo:hi]] = -np.inf
+            keeper.add_block(s, xi[lo:hi])
+        at, found, s = keeper.compact()
+        return pa.Table.from_arrays([names.take(pa.array(at)), pa.array(found, held.schema.field("id").type), pa.array(s)], schema=schema)
+
+    kind = f"query_id {asks.schema['id'].dataType.simpleString()}, {id_col} {unit.schema['id'].dataType.simpleString()}, score double"
+    found = asked.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInArrow(within, kind)
+    return top_k(found, k, id_col)
 
 
 def compression(vectors: DataFrame, codec: str, subspaces: int = 8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -49,6 +50,27 @@ def tfidf_rows(table: DataFrame, idf: DataFrame, id_col: str = "chunk_id") -> Da
     return rows.mapInArrow(run, f"id {kind}, term string, weight double").withColumnRenamed("id", id_col)
 
 
+def tfidf_vectors(table: DataFrame, idf: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """(id, embedding): tfidf_rows() as vectors with an element a term, zeros included, for indexes that want them."""
+    known = idf.collect()  # at most the features of tfidf_fit()
+    shared = table.sparkSession.sparkContext.broadcast((pa.array([r["term"] for r in known], pa.string()), np.array([r["idf"] for r in known], np.float64)))
+    kind = table.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, idfs = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                found = postings(part.column(1), vocabulary)
+                x = np.zeros((part.num_rows, len(idfs)), np.float32)
+                x[found[0], found[1]] = tfidf_weights(found, idfs)
+                firsts = pa.array(np.arange(0, x.size + 1, max(1, len(idfs)), dtype=np.int32)[: len(x) + 1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(firsts, pa.array(x.ravel()))], ["id", "embedding"])
+
+    rows = table.select(F.col(id_col).alias("id"), tx.words(F.col("text")).alias("w"))
+    return rows.mapInArrow(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
+
+
 def lengths(table: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """(id, length): words and marks; the control that an embedder must beat."""
     return table.select(id_col, F.size(F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"), 0)).alias("length"))
@@ -81,8 +103,9 @@ def with_prefix(table: DataFrame, model: str, is_query: bool) -> DataFrame:
     return table
 
 
-def remote(table: DataFrame, call: Callable[[Sequence[str]], Sequence[Sequence[float]]], id_col: str = "chunk_id", batch: int = 32, retries: int = 2) -> DataFrame:
-    """(id, embedding) by an injected call of a service, a batch of texts at a time; a failing call is repeated."""
+def remote(table: DataFrame, call: Callable[[Sequence[str]], Sequence[Sequence[float]]], id_col: str = "chunk_id", batch: int = 32, retries: int = 2, backoff: float = 0.5) -> DataFrame:
+    """(id, embedding) by an injected call of a service, a batch of texts at a time; a failing call is repeated after backoff
+    seconds, twice as long each time."""
     kind = table.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +119,7 @@ def remote(table: DataFrame, call: Callable[[Sequence[str]], Sequence[Sequence[f
                     except (OSError, TimeoutError):
                         if attempt == retries:
                             raise
+                        time.sleep(backoff * 2**attempt)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([list(map(float, r)) for r in rows], pa.list_(pa.float32()))], ["id", "embedding"])
 
     return table.select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 KS = (1, 3, 5, 10, 20)
@@ -51,6 +53,39 @@ def per_query(qrels: DataFrame, run: DataFrame, ks: Sequence[int] = KS) -> DataF
     )
 
 
+#: Metrics of the caller's own: name -> function of a query's grades in rank order, all its judged grades, and k.
+CUSTOM: dict[str, Callable[[Sequence[int], Sequence[int], int], float]] = {}
+
+
+def custom(qrels: DataFrame, run: DataFrame, ks: Sequence[int] = KS, names: Sequence[str] = ()) -> DataFrame:
+    """(query_id, k, metric, value) of registered metrics; one that fails on a query has no row there."""
+    if odd := sorted(set(names) - set(CUSTOM)):
+        raise ValueError(f"unknown metric {', '.join(odd)}; known: {', '.join(sorted(CUSTOM))}")
+    chosen = {n: CUSTOM[n] for n in names or sorted(CUSTOM)}
+    judged = qrels.where("grade > 0").groupBy("query_id").agg(F.sort_array(F.collect_list("grade"), False).alias("judged"))
+    graded = once(run).join(qrels.select("query_id", "chunk_id", "grade"), ["query_id", "chunk_id"], "left")
+    ranked = graded.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.coalesce("grade", F.lit(0)).alias("grade")))).alias("r"))
+    rows = judged.join(ranked, "query_id", "left").select("query_id", "judged", F.coalesce(F.transform("r", lambda x: x["grade"]), F.array().cast("array<int>")).alias("grades"))
+    kind = rows.schema["query_id"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for i, (all_, grades) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for k in ks:
+                    for name, f in chosen.items():
+                        try:
+                            value = float(f(grades[:k], all_, k))
+                        except (ArithmeticError, ValueError, IndexError):
+                            continue
+                        at.append(i)
+                        out.append((k, name, value))
+            cols = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.float64())))], ["query_id", "k", "metric", "value"])
+
+    return rows.mapInArrow(score, f"query_id {kind}, k int, metric string, value double")
+
+
 METRICS = ("ndcg", "map", "mrr", "recall", "precision", "hit_rate")
 
 
@@ -150,6 +185,23 @@ def significance(left: DataFrame, right: DataFrame, metric: str, k: int, resampl
     return a.join(b, "query_id").groupBy().applyInPandas(lambda pdf: run(pdf), "n bigint, mean_difference double, low double, high double, p double, verdict string")
 
 
+def sample_size_note(n: int, difference: float | None = None) -> str:
+    """What so many questions can tell."""
+    least = math.ceil(round(2.8 * math.sqrt(0.5 / n), 9) * 100) / 100 if n else 1.0
+    if not n:
+        return "no question that both runs have"
+    if difference is not None and abs(difference) < least:
+        return f"{n} questions show differences of {least:.2f} or more; this one is {abs(difference):.3f}"
+    return f"{n} questions show differences of {least:.2f} or more"
+
+
+def disagreement(left: DataFrame, right: DataFrame, metric: str, k: int) -> DataFrame:
+    """(query_id, left, right, difference) of the questions on which two per_query() tables part, largest first."""
+    a, b = (x.where(F.col("k") == k).select("query_id", F.col(metric).alias(n)) for x, n in ((left, "left"), (right, "right")))
+    d = F.col("left") - F.col("right")
+    return a.join(b, "query_id").withColumn("difference", F.round(d, 6)).where(F.abs(d) > 1e-9).orderBy(F.desc(F.abs("difference")), "query_id")
+
+
 def pareto(results: DataFrame, quality: str, cost: str, tie: str | None = None) -> DataFrame:
     """Rows that no other beats: cheaper ones are all worse. Of rows equal in both the first by tie counts. Only
     the best row of each cost reaches the one sorted pass."""
@@ -159,6 +211,28 @@ def pareto(results: DataFrame, quality: str, cost: str, tie: str | None = None)
     return best.withColumn("b__", before).where(F.col("b__").isNull() | (F.col(quality) > F.col("b__"))).drop("b__")
 
 
+#: What the parts of a pipeline are judged by: the mean of the metrics that are there.
+DIMENSIONS = {"parse": ("evidence_resolvable",), "chunk": ("char_recall",), "embed": ("embedding_quality",), "retrieval": ("recall", "ndcg"), "generation": ("faithfulness", "answer_relevancy")}
+
+
+def dominant_cutoff(results: DataFrame, prefer: int = 5) -> int | None:
+    """The k that most metrics have; prefer if it is one of the commonest, else the largest of them."""
+    rows = results.groupBy("k").agg(F.countDistinct("metric").alias("n")).collect()  # a row a cut-off
+    if not rows:
+        return None
+    most = max(r["n"] for r in rows)
+    ks = sorted(r["k"] for r in rows if r["n"] == most)
+    return prefer if prefer in ks else ks[-1]
+
+
+def composite_score(results: DataFrame, k: int) -> DataFrame:
+    """(config_id, parse, chunk, embed, retrieval, generation, composite) of results(config_id, metric, k, value): each
+    dimension is the mean of its metrics at k, or at their only cut-off; those without a metric stay out."""
+    chosen = results.withColumn("n__", F.row_number().over(W.partitionBy("config_id", "metric").orderBy(F.desc(F.col("k") == k), F.desc("k")))).where("n__ = 1")
+    parts = [F.avg(F.when(F.col("metric").isin(*names), F.col("value"))).alias(d) for d, names in DIMENSIONS.items()]
+    return composite(chosen.groupBy("config_id").agg(*parts), list(DIMENSIONS))
+
+
 def axis_effect(results: DataFrame, axis: str, metric: str) -> DataFrame:
     """(value, n, mean) of a metric for each value of an axis."""
     return results.groupBy(F.col(axis).cast("string").alias("value")).agg(F.count("*").alias("n"), F.round(F.avg(metric), 6).alias("mean"))

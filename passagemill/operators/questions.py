@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
+from ..runtime import cut
 from .search import rrf, top_k
 
+#: Words that carry no topic: articles, pronouns, auxiliaries and question words of English.
 STOPWORDS = "a an and are as at be by can do does for from has have how i in is it of on or that the this to was what when where which who why will with you your".split()
 
 
@@ -84,7 +86,8 @@ def mmr_rerank(hits: DataFrame, chunks: DataFrame, k: int = 10, diversity: float
         return pd.DataFrame(out, columns=["query_id", "chunk_id", "score", "rank"])
 
     j = hits.select("query_id", "chunk_id", "rank").join(chunks.select("chunk_id", tx.words(F.col("text")).alias("w")), "chunk_id")
-    return j.groupBy("query_id").applyInPandas(run, "query_id bigint, chunk_id string, score double, rank int")
+    kind = j.schema["query_id"].dataType.simpleString()
+    return j.groupBy("query_id").applyInPandas(run, f"query_id {kind}, chunk_id string, score double, rank int")
 
 
 def _phrases(*parts: str) -> str:
@@ -125,23 +128,35 @@ def dangling(question: Column) -> Column:
 
 
 def drop_similar(items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(item_id, duplicate_of): questions whose words are as similar (Jaccard) to an earlier one that was kept. Candidate
-    pairs come from shared words; one greedy pass, in order of ids, goes over those that are similar enough."""
-    sets = items.select("item_id", F.array_distinct(tx.words(F.col("text"))).alias("w"))
-    words = sets.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    a, b = (words.select("word", F.col("item_id").alias("i" + x), F.col("n").alias("n" + x)) for x in "ab")
-    shared = a.join(b, "word").where("ia < ib").groupBy("ia", "ib", "na", "nb").agg(F.count("*").alias("c"))
-    pairs = shared.where(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")) >= threshold).select("ia", "ib")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: dict = {}
-        for ib, group in sorted(pdf.groupby("ib")):
-            kept = sorted(set(group["ia"]) - gone.keys())
-            if kept:
-                gone[ib] = kept[0]
-        return pd.DataFrame(sorted(gone.items()), columns=["item_id", "duplicate_of"])
-
-    return pairs.groupBy().applyInPandas(lambda pdf: run(pdf), "item_id bigint, duplicate_of bigint")
+    """(item_id, duplicate_of): questions whose words are as similar (Jaccard) to an earlier one that was kept, and the first
+    such one.
+
+    Questions of equal words stand behind the first of them. Candidates share one of their rarest words, as many as it takes
+    for two sets of this similarity to meet there. Which are kept is settled in rounds: a question goes once an earlier
+    similar one is kept, and is kept once all earlier similar ones are gone; rounds are as many as the longest chain."""
+    sets = items.select("item_id", F.array_sort(F.array_distinct(tx.words(F.col("text")))).alias("w")).where("size(w) > 0")
+    sets = sets.withColumn("key", F.sha2(F.array_join("w", " "), 256))
+    groups = cut(sets.groupBy("key").agg(F.min("item_id").alias("rep"), F.min_by("w", "item_id").alias("w")))
+    copies = sets.join(groups.select("key", "rep"), "key").where("item_id <> rep").select("item_id", "rep")
+    each = groups.select("rep", F.size("w").alias("n"), F.explode("w").alias("word"))
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "word"))
+    least = F.ceil(F.round(F.lit(threshold) * F.col("n"), 9))
+    rare = each.join(df, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1).select("rep", "n", "word")
+    a, b = (rare.select("word", F.col("rep").alias("i" + x), F.col("n").alias("n" + x)) for x in "ab")
+    near = a.join(b, "word").where("ia < ib").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9).select("ia", "ib").distinct()
+    own = groups.select("rep", "w")
+    both = near.join(own.withColumnsRenamed({"rep": "ia", "w": "wa"}), "ia").join(own.withColumnsRenamed({"rep": "ib", "w": "wb"}), "ib")
+    alike = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
+    pairs = cut(both.where(alike >= threshold).select("ia", "ib"))
+    state = cut(pairs.select(F.col("ia").alias("item_id")).union(pairs.select("ib")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    while not state.where("kept is null").isEmpty():
+        earlier = pairs.join(state.select(F.col("item_id").alias("ia"), "kept"), "ia").groupBy(F.col("ib").alias("item_id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("meets"), F.bool_and(F.coalesce(~F.col("kept"), F.lit(False))).alias("free"))
+        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("meets"), F.lit(False)).when(F.coalesce("free", F.lit(True)), F.lit(True))
+        state = cut(state.join(earlier, "item_id", "left").select("item_id", now.alias("kept")))
+    gone = pairs.join(state.where("kept").select(F.col("item_id").alias("ia")), "ia").join(state.where("not kept").select(F.col("item_id").alias("ib")), "ib").groupBy(F.col("ib").alias("item_id")).agg(F.min("ia").alias("duplicate_of"))
+    behind = copies.join(gone.withColumnRenamed("item_id", "rep"), "rep", "left").select("item_id", F.coalesce("duplicate_of", "rep").alias("duplicate_of"))
+    return gone.unionByName(behind)
 
 
 def filter_chain(items: DataFrame, baseline: DataFrame | None = None, unresolved: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
@@ -250,3 +265,30 @@ def score_answers(answers: DataFrame) -> DataFrame:
         "query_id", F.round(share(bag(plain), bag(F.concat_ws(" ", "context"))), 6).alias("groundedness"), F.round(share(bag(F.col("gold")), bag(plain)), 6).alias("evidence_overlap"),
         F.round(F.when(F.size(cited) > 0, F.size(valid) / F.size(cited)), 6).alias("citation_accuracy"), (F.col("answer").rlike(REFUSAL) == ~(F.col("answerable") & (F.size("context") > 0))).alias("abstention_correct"),
     )
+
+
+def answer_report(scores: DataFrame) -> DataFrame:
+    """(metric, value, n): means of score_answers() over the answers that have the measure."""
+    names = ("groundedness", "evidence_overlap", "citation_accuracy", "abstention_correct")
+    as_double = scores.select(*[F.col(n).cast("double").alias(n) for n in names])
+    stacked = as_double.selectExpr(f"stack({len(names)}, {', '.join(f'{n!r}, {n}' for n in names)}) as (metric, value)")
+    return stacked.where("value is not null").groupBy("metric").agg(F.round(F.avg("value"), 6).alias("value"), F.count("*").alias("n"))
+
+
+def lift(recall: float, groundedness: float) -> str:
+    """What retrieval and answers say of each other."""
+    if recall >= 0.8 and groundedness < 0.5:
+        return "the evidence is found but the answers do not use it: look at the generator"
+    if recall < 0.5 and groundedness >= 0.8:
+        return "answers stay with what they are shown, but the evidence is missing: look at retrieval"
+    return "retrieval and answers agree"
+
+
+def tokens_sent(assembled: DataFrame) -> DataFrame:
+    """(query_id, tokens) of assemble()."""
+    return assembled.groupBy("query_id").agg(F.sum("tokens").alias("tokens"))
+
+
+def type_distribution(typed: DataFrame) -> DataFrame:
+    """(qtype, n), most first."""
+    return typed.groupBy("qtype").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "qtype")

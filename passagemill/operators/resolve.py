@@ -83,47 +83,39 @@ def _origin(marks: list[tuple[int, int]], at: int) -> int:
 
 
 #: Where a quote is, how it was found, and in how many places it could be.
-Place = tuple[int, int, str, int]
+Place = tuple[int | None, int | None, str, int]
 
 
-def candidates(quote: str, text: str, bounded: bool = False, slack: float = 1.5, edge: int = 3) -> tuple[str, list[tuple[int, int]]]:
-    """The first strategy that finds a quote, and all places it finds: exact; with white space collapsed; then, if asked
-    for, from its first words to its last, if that is at most slack times as long. not_found without any."""
-    quote = quote.strip()
-    if not quote or not text:
-        return "not_found", []
-    if found := occurrences(text, quote):
-        return "exact", [(s, s + len(quote)) for s in found]
+def strategies(quote: str, text: str, bounded: bool = False, slack: float = 1.5, edge: int = 3) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Each way to find a quote, with the places it finds: exact; with white space collapsed; then, if asked for, from the first
+    place of its first words to its last, if that is at most slack times as long."""
+    yield "exact", [(s, s + len(quote)) for s in occurrences(text, quote)]
     flat, marks = collapse(text)
     words = quote.split()
     needle = " ".join(words)
-    if found := occurrences(flat, needle):
-        return "normalised", [(_origin(marks, s), _origin(marks, s + len(needle) - 1) + 1) for s in found]
+    yield "normalised", [(_origin(marks, s), _origin(marks, s + len(needle) - 1) + 1) for s in occurrences(flat, needle)]
     if bounded and len(words) >= 2 * edge:
         head, tail = " ".join(words[:edge]), " ".join(words[-edge:])
-        places = []
-        for s in occurrences(flat, head):
-            t = flat.find(tail, s + len(head))
-            if t >= 0 and t + len(tail) - s <= len(quote) * slack:
-                places.append((_origin(marks, s), _origin(marks, t + len(tail) - 1) + 1))
-        if places:
-            return "bounded", places
-    return "not_found", []
-
-
-def locate(quote: str, text: str, occurrence: int = 0, bounded: bool = False, slack: float = 1.5, edge: int = 3, page_hint: int | None = None, pages: list[tuple[int, int]] | None = None) -> Place | None:
-    """(start, end, strategy, places): place number occurrence of candidates(). Where some places start on the page that the
-    hint names, only these count; pages: (start, number) in order. Out of range: (None, None, "out_of_range", places)."""
-    strategy, places = candidates(quote, text, bounded, slack, edge)
-    if not places:
-        return None
-    if page_hint is not None and pages:
-        starts = [p[0] for p in pages]
-        there = [p for p in places if pages[max(0, bisect_right(starts, p[0]) - 1)][1] == page_hint]
-        places = there or places
-    if occurrence >= len(places):
-        return None, None, "out_of_range", len(places)
-    return *places[occurrence], strategy, len(places)
+        s = flat.find(head)
+        t = flat.find(tail, s + len(head)) if s >= 0 else -1
+        if t >= 0 and t + len(tail) - s <= len(quote) * slack:
+            yield "bounded", [(_origin(marks, s), _origin(marks, t + len(tail) - 1) + 1)]
+
+
+def locate(quote: str, text: str, occurrence: int = 0, bounded: bool = False, slack: float = 1.5, edge: int = 3, page_hint: int | None = None, pages: list[tuple[int, int]] | None = None) -> Place:
+    """(start, end, strategy, places): place number occurrence of the first strategy that has so many; the bounded one has one.
+    Where some places start on the page that the hint names, only these count; pages: (start, number) in order. Without a place
+    the strategy is out_of_range if some strategy found any, else not_found."""
+    quote, seen = quote.strip(), 0
+    for strategy, places in strategies(quote, text, bounded, slack, edge) if quote and text else ():
+        if page_hint is not None and pages and strategy != "bounded":
+            starts = [p[0] for p in pages]
+            places = [p for p in places if pages[max(0, bisect_right(starts, p[0]) - 1)][1] == page_hint] or places
+        seen = max(seen, len(places))
+        nth = 0 if strategy == "bounded" else occurrence
+        if nth < len(places):
+            return *places[nth], strategy, len(places)
+    return None, None, "out_of_range" if seen else "not_found", seen
 
 
 def resolve_anchors(anchors: DataFrame, docs: DataFrame, bounded: bool = False) -> DataFrame:
@@ -141,8 +133,8 @@ def resolve_anchors(anchors: DataFrame, docs: DataFrame, bounded: bool = False)
                 if not known:
                     out.append((None, None, "no_document", False))
                     continue
-                found = locate(quote or "", text or "", n or 0, bounded, page_hint=hint, pages=[(p["start"], p["number"]) for p in at or ()])
-                out.append((None, None, "not_found", False) if found is None else (*found[:3], found[0] is not None and found[3] > 1 and not n))
+                start, end, strategy, places = locate(quote or "", text or "", n or 0, bounded, page_hint=hint, pages=[(p["start"], p["number"]) for p in at or ()])
+                out.append((start, end, strategy, start is not None and places > 1 and not n))
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("doc_id"), batch.column("quote"), *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.bool_())))], ["item_id", "doc_id", "quote", "start", "end", "strategy", "ambiguous"])
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SCHEMA = "code string, severity string, subject string, message string"
 
@@ -49,3 +51,37 @@ def validate(results: DataFrame, published: DataFrame, tolerance: float = 0.05)
 def question_quality(items: DataFrame, baseline: DataFrame) -> DataFrame:
     """(n, discriminating): how well scores of a baseline spread: 1 at a half, 0 at none or all."""
     return items.join(baseline, "item_id").agg(F.count("*").alias("n"), F.round(F.avg(1.0 - F.abs(F.col("score") - 0.5) * 2), 6).alias("discriminating"))
+
+
+def none(spark: SparkSession) -> DataFrame:
+    """No finding."""
+    return spark.createDataFrame([], SCHEMA)
+
+
+def few_questions(questions: DataFrame, least: int = 30) -> DataFrame:
+    """Too few questions to tell configurations apart."""
+    n = questions.agg(F.count("*").alias("n"))
+    return n.where(F.col("n") < least).select(F.lit("few_questions").alias("code"), F.lit("caution").alias("severity"), F.lit("evalset").alias("subject"), F.concat("n", F.lit(f" questions; below {least} most differences are chance")).alias("message"))
+
+
+def strategy_did_nothing(searches: DataFrame) -> DataFrame:
+    """A retrieval strategy that searched no more than once a question is simple search. searches(retrieval, questions, searches)."""
+    idle = searches.where("retrieval is not null and retrieval <> 'simple' and searches <= questions")
+    return idle.select(F.lit("strategy_did_nothing").alias("code"), F.lit("info").alias("severity"), F.col("retrieval").alias("subject"), F.concat("searches", F.lit(" searches for "), "questions", F.lit(" questions")).alias("message"))
+
+
+def unbounded_spend(configs: DataFrame, budget_usd: float | None, names: tuple[str, ...] = ("hyde", "multi-query", "decompose", "step-back", "agentic", "llm", "contextual", "hypothetical-questions", "propositions", "summary", "remote")) -> DataFrame:
+    """Configurations that pay for replies, under no limit. configs: columns of specifications."""
+    if budget_usd is not None:
+        return none(configs.sparkSession)
+    paid = [F.split(F.col(c), ":")[0].isin(*names) for c, t in configs.dtypes if t == "string"]
+    hit = configs.where(reduce(Column.__or__, [F.coalesce(p, F.lit(False)) for p in paid])) if paid else configs.limit(0)
+    n = hit.agg(F.count("*").alias("n")).where("n > 0")
+    return n.select(F.lit("unbounded_spend").alias("code"), F.lit("caution").alias("severity"), F.lit("run").alias("subject"), F.concat("n", F.lit(" configurations pay for replies, and no budget ends the run")).alias("message"))
+
+
+def eval_quality(items: DataFrame) -> DataFrame:
+    """(n, reviewed, detectable) of items(item_id, reviewed boolean): how many, the share a person saw, and the least difference
+    of means that so many show."""
+    n = F.count("*")
+    return items.agg(n.alias("n"), F.round(F.avg(F.coalesce(F.col("reviewed"), F.lit(False)).cast("double")), 6).alias("reviewed"), (F.ceil(F.round(F.lit(2.8) * F.sqrt(F.lit(0.5) / n), 9) * 100) / 100).alias("detectable"))

@@ -160,13 +160,15 @@ def scan_topk(rows: DataFrame, queries: DataFrame, k: int, read: Callable[[pa.Ar
     kind, asks = rows.schema[0].dataType.simpleString(), queries.schema[0].dataType.simpleString()
     found = []
     for part in slabs(queries, queries.columns[0], queries.count() * max(1, width), SLAB_ELEMENTS):
-        table = part.toArrow().combine_chunks()  # at most SLAB_ELEMENTS elements
+        table = part.toArrow()  # at most SLAB_ELEMENTS elements
         if not table.num_rows:
             continue
-        shared = spark.sparkContext.broadcast((table.column(0).to_numpy(), read(table.column(1).combine_chunks())))
+        names, payload = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns)
+        shared = spark.sparkContext.broadcast((names, read(payload)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qi, q = shared.value
+            names, q = shared.value
+            qi = names.to_numpy(zero_copy_only=False)
             keeper = ranking.Keeper(len(qi), k)
             step = max(1, ranking.CELLS // len(qi))
             for batch in batches:
@@ -178,7 +180,7 @@ def scan_topk(rows: DataFrame, queries: DataFrame, k: int, read: Callable[[pa.Ar
                         s[qi[:, None] == ids[lo : lo + step]] = -np.inf
                     keeper.add_block(s, ids[lo : lo + step])
             at, ids, s = keeper.compact()
-            yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(ids), pa.array(s)], ["query_id", id_col, "score"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(ids), pa.array(s)], ["query_id", id_col, "score"])
 
         found.append(rows.mapInArrow(run, f"query_id {asks}, {id_col} {kind}, score double"))
     return _union(found or [_nothing(spark, asks, id_col, kind)])
@@ -252,7 +254,7 @@ def scalar_quantise(vectors: DataFrame) -> DataFrame:
 
 def means(vectors: DataFrame) -> np.ndarray:
     """The mean of each dimension, to nine places."""
-    rows = _elements(vectors).groupBy("dim").agg(F.round(F.avg("x"), 9).alias("mean")).collect()  # a row a dimension
+    rows = vectors.select(F.posexplode(doubles("embedding")).alias("dim", "x")).groupBy("dim").agg(F.round(F.avg("x"), 9).alias("mean")).collect()  # a row a dimension
     return np.array([r["mean"] for r in sorted(rows)], np.float64)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import spans as sp, text as tx
 from ..operators import chunk as ch, codecs, embed, metrics, questions as qs, resolve, search
 from ..sources import corpus
-from . import grid
+from . import cost, grid, ingest
 
 SIZE, OVERLAP, K = 512, 64, 10
 ACRONYMS = {"SLA": "service level agreement", "GDPR": "data protection regulation", "der": "the"}
@@ -70,6 +70,13 @@ class _T:
         return said.join(user, "conv_id").select(F.col("conv_id").alias("query_id"), "answer", context.alias("context"), F.element_at(context, 1).alias("gold"), F.lit(True).alias("answerable"))
 
 
+class _Plain(grid.Cache):
+    """Nothing is kept: a query's plan stands for itself."""
+
+    def get(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return make()
+
+
 QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Common table expressions by name; a query's SQL gets those it mentions, and those they mention.
@@ -113,6 +120,7 @@ _CTE: dict[str, str] = {
     round(coalesce(1.0::DOUBLE / h.first, 0), 6) AS mrr, round(coalesce(h.ap / q.n_rel, 0), 6) AS map, round(coalesce(h.dcg / q.idcg, 0), 6) AS ndcg
   FROM (SELECT query_id, k, n_rel, sum(CASE WHEN pos <= k THEN grade / log2(pos + 1.0::DOUBLE) ELSE 0 END) AS idcg FROM rel, levels GROUP BY ALL) q
   LEFT JOIN (SELECT query_id, k, count(*) AS n, min(rank) AS first, sum(found / rank::DOUBLE) AS ap, sum(grade / log2(rank + 1.0::DOUBLE)) AS dcg FROM hits, levels WHERE rank <= k GROUP BY ALL) h USING (query_id, k)""",
+    "dhits": "SELECT r.query_id, r.grade, x.rank, row_number() OVER (PARTITION BY r.query_id ORDER BY x.rank) AS found FROM rel r JOIN dn x USING (query_id, chunk_id) WHERE x.rank <= 10",
     "vecs": "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings",
     "elems": "SELECT vec_id, unnest(range(0, len(v))) AS dim, unnest(v) AS x FROM vecs",
     "bits": "SELECT vec_id, list(CASE WHEN x > m THEN 1 ELSE 0 END ORDER BY dim) AS bits FROM (SELECT *, round(avg(x) OVER (PARTITION BY dim), 9) AS m FROM elems) GROUP BY vec_id",
@@ -121,12 +129,20 @@ _CTE: dict[str, str] = {
     "decoded": """SELECT vec_id, list(least(255, greatest(0, round_even((x - lo) / step, 0))) * step + lo ORDER BY dim) AS v
   FROM (SELECT vec_id, dim, x, min(x) OVER w AS lo, (CASE WHEN max(x) OVER w > min(x) OVER w THEN max(x) OVER w - min(x) OVER w ELSE 1 END) / 255.0::DOUBLE AS step FROM elems WINDOW w AS (PARTITION BY dim)) GROUP BY vec_id""",
     "near": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM far QUALIFY rank <= 10",
+    "bm40": "SELECT * FROM bm100 WHERE rank <= 40",
     "groups": 'SELECT *, ((row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end") - 1) // 4)::INT AS parent FROM chunks',
     "pmap": """SELECT chunk_id, doc_id || ':' || min("start") OVER w || '-' || max("end") OVER w || '#parent' AS parent_id FROM groups WINDOW w AS (PARTITION BY doc_id, parent)""",
+    "pmap4": """SELECT chunk_id, CASE WHEN count(*) OVER w > 1 THEN doc_id || ':' || first_value("start") OVER o || '-' || last_value("end") OVER o || ':parent' ELSE chunk_id END AS parent_id FROM groups WINDOW w AS (PARTITION BY doc_id, parent), o AS (PARTITION BY doc_id, parent ORDER BY "start", "end", chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+    "longest": r"""SELECT chunk_id, trim(p, ' ') AS quote FROM (SELECT chunk_id, p, row_number() OVER (PARTITION BY chunk_id ORDER BY length(trim(p, ' ')) DESC, i) AS nth FROM (
+      SELECT chunk_id, unnest(l) AS p, unnest(range(0, len(l))) AS i FROM (SELECT chunk_id, list_filter(regexp_extract_all(text, '[^\n?!.]+[?!.]?'), lambda x: length(trim(x, ' ')) > 0) AS l FROM chunks))) WHERE nth = 1""",
     "typed": "SELECT item_id AS query_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{t}'" for t, p in qs.PATTERNS) + " ELSE 'factoid' END AS qtype FROM benchmark",
 }
 
 
+_CTE["dper"] = _CTE["per"].replace("FROM hits, levels", "FROM dhits, levels")
+_CTE = {n: _CTE[n] for n in (*list(_CTE)[: list(_CTE).index("vecs")], "dper", *list(_CTE)[list(_CTE).index("vecs") : -1])}
+
+
 def _with(body: str) -> str:
     """A query's SQL with the expressions that it needs, in order."""
     needed: set[str] = set()
@@ -199,15 +215,23 @@ def chunk_fixed_char(t: _T) -> DataFrame:
     return t.chunks().select("chunk_id", "doc_id", "idx", "start", "end", F.md5("text").alias("digest"), "n_tokens")
 
 
-def _chunker(name: str, **how) -> None:
+def _chunker(name: str, sql: str | None = None, **how) -> None:
     def f(t: _T) -> DataFrame:
         return ch.chunk(t.docs(), name, **how).select("chunk_id", "doc_id", "idx", "start", "end", "n_tokens")
 
     f.__name__ = f"chunk_{name}"
-    query()(f)
+    query(sql)(f)
 
 
-for _name, _how in (("fixed", {"size": 256}), ("recursive", {"size": 256}), ("sentence", {"window": 3}), ("structural", {"max_size": 256}), ("semantic", {"cut_at": 90.0})):
+_CTE["tokens"] = r"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n, e - length(token) AS s, e FROM (
+  SELECT doc_id, i, token, sum(length(token)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+    SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS token FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]|[\s\p{Z}]+') AS l FROM documents)))
+  WHERE NOT regexp_matches(token, '^[\s\p{Z}]')"""
+_chunker("fixed", """SELECT w.doc_id || ':' || a.s || '-' || b.e AS chunk_id, w.doc_id, (w0 // 224)::INT AS idx, a.s::INT AS "start", b.e::INT AS "end", (hi - lo)::INT AS n_tokens
+FROM (SELECT doc_id, w0, greatest(0, w0 - 32) AS lo, least(n, w0 + 256) AS hi FROM (SELECT doc_id, n, unnest(range(0, n, 224)) AS w0 FROM (SELECT DISTINCT doc_id, n FROM tokens)) WHERE w0 = 0 OR w0 + 32 < n) w
+JOIN tokens a ON a.doc_id = w.doc_id AND a.pos = lo JOIN tokens b ON b.doc_id = w.doc_id AND b.pos = hi - 1""", size=256)
+
+for _name, _how in (("recursive", {"size": 256}), ("sentence", {"window": 3}), ("structural", {"max_size": 256}), ("semantic", {"cut_at": 90.0})):
     _chunker(_name, **_how)
 
 
@@ -223,7 +247,11 @@ def parse_markdown(t: _T) -> DataFrame:
     return ch.parse(t.docs(), "markdown").drop("text")
 
 
-@query()
+@query(r"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS ord, (p0 + length(p) - length(regexp_replace(p, '^\s+', '')))::INT AS "start", (p0 + length(regexp_replace(p, '\s+$', '')))::INT AS "end", 'paragraph' AS kind, NULL::INT AS level
+FROM (SELECT *, e - length(p) - coalesce(length(m), 0) AS p0 FROM (
+  SELECT doc_id, i, p, m, sum(length(p) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+    SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p, unnest(list_concat(ms, [NULL])) AS m FROM (
+      SELECT doc_id, string_split_regex(text, '\n[ \t]*\n') AS ps, regexp_extract_all(text, '\n[ \t]*\n') AS ms FROM documents WHERE text IS NOT NULL)))) WHERE regexp_matches(p, '\S')""")
 def parse_text(t: _T) -> DataFrame:
     return ch.parse(t.docs()).drop("text")
 
@@ -296,6 +324,7 @@ def gold_report(t: _T) -> DataFrame:
 
 
 _RETRIEVED = '(SELECT r.query_id || \'|\' || c.doc_id AS doc_id, c."start", c."end" FROM run r JOIN chunks c USING (chunk_id))'
+_CTE["merged"] = "SELECT split_part(doc_id, '|', 1)::BIGINT AS item_id, split_part(doc_id, '|', 2)::BIGINT AS doc_id, \"start\", \"end\" FROM " + _ISLANDS.format("(SELECT item_id || '|' || doc_id AS doc_id, \"start\", \"end\" FROM places)")
 _EVIDENCE = "(SELECT item_id || '|' || doc_id AS doc_id, \"start\", \"end\" FROM places)"
 
 
@@ -310,6 +339,29 @@ def character_metrics(t: _T) -> DataFrame:
     return resolve.character_metrics(t.gold(), got)
 
 
+@query(f"SELECT split_part(doc_id, '|', 1)::BIGINT AS item_id, sum(\"end\" - \"start\")::BIGINT AS characters FROM {_ISLANDS.format(_RETRIEVED)} GROUP BY 1")
+def retrieved_characters(t: _T) -> DataFrame:
+    got = t.run().join(t.chunks().drop("text"), "chunk_id").select(F.col("query_id").alias("item_id"), "doc_id", "start", "end")
+    return resolve.retrieved_characters(got)
+
+
+@query(f"SELECT split_part(doc_id, '|', 1)::BIGINT AS item_id, sum(\"end\" - \"start\")::BIGINT AS gold_length, count(DISTINCT doc_id) AS documents FROM {_ISLANDS.format(_EVIDENCE)} GROUP BY 1")
+def gold_extent(t: _T) -> DataFrame:
+    return resolve.gold_extent(t.gold())
+
+
+@query(f"""SELECT item_id, chunk_id, round(o / sum(n) OVER (PARTITION BY item_id), 6) AS covered FROM (
+  SELECT g.item_id, g.chunk_id, g.o, 0 AS n FROM (SELECT i.item_id, c.chunk_id, sum(least(i."end", c."end") - greatest(i."start", c."start")) AS o FROM merged i JOIN chunks c ON c.doc_id = i.doc_id AND c."start" < i."end" AND i."start" < c."end" GROUP BY ALL) g
+  UNION ALL SELECT item_id, NULL, NULL, sum("end" - "start") FROM merged GROUP BY item_id) QUALIFY chunk_id IS NOT NULL""")
+def gold_coverage(t: _T) -> DataFrame:
+    return resolve.gold_coverage(t.gold(), t.chunks())
+
+
+@query("SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM places)")
+def items_without_gold(t: _T) -> DataFrame:
+    return resolve.items_without_gold(t.benchmark, t.gold()).select("item_id")
+
+
 @query("""SELECT count(*) AS items, count(*) FILTER (d.text IS NULL) AS missing_document, count(*) FILTER (p."end" > length(d.text)) AS out_of_bounds, 0::BIGINT AS text_differs
 FROM places p LEFT JOIN documents d USING (doc_id)""")
 def self_check(t: _T) -> DataFrame:
@@ -425,9 +477,11 @@ def compression_report(t: _T) -> DataFrame:
     return codecs.compression(t.embeddings, "binary")
 
 
-@query()
+@query("""SELECT query_id, min(chunk_id) FILTER (g AND n = 1) AS positive, string_agg(chunk_id, '|' ORDER BY rank) FILTER (NOT g AND n <= 3) AS negatives
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY rank) AS n FROM (SELECT r.query_id, r.chunk_id, r.rank, q.chunk_id IS NOT NULL AS g FROM run r LEFT JOIN qrels q USING (query_id, chunk_id)))
+GROUP BY query_id HAVING count(*) FILTER (g) > 0 AND count(*) FILTER (NOT g) > 0""")
 def mine_triplets(t: _T) -> DataFrame:
-    return codecs.mine_triplets(t.qrels(), t.run())
+    return codecs.mine_triplets(t.qrels(), t.run()).withColumn("negatives", F.array_join("negatives", "|"))
 
 
 @query()
@@ -474,7 +528,14 @@ def expand_acronyms(t: _T) -> DataFrame:
     return t.questions().withColumn("text", qs.expand(F.col("text"), ACRONYMS))
 
 
-@query()
+_STOP = "[" + ", ".join(f"'{w}'" for w in qs.STOPWORDS) + "]"
+
+
+@query(rf"""SELECT query_id, (part - 1)::INT AS part, text FROM (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY n) AS part FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, sig ORDER BY n) AS again FROM (
+    SELECT query_id, n, text, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: NOT list_contains({_STOP}, w)))) AS sig FROM (
+      SELECT query_id, unnest(range(0, len(l))) AS n, trim(unnest(l)) AS text FROM (SELECT item_id AS query_id, list_prepend(text, string_split_regex(text, '(?i)\s*(?:[;?]|,?\s+(?:and|or|also)\b)\s*')) AS l FROM benchmark)))
+  WHERE n = 0 OR len(sig) >= 2) WHERE again = 1) WHERE part <= 4""")
 def decomposed_parts(t: _T) -> DataFrame:
     return qs.decompose(t.questions())
 
@@ -560,6 +621,12 @@ def compare_runs(t: _T) -> DataFrame:
     return metrics.compare(metrics.per_query(rel, t.run()), metrics.per_query(rel, t.run(k1=0.9)), "mrr", 10)
 
 
+@query("SELECT query_id, a AS left, b AS right, round(a - b, 6) AS difference FROM reach WHERE abs(a - b) > 1e-9")
+def run_disagreement(t: _T) -> DataFrame:
+    rel = t.qrels()
+    return metrics.disagreement(metrics.per_query(rel, t.run()), metrics.per_query(rel, t.run(k1=0.9)), "mrr", 10)
+
+
 @query()
 def significance(t: _T) -> DataFrame:
     rel = t.qrels()
@@ -619,7 +686,10 @@ def minimum_detectable(t: _T) -> DataFrame:
     return t.conversations.groupBy("role").agg(F.count("*").alias("n")).select("role", qs.minimum_detectable(F.col("n")).cast("double").alias("detectable"))
 
 
-@query()
+@query(r"""WITH_PARTS SELECT chunk_id, string_agg(word, ' ' ORDER BY nth) AS question, any_value(quote) AS quote FROM (
+  SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY df, word) AS nth FROM (
+    SELECT DISTINCT chunk_id, quote, word FROM (SELECT chunk_id, quote, unnest(regexp_extract_all(lower(quote), '[\p{L}\p{N}_]+')) AS word FROM longest)) JOIN (SELECT term AS word, df FROM dfs) USING (word) WHERE length(word) > 3)
+WHERE nth <= 6 GROUP BY chunk_id HAVING count(*) >= 2""".replace("WITH_PARTS ", ""))
 def keyword_probes(t: _T) -> DataFrame:
     return qs.keyword_probes(t.chunks())
 
@@ -654,11 +724,55 @@ _BAG = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
 _SHARE = "CASE WHEN len({0}) > 0 THEN round(len(list_intersect({0}, {1})) / len({0}), 6) ELSE 0 END"
 
 
-@query(f"""SELECT query_id, {_SHARE.format("a", "c")} AS groundedness, {_SHARE.format("g", "a")} AS evidence_overlap, NOT regexp_matches(answer, '(?i)(i (do not|don''t) know|cannot (answer|be answered)|not (in|enough) (the )?(context|information))') AS abstention_correct
-FROM (SELECT conv_id AS query_id, answer, {_BAG.format(r"regexp_replace(answer, '\[\d+\]', ' ', 'g')")} AS a, {_BAG.format("context")} AS c, {_BAG.format("gold")} AS g
-  FROM (SELECT conv_id, arg_min(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id) JOIN (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS context, arg_min(text, turn) AS gold FROM conversations WHERE role = 'user' GROUP BY conv_id) USING (conv_id))""")
+_CTE["answered"] = f"""SELECT query_id, {_SHARE.format("a", "c")} AS groundedness, {_SHARE.format("g", "a")} AS evidence_overlap,
+  CASE WHEN len(cited) > 0 THEN round(len(list_filter(cited, lambda x: x::INT BETWEEN 1 AND passages)) / len(cited), 6) END AS citation_accuracy, NOT regexp_matches(answer, '(?i)(i (do not|don''t) know|cannot (answer|be answered)|not (in|enough) (the )?(context|information))') AS abstention_correct
+FROM (SELECT conv_id AS query_id, answer, regexp_extract_all(answer, '\\[(\\d+)\\]', 1) AS cited, passages, {_BAG.format(r"regexp_replace(answer, '\[\d+\]', ' ', 'g')")} AS a, {_BAG.format("context")} AS c, {_BAG.format("gold")} AS g
+  FROM (SELECT conv_id, arg_min(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id) JOIN (SELECT conv_id, count(*) AS passages, string_agg(text, ' ' ORDER BY turn) AS context, arg_min(text, turn) AS gold FROM conversations WHERE role = 'user' GROUP BY conv_id) USING (conv_id))"""
+
+
+@query("SELECT * FROM answered")
 def answer_scores(t: _T) -> DataFrame:
-    return qs.score_answers(t.spoken()).drop("citation_accuracy")
+    return qs.score_answers(t.spoken())
+
+
+@query("SELECT metric, round(avg(v), 6) AS value, count(*) AS n FROM (UNPIVOT (SELECT groundedness::DOUBLE AS groundedness, evidence_overlap::DOUBLE AS evidence_overlap, citation_accuracy::DOUBLE AS citation_accuracy, abstention_correct::DOUBLE AS abstention_correct FROM answered) ON groundedness, evidence_overlap, citation_accuracy, abstention_correct INTO NAME metric VALUE v) GROUP BY metric")
+def answer_report(t: _T) -> DataFrame:
+    return qs.answer_report(qs.score_answers(t.spoken()))
+
+
+@query("SELECT qtype, count(*) AS n FROM typed GROUP BY qtype")
+def type_distribution(t: _T) -> DataFrame:
+    return qs.type_distribution(t.questions().select("query_id", qs.classify(F.col("text")).alias("qtype")))
+
+
+@query(r"SELECT round(avg(len(list_filter(string_split_regex(trim(text), '\s+'), lambda w: w <> ''))), 6) AS tokens FROM benchmark")
+def mean_query_tokens(t: _T) -> DataFrame:
+    return t.spark.createDataFrame([(round(cost.mean_query_tokens(t.questions()), 6),)], "tokens double")
+
+
+@query(rf"""SELECT conv_id, turn, regexp_matches(text, '{qs.DANGLING}') AND NOT (regexp_matches(head, '(?i)\b(these|this|an?|the)\s+\w') OR regexp_matches(regexp_replace(head, '^\s*\S+\s*', ''), '\b[A-Z][a-z]{{1,}}\b')) AS dangling
+FROM (SELECT conv_id, turn, text, regexp_extract(text, '(?is)^(.*?){qs.DANGLING[4:]}', 1) AS head FROM conversations)""")
+def dangling_reference(t: _T) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", qs.dangling(F.col("text")).alias("dangling"))
+
+
+@query("SELECT g.index, v.metric, v.k, round(v.value, 6) AS value FROM (SELECT 'bm25' AS index UNION ALL SELECT 'dense') g JOIN (SELECT 'bm25' AS index, metric, k, avg(x) AS value FROM (UNPIVOT (SELECT * FROM per) ON recall, precision, hit_rate, mrr, map, ndcg INTO NAME metric VALUE x) WHERE k <= 10 GROUP BY ALL UNION ALL SELECT 'dense', metric, k, avg(x) FROM (UNPIVOT (SELECT * FROM dper) ON recall, precision, hit_rate, mrr, map, ndcg INTO NAME metric VALUE x) WHERE k <= 10 GROUP BY ALL) v USING (index)")
+def grid_results(t: _T) -> DataFrame:
+    """Two configurations run by the grid: the chunks of the other queries, by BM25 and by TF-IDF."""
+    runner = grid.Runner(t.docs(), t.questions(), t.gold(), cache=_Plain())
+    parts = []
+    for c in (grid.Config(chunker=f"fixed:{SIZE},overlap={OVERLAP},tokenizer=character"), grid.Config(chunker=f"fixed:{SIZE},overlap={OVERLAP},tokenizer=character", index="dense", embedder="tfidf")):
+        found = metrics.evaluate(runner.qrels(c), runner.search(c), (1, 3, 5, 10))
+        parts.append(found.select(F.lit(c.index).alias("index"), "metric", "k", "value"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, parent_id AS chunk_id, max(score) AS score FROM bm40 JOIN pmap4 USING (chunk_id) GROUP BY ALL)) WHERE rank <= 10")
+def parent_document_search(t: _T) -> DataFrame:
+    """Chunks are searched, the passages of their groups come back: four times as many hits, the best of each passage."""
+    made = ingest.ingest("parent-document", t.docs(), t.chunks())
+    hits = search.bm25(made.indexed.select(F.col("indexed_id").alias("chunk_id"), "text"), t.questions(), 4 * K)
+    return made.returned(hits, K)
 
 
 ORACLES: dict[str, str] = {name: _with(sql) for name, sql in _SQL.items()}

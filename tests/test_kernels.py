@@ -1,6 +1,8 @@
 """Sequential kernels and small tables against plain Python."""
 
 import math
+import random
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -33,6 +35,34 @@ def test_fixed_windows():
         tx.fixed(text, 8, 8)
 
 
+def test_recursive_by_hand():
+    """Paragraphs that fit stay together, one that does not is cut at its sentences, and pieces are packed again."""
+    text = "a b c.\n\nd e f g. h i j k. l m\n\nn o"
+    cut = lambda **how: [text[a:b] for a, b in tx.recursive(text, **how)]
+    assert cut(size=30, overlap=0) == [text]
+    assert cut(size=6, overlap=0) == ["a b c.", "d e f g.", "h i j k.", "l m\n\nn o"]
+    assert cut(size=6, overlap=2) == ["a b c.", "c.\n\nd e f g.", "g. h i j k.", "k. l m\n\nn o"]
+    assert [x for x in tx.recursive("abcdef", 2, 0, "character")] == [(0, 2), (2, 4), (4, 6)]
+
+
+def test_structural_by_hand():
+    """A section a heading; a small one joins the one before, a table is never cut."""
+    table = "| a | b |\n| 1 | 2 |\n| 3 | 4 |"
+    text = f"intro words here\n\n# One\nalpha beta gamma delta\n\n# Two\nx\n\n# Three\n{table}\n\nafter the table"
+    cut = lambda **how: [text[a:b] for a, b in tx.structural(text, **how)]
+    assert cut(max_size=60, min_size=5) == ["intro words here", "# One\nalpha beta gamma delta\n\n# Two\nx", f"# Three\n{table}\n\nafter the table"]
+    kept = cut(max_size=10, min_size=2)
+    assert table in kept and "after the table" in kept and "# Three" in kept
+    assert table not in cut(max_size=10, min_size=2, split_tables=True)
+
+
+def test_semantic_by_hand():
+    """The cut falls where neighbouring windows have least in common."""
+    text = "Cats purr softly. Cats sleep softly. Engines burn fuel. Engines burn oil."
+    assert [text[a:b] for a, b in tx.semantic(text, 95.0, 0)] == ["Cats purr softly. Cats sleep softly.", "Engines burn fuel. Engines burn oil."]
+    assert len(tx.semantic(text, 100.0, 0, 1)) == 4  # the size alone
+
+
 def test_sentences_keep_abbreviations_and_numbers():
     assert [PROSE[a:b] for a, b in tx.sentences(PROSE)][:2] == ["Dr. Smith paid 3.5 percent, etc. and more.", "Why?"]
 
@@ -65,12 +95,48 @@ def test_merge_spans(spark):
 
 def test_locate():
     text = "one  two\nthree one two four"
-    assert resolve.locate("one  two", text) == (0, 8, "exact")
-    assert resolve.locate("two three", text) == (5, 14, "normalised")
-    assert resolve.locate("one two", text) == (15, 22, "exact") and resolve.locate("one two", text, 1) == (15, 22, "normalised")
-    assert resolve.locate("absent", text) is None and resolve.locate(" ", text) is None
+    assert resolve.locate("one  two", text) == (0, 8, "exact", 1)
+    assert resolve.locate("two three", text) == (5, 14, "normalised", 1)
+    assert resolve.locate("one two", text) == (15, 22, "exact", 1) and resolve.locate("one two", text, 1) == (15, 22, "normalised", 2)
+    assert resolve.locate("one two", text, 2) == (None, None, "out_of_range", 2)
+    assert resolve.locate("absent", text) == resolve.locate(" ", text) == (None, None, "not_found", 0)
     long = "alpha beta gamma was here and delta epsilon zeta"
-    assert resolve.locate("alpha beta gamma is there and delta epsilon zeta", long, bounded=True) == (0, len(long), "bounded")
+    assert resolve.locate("alpha beta gamma is there and delta epsilon zeta", long, bounded=True) == (0, len(long), "bounded", 1)
+    paged = "same words\nsame words\nsame words"
+    pages = [(0, 1), (11, 2), (22, 3)]
+    assert resolve.locate("same words", paged, page_hint=3, pages=pages)[:2] == (22, 32) and resolve.locate("same words", paged, page_hint=9, pages=pages)[:2] == (0, 10)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \n\t", max_size=40))
+def test_collapse_maps_back(text):
+    flat, marks = resolve.collapse(text)
+    assert flat == re.sub(r"\s+", " ", text)
+    for i, c in enumerate(flat):
+        at = resolve._origin(marks, i)
+        assert text[at].isspace() if c == " " else text[at] == c
+
+
+def test_resolve_everywhere(spark):
+    """Every item in every document, by brute force: verbatim, in other white space, abridged, and nowhere."""
+    quote = "alpha beta gamma delta epsilon zeta eta"
+    docs = spark.createDataFrame([(1, f"x {quote} y {quote}"), (2, quote.replace(" ", "\n ")), (3, "alpha beta gamma other words epsilon zeta eta"), (4, "alpha beta gamma and no end"), (5, None), (6, "")], "doc_id bigint, text string")
+    quotes = spark.createDataFrame([(1, quote), (2, "nowhere at all"), (3, " "), (4, None), (5, "alpha beta")], "item_id bigint, quote string")
+    got = sorted((tuple(r) for r in resolve.resolve_everywhere(quotes, docs).collect()), key=str)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = []
+    for r in quotes.collect():
+        found = [(r.item_id, d, *resolve.locate(r.quote or "", t, bounded=True)[:3]) for d, t in texts.items()]
+        want += [f for f in found if f[2] is not None] or [(r.item_id, None, None, None, "not_found")]
+    assert got == sorted(want, key=str) and {g[4] for g in got} == {"exact", "normalised", "bounded", "not_found"}
+
+
+def test_anchor_reasons(spark):
+    docs = spark.createDataFrame([(1, "one two two", [(0, 1), (8, 2)]), (2, "zwei", None)], "doc_id bigint, text string, pages array<struct<start:int,number:int>>")
+    anchors = spark.createDataFrame([(1, 1, "two", 0, None), (2, 1, "two", 0, 2), (3, 1, "two", 5, None), (4, 2, "two", 0, None), (5, 7, "two", 0, None)], "item_id bigint, doc_id bigint, quote string, occurrence int, page_hint int")
+    rows = resolve.resolve_anchors(anchors, docs)
+    assert {r.item_id: (r.start, r.strategy, r.ambiguous) for r in rows.collect()} == {1: (4, "exact", True), 2: (8, "exact", False), 3: (None, "out_of_range", False), 4: (None, "not_found", False), 5: (None, "no_document", False)}
+    assert {r.strategy: (r.n, r.ambiguous) for r in resolve.resolution_report(rows).collect()}["exact"] == (2, 1)
 
 
 def test_anchors(spark):
@@ -80,14 +146,106 @@ def test_anchors(spark):
     assert got == {1: (4, 7, "exact"), 2: (None, None, "not_found"), 3: (None, None, "no_document"), 4: (None, None, "not_found")}
 
 
-def test_quotes_pairwise_as_automaton(spark, monkeypatch):
+def test_quotes_in_slabs(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "aaaa b"), (2, ""), (3, None)], "doc_id bigint, text string")
     quotes = spark.createDataFrame([(1, "aa"), (2, "b"), (3, ""), (4, None), (5, "aa")], "item_id bigint, quote string")
     one = sorted(map(tuple, resolve.find_quotes(docs, quotes).collect()))
-    monkeypatch.setattr(resolve, "QUOTES_LIMIT", 0)
+    monkeypatch.setattr(resolve, "SLAB", 2)
     assert one == sorted(map(tuple, resolve.find_quotes(docs, quotes).collect())) and len(one) == 7
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_drop_similar_against_greedy_pass(spark, seed):
+    rng = random.Random(seed)
+    base = [[rng.choice("abcdefghijklmnop") * 2 for _ in range(9)] for _ in range(12)]
+    rows = []
+    for i in range(120):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(9)] = rng.choice("abcdefghijklmnop") * 2
+        rows.append((i, " ".join(words)))
+    rows += [(200, None), (201, ""), (202, rows[0][1]), (203, rows[0][1].upper())]
+    kept, want = [], {}
+    for i, t in rows:
+        bag = set((t or "").lower().split())
+        first = next((k for k, b in kept if bag and len(b & bag) / len(b | bag) >= 0.8), None)
+        if first is None:
+            kept.append((i, bag))
+        else:
+            want[i] = first
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    assert {r.item_id: r.duplicate_of for r in qs.drop_similar(items).collect()} == want and want
+    assert qs.drop_similar(items.limit(0)).count() == 0
+
+
+def brute_bm25(chunks, queries, k, k1=1.5, b=0.75):
+    bags = {c: re.findall(r"\w+", t.lower()) for c, t in chunks}
+    n, mean = len(bags), sum(map(len, bags.values())) / len(bags)
+    out = []
+    for q, text in queries:
+        scores = {}
+        for w in re.findall(r"\w+", text.lower()):
+            df = sum(w in x for x in bags.values())
+            for c, bag in bags.items():
+                if f := bag.count(w):
+                    scores[c] = scores.get(c, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(bag) / mean))
+        ranked = sorted(((-round(s, 6), c) for c, s in scores.items()))[:k]
+        out += [(q, c, -s, i + 1) for i, (s, c) in enumerate(ranked)]
+    return out
+
+
+def test_searches_in_slabs(spark, monkeypatch):
+    """Many slabs and small blocks give what one gives, and both what plain Python gives."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    chunks = [(f"c{i:03d}", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 25)))) for i in range(90)] + [("empty", ""), ("twin1", "w1 w2"), ("twin2", "w1 w2")]
+    queries = [(i, " ".join(rng.choice(words) for _ in range(4))) for i in range(15)] + [(90, "w1 w2 w2"), (91, "unknown"), (92, "")]
+    c, q = spark.createDataFrame(chunks, "chunk_id string, text string").repartition(3), spark.createDataFrame(queries, "query_id bigint, text string")
+    want = sorted(brute_bm25(chunks, queries, 7))
+    rows = lambda df: sorted((r.query_id, r.chunk_id, r.score, r.rank) for r in df.collect())
+    near = lambda got: [(a, b, pytest.approx(s, abs=2e-6), n) for a, b, s, n in got]
+    assert rows(search.bm25(c, q, 7)) == near(want)
+    tfidf = rows(search.tfidf_search(c, q, embed.tfidf_fit(c), 7))
+    monkeypatch.setattr(search, "SLAB_TERMS", 9)
+    assert rows(search.bm25(c, q, 7)) == near(want) and rows(search.tfidf_search(c, q, embed.tfidf_fit(c), 7)) == tfidf
+    idf = embed.tfidf_fit(c)
+    a, b = embed.tfidf_rows(c, idf).withColumnRenamed("weight", "x"), embed.tfidf_rows(q, idf, "query_id")
+    plain = search.top_k(a.join(b, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("x") * F.col("weight")), 6).alias("score")), 7)
+    assert [(x[0], x[2]) for x in tfidf] == [(x[0], pytest.approx(x[2], abs=2e-6)) for x in rows(plain)]
+    assert search.bm25(c.limit(0), q, 7).count() == 0 and search.bm25(c, q.limit(0), 7).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 4), st.integers(1, 5), st.lists(st.lists(st.integers(0, 4), min_size=4, max_size=4), max_size=30), st.integers(1, 7))
+def test_keeper(queries, k, scores, step):
+    import numpy as np
+
+    from passagemill.functions import ranking
+
+    s = np.array(scores, float).reshape(-1, 4)[:, :queries].T
+    ids = np.array([f"i{(7 * j) % 31:02d}" for j in range(s.shape[1])], object)
+    keeper = ranking.Keeper(queries, k)
+    for lo in range(0, s.shape[1], step):
+        keeper.add_block(s[:, lo : lo + step], ids[lo : lo + step])
+        if lo % 2:
+            keeper.compact()
+    got = list(zip(*(x.tolist() for x in keeper.compact())))
+    assert got == [(q, i, v) for q in range(queries) for v, i in sorted(((v, i) for v, i in zip(s[q], ids)), key=lambda x: (-x[0], x[1]))[:k]]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aé日 b.\n😀", max_size=30))
+def test_bpe_spans_tile_the_text(text):
+    spans = tx.token_spans(text, "bpe:/opt/tokenizers/byte_bpe_50k.tiktoken")
+    assert "".join(text[a:b] for a, b in spans) == text and all(a < b for a, b in spans)
+
+
+def test_bpe_chunks(spark):
+    docs = spark.createDataFrame([(1, "one two three four five " * 20)], "doc_id bigint, text string")
+    chunks = ch.chunk(docs, "fixed", size=16, overlap=0, tokenizer="bpe:/opt/tokenizers/byte_bpe_50k.tiktoken").collect()
+    assert all(c.n_tokens <= 17 for c in chunks) and len(chunks) >= 6
+
+
 def test_metrics_by_hand(spark):
     qrels = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "c", 1), (3, "d", 0)], "query_id bigint, chunk_id string, grade int")
     run = spark.createDataFrame([(1, "x", 1), (1, "b", 2), (1, "a", 3)], "query_id bigint, chunk_id string, rank int")
@@ -123,7 +281,7 @@ def test_dense_against_numpy(spark):
     x = np.random.default_rng(0).standard_normal((40, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
     got = {}
-    for r in search.dense(df, df, 3, "l2", block_rows=7).collect():
+    for r in search.dense(df, df, 3, "l2").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     far = ((x[:, None] - x[None]) ** 2).sum(-1)
     np.fill_diagonal(far, np.inf)

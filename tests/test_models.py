@@ -67,17 +67,47 @@ def test_product_and_ivf_recall(spark, vectors):
 
 @pytest.mark.parametrize("name,metric", [("product_topk", "dot"), ("ivf_topk", "cosine")])
 def test_registered_recall(spark, name, metric):
-    """The registered searches, every row a query."""
+    """The registered searches against brute force."""
     from passagemill.plans import catalogue
 
     folder = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{folder}/embeddings.parquet")
     found = catalogue.QUERIES[name](spark, folder)
-    recall = search.recall_against(found, search.dense(rows, rows, 10, metric)).first().recall
+    recall = search.recall_against(found, search.dense(rows, rows.where("vec_id % 50 = 0"), 10, metric)).first().recall
     print(name, recall)
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("codec", codecs.CODECS)
+def test_codecs_by_numpy(vectors, codec):
+    """Codes rank as plain numpy ranks them, and rescoring everything gives the exact order."""
+    rows = vectors.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    asked = vectors.where("vec_id % 50 = 0")
+    q = x[ids % 50 == 0]
+    if codec == "scalar":
+        lo, step = x.min(0), (x.max(0) - x.min(0)) / 255
+        s = q @ (np.rint((x - lo) / step) * step + lo).T
+    elif codec == "binary":
+        bits = x > np.round(x.mean(0), 9)
+        s = -(bits[ids % 50 == 0][:, None] != bits).sum(-1).astype(float)
+    elif codec == "none":
+        s = q @ x.T
+    else:
+        s = None
+    if s is not None:
+        s[ids[ids % 50 == 0][:, None] == ids] = -np.inf
+        want = {(int(ids[ids % 50 == 0][i]), n + 1): round(float(v), 4) for i in range(len(q)) for n, v in enumerate(np.sort(s[i])[::-1][:5])}
+        assert {(r.query_id, r.rank): round(r.score, 4) for r in codecs.quantized_search(vectors, asked, codec, 5).collect()} == pytest.approx(want, abs=2e-4)
+    order = lambda df: sorted((r.query_id, r.rank, r.vec_id) for r in df.collect())
+    assert order(codecs.quantized_search(vectors, asked, codec, 5, 400)) == order(search.dense(vectors, asked, 5, "dot"))
+
+
+def test_unknown_codec(vectors):
+    with pytest.raises(ValueError):
+        codecs.quantized_search(vectors, vectors, "zip")
+
+
 def test_adapter_moves_queries_towards_answers(spark):
     rng = np.random.default_rng(5)
     q, turn = rng.standard_normal((200, 6)), np.linalg.qr(rng.standard_normal((6, 6)))[0]
