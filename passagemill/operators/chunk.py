@@ -70,6 +70,49 @@ def parse(docs: DataFrame, parser: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ord int, start int, end int, kind string, level int, text string")
 
 
+_PAGE = r"<!--\s*page:\s*(\d+)\s*-->"
+
+
+def page_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, number) of the pages that markers <!-- page: n --> begin; a text before the first marker is page 1."""
+    tiled = docs.select("doc_id", F.posexplode(F.split("text", _PAGE)).alias("i", "part"), F.regexp_extract_all("text", F.lit(_PAGE), 0).alias("marks"), F.regexp_extract_all("text", F.lit(_PAGE), 1).alias("numbers"))
+    size = F.length("part") + F.coalesce(F.length(F.get("marks", F.col("i") - 1)), F.lit(0))
+    before = F.coalesce(F.sum(size).over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = tiled.withColumns({"start": before, "number": F.when(F.col("i") == 0, F.lit(1)).otherwise(F.get("numbers", F.col("i") - 1).cast("int"))})
+    return placed.where((F.col("i") > 0) | (F.size("marks") == 0) | (F.length(F.trim("part")) > 0)).select("doc_id", "start", "number")
+
+
+def with_pages(docs: DataFrame) -> DataFrame:
+    """docs with pages: array of (start, number), as anchors and chunks look them up."""
+    by = page_table(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "number"))).alias("pages"))
+    return docs.join(by, "doc_id", "left")
+
+
+def page_at(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """spans(doc_id, start, ...) with page: the last page that begins at or before the start; pages: of page_table()."""
+    by = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "number"))).alias("pages__"))
+    upto = F.filter("pages__", lambda p: p["start"] <= F.col("start"))
+    return spans.join(by, "doc_id", "left").withColumn("page", F.when(F.size(upto) > 0, F.element_at(upto, -1)["number"])).drop("pages__")
+
+
+def blocks_of(blocks: DataFrame, *kinds: str) -> DataFrame:
+    return blocks.where(F.col("kind").isin(*kinds))
+
+
+def block_at(positions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """positions(doc_id, at) with ord and kind of the block that has the place, null outside all blocks."""
+    held = blocks.select("doc_id", "ord", "kind", F.col("start").alias("s__"), F.col("end").alias("e__"))
+    return positions.join(held, (positions["doc_id"] == held["doc_id"]) & (F.col("s__") <= F.col("at")) & (F.col("at") < F.col("e__")), "left").drop(held["doc_id"]).drop("s__", "e__")
+
+
+def require_parse(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """chunks, which fail when they are read if one is no slice of its document: they belong to another parse of it."""
+    own = docs.select("doc_id", F.col("text").alias("whole__"))
+    same = F.expr("substring(whole__, start + 1, end - start)").eqNullSafe(F.col("text"))
+    why = F.concat(F.lit("the chunk belongs to another parse: "), "chunk_id")
+    return chunks.join(own, "doc_id", "left").withColumn("text", F.when(same, F.col("text")).otherwise(F.raise_error(why).cast("string"))).drop("whole__")
+
+
 def verify_blocks(blocks: DataFrame, docs: DataFrame) -> DataFrame:
     """Blocks (or chunks) whose text is not the slice of their document that their offsets name."""
     own = docs.select("doc_id", F.col("text").alias("whole"))

@@ -353,3 +353,59 @@ def embedding_quality(vectors: DataFrame) -> DataFrame:
         return pd.DataFrame([(int(n), round(float(pairs), 6), round(float(np.trace(c) ** 2 / max((c * c).sum(), 1e-300)), 6))], columns=["n", "anisotropy", "participation"])
 
     return parts.groupBy().applyInPandas(lambda pdf: finish(pdf), "n bigint, anisotropy double, participation double")
+
+
+def _moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, sums of unit vectors, sums of the vectors, and of their products: one pass, d * d numbers from each task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, parts = 0, None
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0))
+                u = unit(x)
+                now = np.concatenate([u.sum(0), x.sum(0), (x.T @ x).ravel()])
+                n, parts = n + len(x), now if parts is None else parts + now
+        if n:
+            flat = np.concatenate([[n], parts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "x"])
+
+    rows = vectors.where("size(embedding) > 0").select(doubles("embedding").alias("v")).mapInArrow(run, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()  # d * d + 2 * d + 1 numbers
+    flat = np.array([r["x"] for r in rows])
+    d = int(round((-2 + np.sqrt(4 + 4 * max(0, len(flat) - 1))) / 2))
+    return (int(flat[0]), flat[1 : d + 1], flat[d + 1 : 2 * d + 1], flat[2 * d + 1 :].reshape(d, d)) if len(flat) else (0, np.zeros(0), np.zeros(0), np.zeros((0, 0)))
+
+
+def quality_report(chunks: DataFrame, every: int = 50, near: float = 0.99, alike: float = 0.75, least_pairs: int = 10) -> dict[str, float | None]:
+    """What vectors say of chunks(chunk_id bigint, doc_id, start, text, embedding): anisotropy, the mean cosine of chunks of
+    different documents, exact from sums; separation, how much closer neighbours in a document are, and redundancy, the
+    reverse, both None with fewer than least_pairs neighbours; participation, the effective dimensions; collapsed, the share of
+    the chunks whose id every divides whose nearest neighbour of all is as good as equal though its words are others; and score, a
+    mean from 0 to 1 in which separation, held against 0.25, counts twice."""
+    n, total, s, m = _moments(chunks)
+    if n < 4:
+        raise ValueError(f"{n} chunks are too few")
+
+    def within(group: pa.Table) -> pa.Table:
+        """A document's chunks, of which it has as many as its text is long."""
+        group = group.sort_by("start")
+        u = unit(matrix(pa.concat_arrays(group["v"].chunks)))
+        return pa.table({"n": [len(u)], "sq": [float(((u.sum(0)) ** 2).sum())], "adjacent": [float((u[1:] * u[:-1]).sum())], "pairs": [len(u) - 1]})
+
+    by = chunks.where("size(embedding) > 0").select("doc_id", "start", doubles("embedding").alias("v")).groupBy("doc_id").applyInArrow(within, "n bigint, sq double, adjacent double, pairs bigint")
+    r = by.agg(F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum("sq").alias("sq"), F.sum("adjacent").alias("adjacent"), F.sum("pairs").alias("pairs")).first()
+    across = n * n - r["nn"]
+    anisotropy = float((total @ total - r["sq"]) / across) if across else float((total @ total - n) / (n * (n - 1)))
+    coherence = r["adjacent"] / r["pairs"] if r["pairs"] >= least_pairs else None
+    c = m / n - np.outer(s / n, s / n)
+    participation = float(np.trace(c) ** 2 / max((c * c).sum(), 1e-300)) if np.trace(c) > 0 else 0.0
+    asked = chunks.where(F.pmod(F.col("chunk_id"), F.lit(every)) == 0)
+    nearest = dense(chunks, asked, 1, id_col="chunk_id").where(F.col("score") >= near)
+    bags = chunks.select("chunk_id", F.array_distinct(tx.words(F.col("text"))).alias("w"))
+    both = nearest.join(bags, "chunk_id").join(bags.select(F.col("chunk_id").alias("query_id"), F.col("w").alias("x")), "query_id")
+    same = F.when(F.size(F.array_union("w", "x")) > 0, F.size(F.array_intersect("w", "x")) / F.size(F.array_union("w", "x"))).otherwise(F.lit(1.0))
+    collapsed = both.where(same < alike).count() / max(1, asked.count())
+    clamp = lambda x: min(1.0, max(0.0, x))
+    parts = [clamp(1 - anisotropy), clamp(4 * participation / len(total)), clamp(1 - collapsed)]
+    if coherence is not None:
+        parts += [clamp((coherence - anisotropy) / 0.25)] * 2
+    return {"chunks": n, "anisotropy": anisotropy, "separation": None if coherence is None else coherence - anisotropy, "redundancy": None if coherence is None else anisotropy - coherence, "participation": participation, "collapsed": collapsed, "score": sum(parts) / len(parts)}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import difflib
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 PATTERNS = tuple(f"*.{suffix}" for suffix in "docx htm html markdown md pdf pptx text txt xlsx".split())
 TOOL_DIRS = ("node_modules", "__pycache__", "venv", "dist", "build", "target", "site-packages")
@@ -44,6 +46,31 @@ def of_type(corpus: DataFrame, *types: str) -> DataFrame:
     return corpus.where(F.col("media_type").isin(*types))
 
 
+def get(corpus: DataFrame, id_: str) -> Row | None:
+    """The file of an id, or None."""
+    return corpus.where(F.col("id") == id_).first()
+
+
+def require(corpus: DataFrame, id_: str) -> Row:
+    found = get(corpus, id_)
+    if found is None:
+        near = difflib.get_close_matches(id_, [r["id"] for r in corpus.select("id").limit(1000).collect()], 3)
+        raise KeyError(f"the corpus has no {id_!r}" + (f"; near: {', '.join(near)}" if near else ""))
+    return found
+
+
+def media_types(corpus: DataFrame) -> DataFrame:
+    """(media_type, n)."""
+    return corpus.groupBy("media_type").agg(F.count("*").alias("n"))
+
+
+def block_ratios(blocks: DataFrame) -> DataFrame:
+    """(kind, n, ratio) of blocks(kind, start, end): the share of the blocks' characters that each kind has."""
+    by = blocks.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+    total = by.agg(F.sum("chars").alias("all"))
+    return by.join(F.broadcast(total)).select("kind", "n", F.round(F.col("chars") / F.col("all"), 6).alias("ratio"))
+
+
 def texts_of(files: DataFrame) -> DataFrame:
     """(id, text, decoded): UTF-8 files without a byte order mark; what is not UTF-8 is empty and not decoded."""
     ok = F.expr("is_valid_utf8(cast(content as string))")
@@ -71,6 +98,9 @@ def hints(stats: DataFrame) -> DataFrame:
 
 
 def content_hash(docs: DataFrame) -> DataFrame:
-    """(content_hash): SHA-256 over the sorted digests of all texts."""
-    digests = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("d"))
-    return digests.agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("d"))), 256).alias("content_hash"))
+    """(content_hash): SHA-256 over the sorted digests of all texts, in a tree of two levels of 4096 branches each, so that no
+    row holds them all; a text that is there several times is in it once, with how often."""
+    each = docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("d")).agg(F.count("*").alias("n")).select(F.concat_ws(":", "d", "n").alias("h"), F.substring("d", 1, 6).alias("g"))
+    for width in (3, 0):
+        each = each.groupBy("g").agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("h")).select("h", F.substring("g", 1, width).alias("g"))
+    return each.agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("content_hash"))

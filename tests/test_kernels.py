@@ -358,3 +358,43 @@ def test_parsers_and_decoding(spark):
     docs = spark.createDataFrame([(1, MARKDOWN), (2, None), (3, "")], "doc_id bigint, text string")
     blocks = ch.parse(docs, "markdown")
     assert blocks.count() == 8 and ch.verify_blocks(blocks, docs).count() == 0
+
+
+def test_pages(spark):
+    docs = spark.createDataFrame([(1, "one<!-- page: 2 -->two<!--page:7-->seven"), (2, "<!-- page: 4 -->four"), (3, "none"), (4, None)], "doc_id bigint, text string")
+    pages = ch.page_table(docs)
+    assert sorted(map(tuple, pages.collect())) == [(1, 0, 1), (1, 3, 2), (1, 22, 7), (2, 0, 4), (3, 0, 1)]
+    spans = spark.createDataFrame([(1, 0), (1, 21), (1, 22), (2, 3), (9, 0)], "doc_id bigint, start int")
+    assert sorted((r.doc_id, r.start, r.page) for r in ch.page_at(spans, pages).collect()) == [(1, 0, 1), (1, 21, 2), (1, 22, 7), (2, 3, 4), (9, 0, None)]
+    anchors = spark.createDataFrame([(1, 1, "seven", 0, 7)], "item_id bigint, doc_id bigint, quote string, occurrence int, page_hint int")
+    assert resolve.resolve_anchors(anchors, ch.with_pages(docs)).first().strategy == "exact"
+
+
+def test_blocks_at(spark):
+    docs = spark.createDataFrame([(1, MARKDOWN)], "doc_id bigint, text string")
+    blocks = ch.parse(docs, "markdown")
+    assert ch.blocks_of(blocks, "table", "code").count() == 2
+    at = spark.createDataFrame([(1, 0), (1, MARKDOWN.index("| a")), (1, 5), (2, 0)], "doc_id bigint, at int")
+    assert sorted(((r.doc_id, r.kind) for r in ch.block_at(at, blocks).collect()), key=str) == [(1, "heading"), (1, "table"), (1, None), (2, None)]
+    chunks = ch.chunk(docs, "fixed", size=8)
+    assert ch.require_parse(chunks, docs).count() == chunks.count()
+    with pytest.raises(Exception, match="another parse"):
+        ch.require_parse(chunks, docs.withColumn("text", F.upper("text"))).collect()
+
+
+def test_quality_report_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 6)) + np.repeat(rng.standard_normal((12, 6)), 5, 0)
+    x[41] = x[7] * 2  # one point, other words
+    rows = [(i, i // 5, i % 5, f"word{i} only here", v.tolist()) for i, v in enumerate(x)]
+    got = search.quality_report(spark.createDataFrame(rows, "chunk_id bigint, doc_id bigint, start int, text string, embedding array<double>"), every=1)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    doc = np.arange(60) // 5
+    c = u @ u.T
+    across = c[doc[:, None] != doc].mean()
+    adjacent = np.mean([c[i, i + 1] for i in range(59) if doc[i] == doc[i + 1]])
+    s = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
+    assert got["anisotropy"] == pytest.approx(across) and got["separation"] == pytest.approx(adjacent - across) and got["redundancy"] == pytest.approx(across - adjacent)
+    assert got["participation"] == pytest.approx(s.sum() ** 2 / (s**2).sum()) and got["collapsed"] == pytest.approx(2 / 60) and 0 <= got["score"] <= 1

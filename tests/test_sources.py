@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from passagemill.sources import corpus, evalset
 
 
@@ -19,14 +22,38 @@ def test_jsonl_round_trip(spark, tmp_path):
     item = {"id": "q1", "question": "Q?", "gold": [{"doc_id": "d", "start": 1, "end": 3, "grade": 2}], "anchors": [], "qtype": "factoid", "answer": None, "meta": {"k": "v"}}
     (tmp_path / "in.jsonl").write_text('{"_evalset": {"id": "x"}}\n\n' + json.dumps(item) + "\nnot json\n")
     got = evalset.read_jsonl(spark, str(tmp_path / "in.jsonl"))
-    good = got.where("_bad is null").drop("_bad")
-    assert good.count() == 1 and got.where("_bad is not null").count() == 1
-    evalset.write_jsonl(good, str(tmp_path / "out"))
-    assert evalset.read_jsonl(spark, str(tmp_path / "out")).drop("_bad").collect() == good.collect()
+    good = got.where("_bad is null").drop("_bad", "_line")
+    assert good.count() == 1 and [r._line for r in got.where("_bad is not null").collect()] == [4]
+    evalset.write_jsonl(good, str(tmp_path / "out"), {"id": "x", "version": 2})
+    assert evalset.read_jsonl(spark, str(tmp_path / "out")).drop("_bad", "_line").collect() == good.collect()
+    assert evalset.read_header(spark, str(tmp_path / "out")) == {"id": "x", "version": 2} and len(list((tmp_path / "out").glob("*.txt"))) == 1
     flags = evalset.subsets(good).first()
     assert (flags.answerable, flags.resolved, flags.portable) == (True, True, False)
 
 
+def test_csv_ids_and_losses(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("question,source,quote\none,d,x\n,d,y\ntwo,d,z\n")
+    items = evalset.read_csv(spark, str(tmp_path / "in.csv"))
+    assert [(r.id, r.question) for r in items.orderBy("id").collect()] == [("q1", "one"), ("q2", "two")]
+    assert evalset.write_csv(items, str(tmp_path / "out")) == 0
+    more = items.withColumn("anchors", F.concat("anchors", "anchors"))
+    with pytest.warns(UserWarning, match="2 items"):
+        assert evalset.write_csv(more, str(tmp_path / "out")) == 2
+
+
+def test_lookups(spark):
+    texts = corpus.from_texts(spark, {"a.md": "# A", "b.md": "b"})
+    assert corpus.get(texts, "a.md").text == "# A" and corpus.get(texts, "c") is None and corpus.require(texts, "b.md").text == "b"
+    with pytest.raises(KeyError, match="near: b.md"):
+        corpus.require(texts, "bb.md")
+    assert [tuple(r) for r in corpus.media_types(texts).collect()] == [("text", 2)]
+    one = spark.createDataFrame([(i, f"t{i % 50}") for i in range(90)], "doc_id bigint, text string")
+    h = lambda d: corpus.content_hash(d).first().content_hash
+    assert h(one) == h(one.repartition(5)) and h(one) != h(one.where("doc_id <> 3")) and len(h(one.limit(0))) == 64
+    blocks = spark.createDataFrame([("table", 0, 30), ("paragraph", 30, 100)], "kind string, start int, end int")
+    assert {r.kind: r.ratio for r in corpus.block_ratios(blocks).collect()} == {"table": 0.3, "paragraph": 0.7}
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "in.csv").write_text('﻿query,source,evidence,page\n"What, now?",d1,"a ""b""",3\n,d2,x,\n', encoding="utf-8")
     r = evalset.read_evalset(spark, str(tmp_path / "in.csv")).collect()
