@@ -14,8 +14,8 @@ Plan: one Arrow pass over the texts gives (id, digest of the words, sketches and
 without a look at the text; one representative of each goes on. Bucket = (sketch number, sketch). Round one
 aligns every member of a bucket with the smallest id in it, which joins true groups of any size with
 linearly many alignments; round two aligns the pairs of a bucket that are still in different components, so
-that nobody's candidate is skipped. Before an alignment, bags of hashed words rule out pairs that cannot be
-similar enough; this bound is never too low, so that it loses nothing. Only ids, lengths, sketches and bags
+that nobody's candidate is skipped. Before an alignment, bits and bags of hashed words rule out pairs that cannot be
+similar enough; these bounds are never too low, so that they lose nothing. Only ids, lengths, sketches and bags
 shuffle, and the texts of the pairs that the bound leaves.
 """
 
@@ -24,10 +24,11 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ._common import cut, free_names, frugal, named, pick, sized, utf8
 from .components import connected_components
@@ -35,6 +36,11 @@ from .components import connected_components
 K, ELL, SKETCHES, THRESHOLD = 3, 2, 64, 0.7
 #: Texts of so many words at most have sketches of pairs of words too, half as many; SHORT words and fewer, exact keys.
 MIDDLE, SHORT = 64, 12
+#: Bits of a text that say which of its words' bins are filled.
+BITS = 256
+SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
+#: A bucket counts as hot if so many of a SAMPLED-th of the texts are in it; that decides how it is computed, not what comes out.
+HOT, SAMPLED = 64, 64
 _SPACE = 0x20
 #: ASCII letters in lower case, digits and every byte of other scripts stay; all else separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else _SPACE for c in range(256))
@@ -164,6 +170,21 @@ def piece_keys(words: list[int], threshold: float) -> set[int]:
     return out
 
 
+def word_bits(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """BITS bits a text, 64 to a column: which bins its hashed words fall in."""
+    out = np.zeros((len(counts), BITS // 64), np.uint64)
+    doc, at = np.repeat(np.arange(len(counts)), counts), words >> np.uint64(20)
+    np.bitwise_or.at(out, (doc, ((at >> np.uint64(6)) % np.uint64(BITS // 64)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _bits_allow(threshold: float) -> Column:
+    """False only if the bits of two texts rule the threshold out: a bin that one text fills and the other leaves empty holds
+    a word that costs an edit."""
+    lone = lambda x, y: reduce(Column.__add__, [F.bit_count(F.col(f"s{i}{x}").bitwiseAND(F.bitwise_not(F.col(f"s{i}{y}")))) for i in range(BITS // 64)])
+    return F.greatest(lone("a", "b"), lone("b", "a")) <= F.floor((1 - threshold) * F.greatest("na", "nb") + 1e-9)
+
+
 def _sketch_batches(k: int, ell: int, m: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +210,8 @@ def _sketch_batches(k: int, ell: int, m: int, threshold: float):
                             keys[i] = np.concatenate([keys[i], row, np.array(pieces, np.int64)])
                     firsts = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(firsts), pa.array(np.concatenate(keys)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(has)), pa.array(digests, pa.binary()), pa.array(counts[has].astype(np.int32)), lists], ["id", "digest", "n", "sketches"])
+                    bits = word_bits(words, counts[has])
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(has)), pa.array(digests, pa.binary()), pa.array(counts[has].astype(np.int32)), lists, *map(pa.array, np.ascontiguousarray(bits.T))], ["id", "digest", "n", "sketches", *SIGNATURE])
                 lo = hi
 
     return run
@@ -347,7 +369,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "ta", "tb").mapInArrow(frugal(_verify_batches(threshold)), f"a {kind}, b {kind}, similarity double").where("similarity > 0")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ell: int = ELL, sketches: int = SKETCHES, threshold: float = THRESHOLD) -> DataFrame:
+def _with_hubs(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """(bucket, id, n, hub) of the buckets of rows(bucket, id, n) that several texts are in; hub: the smallest id there.
+
+    One shuffle, and a window over each bucket. A bucket that a large share of the texts is in would be one task's: such are
+    found in a sample of the texts, and theirs come from partial aggregates and a join with these few."""
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+    hubs = sample.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") >= hot).select("bucket")
+    hubs = cut(hubs)
+    bucket = W.partitionBy("bucket")
+    cold = rows if hubs.isEmpty() else rows.join(sized(hubs), "bucket", "left_anti")
+    cold = cold.withColumns({"hub": F.min("id").over(bucket), "last": F.max("id").over(bucket)}).where("hub <> last").select("bucket", "id", "n", "hub")
+    if hubs.isEmpty():
+        return cold
+    warm = rows.join(sized(hubs), "bucket", "left_semi")
+    least = cut(warm.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("bucket", "hub"))
+    return cold.unionByName(warm.join(sized(least), "bucket").select("bucket", "id", "n", "hub"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ell: int = ELL, sketches: int = SKETCHES, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(doc_id, duplicate_of): every document that is not the smallest id of its group, and that smallest id.
 
     Groups are the components of verified pairs and of texts with equal words. Ids are of any type that orders. Null texts, texts without
@@ -356,12 +396,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = pick(docs, id=id_col, text=text_col).where("id is not null and text is not null")
     kind = texts.schema["id"].dataType.simpleString()
-    sketched = texts.mapInArrow(frugal(_sketch_batches(k, ell, sketches, threshold)), f"id {kind}, digest binary, n int, sketches array<bigint>")
-    sketched = cut(sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.collect_set("id").alias("ids")))
+    sketched = texts.mapInArrow(frugal(_sketch_batches(k, ell, sketches, threshold)), f"id {kind}, digest binary, n int, sketches array<bigint>, " + ", ".join(f"{s} bigint" for s in SIGNATURE))
+    sketched = cut(sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.collect_set("id").alias("ids"), *[F.first(s).alias(s) for s in SIGNATURE]))
     copies = sketched.where("size(ids) > 1").select(F.col("rep").alias("a"), F.explode("ids").alias("b")).where("a <> b")
     rows = sketched.select(F.col("rep").alias("id"), "n", F.explode("sketches").alias("bucket"))
-    hubs = cut(rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("bucket", "hub"))
-    rows = cut(rows.join(sized(hubs), "bucket").select("bucket", "id", "n", "hub"))
+    rows = cut(_with_hubs(rows, hot))
     star = cut(rows.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     edges = cut(_verified(star, texts, threshold).select("a", "b"))
     parts = connected_components(edges)
@@ -371,9 +410,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # texts whose lengths differ too much for the threshold do not meet: a bucket is cut into bands of lengths, and only
     # neighbouring ones join
     rows = cut(rows.join(sized(split), "bucket").withColumn("band", F.floor(F.log("n") / float(np.log(1 / threshold)) + 1e-9) if threshold < 1 else F.col("n").cast("bigint")))
-    left, right = (rows.select("bucket", "band", *[F.col(c).alias(c + x) for c in ("id", "n", "root")]) for x in "ab")
+    rows = rows.join(sized(cut(sketched.select(F.col("rep").alias("id"), *SIGNATURE).join(sized(cut(rows.select("id").distinct())), "id", "left_semi"))), "id")
+    left, right = (rows.select("bucket", "band", *[F.col(c).alias(c + x) for c in ("id", "n", "root", *SIGNATURE)]) for x in "ab")
     right = right.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    cross = left.join(right, ["bucket", "band"]).where("ida < idb and roota <> rootb")
+    cross = left.join(right, ["bucket", "band"]).where("ida < idb and roota <> rootb").where(_bits_allow(threshold))
     cross = cross.where(F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9)).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
     cross = cut(cross.join(star, ["a", "b"], "left_anti"))
     more = _verified(cross, texts, threshold).select("a", "b")

@@ -131,8 +131,11 @@ def test_bag_never_loses_a_pair(n, vocabulary, share, seed):
     words, counts = omh.word_hashes(data, np.array([0, len(b" ".join(a)), len(data)]))
     x, y = (omh._counts(omh.bag(w)) for w in np.split(words, [counts[0]]))
     assert x.sum() == len(a) and y.sum() == len(b)
+    one, two = omh.word_bits(words, counts).view(np.uint64)
+    lone = max(int(np.bitwise_count(one & ~two).sum()), int(np.bitwise_count(two & ~one).sum()))
     if omh.edit_similarity(a, b, omh.THRESHOLD):
         assert omh.may_be_similar(x, y, omh.THRESHOLD)
+        assert lone <= int((1 - omh.THRESHOLD) * max(len(a), len(b)) + 1e-9)
 
 
 def test_sketch_keeps_order():
@@ -155,6 +158,7 @@ def test_near_against_brute_force(spark):
     true = roots([(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if omh.edit_similarity(texts[a], texts[b], omh.THRESHOLD)])
     want = {(i, r) for i, r in true.items() if i != r}
     got = set(map(tuple, omh.near_duplicates(df).collect()))
+    assert got == set(map(tuple, omh.near_duplicates(df, hot=1).collect()))
     assert len(got & want) >= 0.9 * len(want) and not got - {(i, r) for i in texts for r in texts if omh.edit_similarity(texts[i], texts[r], omh.THRESHOLD)} - want
     assert got == want
 
@@ -213,6 +217,7 @@ def test_near_shared_passage(docs):
     data = [(i, " ".join(word() for _ in range(60)) + " " + passage) for i in range(60)]
     data.append((100, data[7][1].replace(".", "") + " tail"))
     assert rows(omh.near_duplicates(docs(data))) == [(100, 7)]
+    assert rows(omh.near_duplicates(docs(data), hot=1)) == [(100, 7)]  # the way of buckets that many texts are in
 
 
 def test_near_edges(docs):
