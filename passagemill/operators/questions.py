@@ -27,7 +27,7 @@ def decompose(questions: DataFrame, min_words: int = 2, max_parts: int = 4) -> D
     """(query_id, part, text): the question, then fragments between and, or, also, ; and ?, of at least min_words words
     beside stop words, each set of words once; max_parts in all."""
     stop = F.array(*map(F.lit, STOPWORDS))
-    pieces = F.transform(F.concat(F.array(F.col("text")), F.split(F.col("text"), r"(?i)\s*(?:[;?]|,?\s+(?:and|or|also)\b)\s*")), F.trim)
+    pieces = F.transform(F.concat(F.array(F.col("text")), F.split(F.col("text"), r"(?i)\s*(?:[;?]|,?\s+(?:and|or|also)\b)\s*")), lambda x: F.trim(x))
     parts = questions.select("query_id", F.posexplode(pieces).alias("n", "text"))
     sig = F.array_sort(F.array_distinct(F.array_except(tx.words(F.col("text")), stop)))
     parts = parts.withColumn("sig", sig).where((F.col("n") == 0) | (F.size("sig") >= min_words))
@@ -187,7 +187,7 @@ def keyword_probes(chunks: DataFrame, terms: int = 6) -> DataFrame:
     """(chunk_id, question, quote): the words of over three letters of each chunk's longest sentence that fewest chunks have."""
     lists = chunks.select("chunk_id", "text", F.array_distinct(tx.words(F.col("text"))).alias("w"))
     df = lists.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    parts = F.transform(F.filter(F.regexp_extract_all(F.col("text"), F.lit(r"[^\n?!.]+[?!.]?"), 0), lambda s: F.length(F.trim(s)) > 0), F.trim)
+    parts = F.transform(F.filter(F.regexp_extract_all(F.col("text"), F.lit(r"[^\n?!.]+[?!.]?"), 0), lambda s: F.length(F.trim(s)) > 0), lambda x: F.trim(x))
     longest = F.array_max(F.transform(parts, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"]
     picked = lists.select("chunk_id", longest.alias("quote")).where("quote is not null")
     each = picked.select("chunk_id", "quote", F.explode(F.array_distinct(tx.words(F.col("quote")))).alias("word")).where(F.length("word") > 3).join(df, "word")

@@ -330,6 +330,14 @@ def test_filters(spark):
     assert {r.item_id: r.reason for r in qs.filter_chain(items).collect()} == {1: None, 2: "near-duplicate", 3: "too-short", 4: "dangling-reference"}
 
 
+def test_fragments_keep_their_numbers(spark):
+    """A fragment or a sentence that begins with a digit keeps it, and loses the blanks around it."""
+    q = spark.createDataFrame([(1, "what is alpha beta; 1 gamma delta and 2 epsilon zeta"), (2, "")], "query_id bigint, text string")
+    assert sorted(map(tuple, qs.decompose(q).collect())) == [(1, 0, "what is alpha beta; 1 gamma delta and 2 epsilon zeta"), (1, 1, "what is alpha beta"), (1, 2, "1 gamma delta"), (1, 3, "2 epsilon zeta"), (2, 0, "")]
+    c = spark.createDataFrame([("a", "Short one here.  0 seven silver lanterns burned brightly.")], "chunk_id string, text string")
+    assert qs.keyword_probes(c).first().quote == "0 seven silver lanterns burned brightly."
+
+
 def test_specs():
     assert grid.parse_spec("chunker", "recursive:512,overlap=64") == ("recursive", {"size": 512, "overlap": 64})
     with pytest.raises(grid.SpecError):
