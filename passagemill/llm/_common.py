@@ -65,6 +65,13 @@ def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, which gives freed memory back to the system after each batch: Python workers stay for the next stage, and
     their free memory would count against the executor."""
@@ -73,9 +80,7 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         for batch in run(batches):
             yield batch
             del batch
-            pa.default_memory_pool().release_unused()
-            if trim := _trim():
-                trim(0)
+            release()
 
     return lean
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ._common import BROADCAST_IDS, cut, free_names, frugal, named, pick, sized
+from ._common import BROADCAST_IDS, cut, free_names, frugal, named, pick, release, sized
 
 FAN_IN = 2
 #: What makes two texts equal.
@@ -113,6 +113,7 @@ def merge_runs(entries: DataFrame, fan_in: int = FAN_IN, partitions: int | None
         return _one_each(table.take(pa.array(np.argsort(_digests(table), kind="stable"))))
 
     def merged(group: pa.Table) -> pa.Table:
+        release()  # what the last group took
         return merge([pa.ipc.open_stream(p.as_buffer()).read_all() for p in group["part"]])
 
     def exchange(r: int):

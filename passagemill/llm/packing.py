@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import cut, frugal, pick
+from ._common import cut, frugal, pick, release
 from .tokenizer import VOCABULARY, encoding
 
 CAPACITY, GRID, MAX_PARTS, GROUP_DOCS = 2048, 128, 4, 50_000
@@ -157,6 +157,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     groups = max(1, -(-lengths.count() // group_docs))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        release()  # what the last group took
         pdf = pdf.sort_values(["n", "id"], ascending=[False, True], kind="stable", ignore_index=True)
         n = pdf["n"].to_numpy()
         full, rest = n // capacity, n % capacity
