@@ -17,6 +17,8 @@ from ._common import cut, free_names, named, pick, sized
 
 SHARD_BYTES = 16 << 20
 STEP, MAX_DEPTH = 12, 60
+#: Shards of a partition of the result, on average, whatever spark.sql.shuffle.partitions says.
+SHARDS_A_PARTITION = 1
 
 
 def hash_bits(key: Column) -> Column:
@@ -74,7 +76,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         own = F.lpad(F.bin(F.col(f"prefix{d}__")), d, "0") if d else F.when(F.col("prefix0__").isNotNull(), F.lit(""))
         bits, size = F.coalesce(bits, own), F.coalesce(size, F.col(f"bytes{d}__"))
     placed = placed.select(*names, bits.alias("shard"), size.alias("shard_bytes"))
-    return placed.repartition("shard").sortWithinPartitions("shard")
+    return placed.repartition(max(1, -(-shards.count() // SHARDS_A_PARTITION)), "shard").sortWithinPartitions("shard")
 
 
 ORACLE_SQL = f"""
