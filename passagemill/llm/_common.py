@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import cut  # noqa: F401
+from ..runtime import cut, frugal, release, slices  # noqa: F401
 
 #: Rows of at most this many ids (8 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -51,40 +47,6 @@ def sized(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if few(ids, limit) else ids
 
 
-def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of at most so many bytes together, or of one text."""
-    lo = 0
-    while lo < len(offsets) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        yield lo, hi
-        lo = hi
-
-
-@lru_cache(1)
-def _trim() -> Callable[[int], int] | None:
-    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-
-
-def release() -> None:
-    """Give freed memory back to the system."""
-    pa.default_memory_pool().release_unused()
-    if trim := _trim():
-        trim(0)
-
-
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, which gives freed memory back to the system after each batch: Python workers stay for the next stage, and
-    their free memory would count against the executor."""
-
-    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in run(batches):
-            yield batch
-            del batch
-            release()
-
-    return lean
-
-
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column without a copy; null counts as empty."""
     if col.null_count:

@@ -12,8 +12,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
+from ..runtime import PIECE, frugal, pieces
 
 _CHUNKS = "doc_id bigint, idx int, start int, end int, text string, heading_path array<string>, n_tokens int"
+_CHUNK_COLUMNS = ["doc_id", "idx", "start", "end", "text", "heading_path", "n_tokens"]
+_CHUNK_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32())
+_BLOCK_COLUMNS = ["doc_id", "ord", "start", "end", "kind", "level", "text"]
+_BLOCK_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string())
+
+
+def _batches(rows: Iterator[tuple], columns: list[str], kinds: tuple[pa.DataType, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of at most about PIECE bytes: those of one long text may be many."""
+    out, held, at = [], 0, columns.index("text")
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], columns)
+
+    for row in rows:
+        out.append(row)
+        held += len(row[at]) + 64
+        if held >= PIECE:
+            yield made()
+            out, held = [], 0
+    if out:
+        yield made()
 
 
 def chunk(docs: DataFrame, chunker: str | Callable[..., tx.Ranges] = "fixed", markdown: bool = True, **how) -> DataFrame:
@@ -25,27 +47,26 @@ def chunk(docs: DataFrame, chunker: str | Callable[..., tx.Ranges] = "fixed", ma
         cut = lambda text, max_size=512, min_size=None, split_tables=False, tokenizer="regex": tx.recursive(text, max_size, 0, tokenizer)  # noqa: E731, ARG005
     tokenizer = how.get("tokenizer", "regex")
 
+    def rows(part: pa.RecordBatch) -> Iterator[tuple]:
+        for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            if not text:
+                continue
+            ranges = cut(text, **how)
+            if not ranges:
+                continue
+            ruler = tx.Ruler(text, tokenizer)
+            heads = tx.heading_paths(text) if markdown and ("#" in text or "\n=" in text or "\n-" in text) else []
+            at = [h[0] for h in heads]
+            for i, (lo, hi) in enumerate(ranges):
+                h = bisect_right(at, lo)
+                yield doc, i, lo, hi, text[lo:hi], heads[h - 1][1] if h else [], ruler.count(lo, hi)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                ranges = cut(text, **how)
-                if not ranges:
-                    continue
-                ruler = tx.Ruler(text, tokenizer)
-                heads = tx.heading_paths(text) if markdown and ("#" in text or "\n=" in text or "\n-" in text) else []
-                at = [h[0] for h in heads]
-                for i, (lo, hi) in enumerate(ranges):
-                    h = bisect_right(at, lo)
-                    out.append((doc, i, lo, hi, text[lo:hi], heads[h - 1][1] if h else [], ruler.count(lo, hi)))
-            if out:
-                cols = list(zip(*out))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "idx", "start", "end", "text", "heading_path", "n_tokens"])
-
-    ranged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _CHUNKS)
+            for part in pieces(batch):
+                yield from _batches(rows(part), _CHUNK_COLUMNS, _CHUNK_KINDS)
+
+    ranged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(frugal(run), _CHUNKS)
     return ranged.select(chunk_id("doc_id", "start", "end").alias("chunk_id"), *ranged.columns)
 
 
@@ -57,17 +78,17 @@ def chunk_id(doc: str | Column, start: str | Column, end: str | Column) -> Colum
 def parse(docs: DataFrame, parser: str = "text") -> DataFrame:
     """(doc_id, ord, start, end, kind, level, text): the blocks of each document. parser: text or markdown."""
 
+    def rows(part: pa.RecordBatch) -> Iterator[tuple]:
+        for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            blocks = tx.markdown_blocks(text or "") if parser == "markdown" else [(a, b, "paragraph", None) for a, b in tx.paragraphs(text or "")]
+            yield from ((doc, i, a, b, kind, level, text[a:b]) for i, (a, b, kind, level) in enumerate(blocks))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                blocks = tx.markdown_blocks(text or "") if parser == "markdown" else [(a, b, "paragraph", None) for a, b in tx.paragraphs(text or "")]
-                out += [(doc, i, a, b, kind, level, text[a:b]) for i, (a, b, kind, level) in enumerate(blocks)]
-            if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "ord", "start", "end", "kind", "level", "text"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ord int, start int, end int, kind string, level int, text string")
+            for part in pieces(batch):
+                yield from _batches(rows(part), _BLOCK_COLUMNS, _BLOCK_KINDS)
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(frugal(run), "doc_id bigint, ord int, start int, end int, kind string, level int, text string")
 
 
 _PAGE = r"<!--\s*page:\s*(\d+)\s*-->"

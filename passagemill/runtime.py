@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: Bytes of texts that a kernel takes from an Arrow batch at a time, and gives back in one, whatever a batch holds.
+PIECE = 1 << 20
+
+Batches = Iterator[pa.RecordBatch]
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so that functions that run there
@@ -44,3 +55,48 @@ def cut(df: DataFrame) -> DataFrame:
     lost executor costs a read, not a recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of at most so many bytes together, or of one text."""
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def pieces(batch: pa.RecordBatch, column: int | str = 1, most: int | None = None) -> Batches:
+    """A batch in consecutive parts of at most so many bytes (PIECE) of a column of texts or of lists, or of one row; an element of
+    a list counts 8."""
+    col = batch.column(column)
+    listed = pa.types.is_list(col.type) or pa.types.is_large_list(col.type)
+    size = pc.fill_null(pc.list_value_length(col) if listed else pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size * (8 if listed else 1) + 8)])
+    for lo, hi in slices(offsets, most or PIECE):
+        yield batch.slice(lo, hi - lo)
+
+
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, which gives freed memory back to the system after each batch: Python workers stay for the next stage, and
+    their free memory would count against the executor."""
+
+    def lean(batches: Batches) -> Batches:
+        for batch in run(batches):
+            yield batch
+            del batch
+            release()
+
+    return lean
