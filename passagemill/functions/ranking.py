@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ..runtime import frugal, pieces
+
 #: Cells of a block of scores, and products of a query's and a row's term, at a time.
-CELLS = 1 << 22
-HELD = 1 << 20
+CELLS = 1 << 19
+HELD = 1 << 17
 
 
 def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -96,12 +98,12 @@ def sparse_scan(asked: Asked, weigh: Callable[[Postings], np.ndarray], k: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeper = Keeper(len(asked.queries), k)
-        for batch in batches:
-            found = postings(batch.column(1), asked.vocabulary)
-            ids = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            for lo, block in asked.scores(found[0], found[1], weigh(found), batch.num_rows):
+        for part in (p for batch in batches for p in pieces(batch)):
+            found = postings(part.column(1), asked.vocabulary)
+            ids = np.asarray(part.column(0).to_pylist(), dtype=object)
+            for lo, block in asked.scores(found[0], found[1], weigh(found), part.num_rows):
                 keeper.add_block(block, ids[lo : lo + block.shape[1]])
         q, ids, score = keeper.compact()
         yield pa.RecordBatch.from_arrays([asked.queries.take(pa.array(q)), pa.array(ids.tolist(), pa.string()), pa.array(score)], ["query_id", "chunk_id", "score"])
 
-    return run
+    return frugal(run)

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import spans as sp
+from ..runtime import frugal, pieces
 from .search import slabs
 
-#: Characters of the quotes that one scan of the texts looks for; more quotes take more scans.
-SLAB = 8 << 20
+#: Characters of the quotes that one scan of the texts looks for, of which a task has an automaton of about 90 bytes each; more
+#: quotes take more scans.
+SLAB = 2 << 20
 
 
 def find_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -40,9 +42,9 @@ def find_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
             for quote in shared.value:
                 machine.add_word(quote, quote)
             machine.make_automaton()
-            for batch in batches:
+            for part in (p for batch in batches for p in pieces(batch)):
                 out: list[tuple] = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     seen: dict[str, int] = {}
                     for last, quote in machine.iter(text) if text and len(machine) else ():
                         n = seen[quote] = seen.get(quote, -1) + 1
@@ -51,7 +53,7 @@ def find_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["item_id", "doc_id", "start", "end", "occurrence"])
 
-        parts.append(texts.mapInArrow(run, schema))
+        parts.append(texts.mapInArrow(frugal(run), schema))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -127,7 +129,7 @@ def resolve_anchors(anchors: DataFrame, docs: DataFrame, bounded: bool = False)
     pages = F.col("pages") if "pages" in docs.columns else F.lit(None).cast("array<struct<start:int,number:int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, "text")):
             out = []
             for quote, text, n, known, hint, at in zip(*(batch.column(c).to_pylist() for c in ("quote", "text", "occurrence", "known", "hint", "pages"))):
                 if not known:
@@ -139,7 +141,7 @@ def resolve_anchors(anchors: DataFrame, docs: DataFrame, bounded: bool = False)
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("doc_id"), batch.column("quote"), *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.bool_())))], ["item_id", "doc_id", "quote", "start", "end", "strategy", "ambiguous"])
 
     joined = anchors.join(own, "doc_id", "left").withColumns({"hint": F.col(hints).cast("int") if hints else F.lit(None).cast("int"), "pages": pages})
-    return joined.select("item_id", "doc_id", "quote", "occurrence", "text", "known", "hint", "pages").mapInArrow(run, "item_id bigint, doc_id bigint, quote string, start int, end int, strategy string, ambiguous boolean")
+    return joined.select("item_id", "doc_id", "quote", "occurrence", "text", "known", "hint", "pages").mapInArrow(frugal(run), "item_id bigint, doc_id bigint, quote string, start int, end int, strategy string, ambiguous boolean")
 
 
 def resolve_everywhere(quotes: DataFrame, docs: DataFrame) -> DataFrame:

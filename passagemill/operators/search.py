@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import ranking, text as tx
+from ..runtime import frugal, pieces
 
 K1, B = 1.5, 0.75
 #: What one slab of queries may hold: pairs of a query and a term, and elements of dense vectors.
@@ -73,8 +74,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b:
 
         def count(batches: Iterator[pa.RecordBatch], vocabulary: pa.Array = vocabulary) -> Iterator[pa.RecordBatch]:
             df, n, total = np.zeros(len(vocabulary), np.int64), 0, 0
-            for batch in batches:
-                _, term, _, lengths = ranking.postings(batch.column(0), vocabulary)
+            for part in (p for batch in batches for p in pieces(batch, 0)):
+                _, term, _, lengths = ranking.postings(part.column(0), vocabulary)
                 df += np.bincount(term, minlength=len(vocabulary))
                 n, total = n + len(lengths), total + int(lengths.sum())
             flat = np.concatenate([df, [n, total]])
@@ -82,7 +83,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["i", "n"])
 
         sums = np.zeros(len(terms) + 2)
-        for r in words.select("w").mapInArrow(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row a term
+        for r in words.select("w").mapInArrow(frugal(count), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row a term
             sums[r["i"]] = r["n"]
         df, n, total = sums[:-2], sums[-2], sums[-1]
         if not n:
@@ -171,9 +172,9 @@ def scan_topk(rows: DataFrame, queries: DataFrame, k: int, read: Callable[[pa.Ar
             qi = names.to_numpy(zero_copy_only=False)
             keeper = ranking.Keeper(len(qi), k)
             step = max(1, ranking.CELLS // len(qi))
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                x = read(batch.column(1))
+            for part in (p for batch in batches for p in (pieces(batch) if batch.num_rows else ())):
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                x = read(part.column(1))
                 for lo in range(0, len(ids), step):
                     s = np.round(score(q, x[lo : lo + step]), 6) + 0.0
                     if skip_self:
@@ -182,7 +183,7 @@ def scan_topk(rows: DataFrame, queries: DataFrame, k: int, read: Callable[[pa.Ar
             at, ids, s = keeper.compact()
             yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(ids), pa.array(s)], ["query_id", id_col, "score"])
 
-        found.append(rows.mapInArrow(run, f"query_id {asks}, {id_col} {kind}, score double"))
+        found.append(rows.mapInArrow(frugal(run), f"query_id {asks}, {id_col} {kind}, score double"))
     return _union(found or [_nothing(spark, asks, id_col, kind)])
 
 

@@ -52,3 +52,22 @@ def test_chunks_come_in_bounded_batches(spark, name, how):
     got = bounded(lambda t: ch.chunk(t, name, **how))
     by = np.concatenate([b.column("doc_id").to_numpy() for b in got])
     assert set(by) == set(range(3000)) and (np.diff(by) >= 0).all()
+
+
+def test_a_scan_holds_little_at_a_time():
+    import tracemalloc
+
+    from passagemill.functions import ranking
+
+    rng = np.random.default_rng(0)
+    terms = [f"w{i}" for i in range(500)]
+    q, t = np.repeat(np.arange(200), 40), rng.integers(0, 500, 8000)
+    asked = ranking.Asked(pa.array(range(200)), pa.array(terms), q, t, np.ones(8000))
+    words = pa.array([[terms[i] for i in row] for row in rng.integers(0, 500, (10_000, 75))])
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(10_000)]), words], ["chunk_id", "w"])
+    tracemalloc.start()
+    try:
+        (out,) = ranking.sparse_scan(asked, lambda p: p[2], 10)(iter([batch]))
+        assert out.num_rows == 2000 and tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
