@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as tx
 from ..functions.ranking import Postings, postings
 from ..functions.vectors import hashed
+from ..runtime import PIECE, frugal, pieces
 
 #: Word characters of a text-to-vector call that a model reads, by tokens.
 CHARS_PER_TOKEN = 4
@@ -42,12 +43,12 @@ def tfidf_rows(table: DataFrame, idf: DataFrame, id_col: str = "chunk_id") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, idfs = shared.value
-        for batch in batches:
-            found = postings(batch.column(1), vocabulary)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[0])), vocabulary.take(pa.array(found[1])), pa.array(tfidf_weights(found, idfs))], ["id", "term", "weight"])
+        for part in (p for batch in batches for p in pieces(batch)):
+            found = postings(part.column(1), vocabulary)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found[0])), vocabulary.take(pa.array(found[1])), pa.array(tfidf_weights(found, idfs))], ["id", "term", "weight"])
 
     rows = table.select(F.col(id_col).alias("id"), tx.words(F.col("text")).alias("w")).where("w is not null")
-    return rows.mapInArrow(run, f"id {kind}, term string, weight double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), f"id {kind}, term string, weight double").withColumnRenamed("id", id_col)
 
 
 def tfidf_vectors(table: DataFrame, idf: DataFrame, id_col: str = "chunk_id") -> DataFrame:
@@ -68,7 +69,7 @@ def tfidf_vectors(table: DataFrame, idf: DataFrame, id_col: str = "chunk_id") ->
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(firsts, pa.array(x.ravel()))], ["id", "embedding"])
 
     rows = table.select(F.col(id_col).alias("id"), tx.words(F.col("text")).alias("w"))
-    return rows.mapInArrow(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
 
 
 def lengths(table: DataFrame, id_col: str = "chunk_id") -> DataFrame:
@@ -81,12 +82,13 @@ def hash_vectors(table: DataFrame, id_col: str = "chunk_id", dimensions: int = 2
     kind = table.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.array([hashed(t or "", dimensions, seed) for t in batch.column(1).to_pylist()], np.float32).reshape(-1, dimensions)
+        step = max(1, PIECE // (4 * dimensions))
+        for part in (b.slice(lo, step) for batch in batches for b in pieces(batch) for lo in range(0, b.num_rows, step)):
+            rows = np.array([hashed(t or "", dimensions, seed) for t in part.column(1).to_pylist()], np.float32).reshape(-1, dimensions)
             firsts = pa.array(np.arange(0, rows.size + 1, dimensions, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(firsts, pa.array(rows.ravel()))], ["id", "embedding"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(firsts, pa.array(rows.ravel()))], ["id", "embedding"])
 
-    return table.select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
+    return table.select(F.col(id_col).alias("id"), "text").mapInArrow(frugal(run), f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
 
 
 def truncate(table: DataFrame, max_tokens: int) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from passagemill.operators import chunk as ch
+from passagemill.operators import chunk as ch, embed
 from passagemill.runtime import PIECE, pieces
 
 
@@ -71,3 +71,16 @@ def test_a_scan_holds_little_at_a_time():
         assert out.num_rows == 2000 and tracemalloc.get_traced_memory()[1] < 80 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_hashed_vectors_come_in_bounded_batches(spark):
+    from pyspark.sql import types as T
+
+    class Typed(Captured):
+        schema = T.StructType([T.StructField("chunk_id", T.LongType())])
+
+    table = Typed()
+    embed.hash_vectors(table)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(["some words"] * 6000)], ["chunk_id", "text"])
+    got = list(table.run(iter([batch])))
+    assert [i for b in got for i in b.column("id").to_pylist()] == list(range(6000)) and max(b.nbytes for b in got) < 2 * PIECE
