@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -93,17 +93,19 @@ class Asked:
             lo = hi
 
 
-def sparse_scan(asked: Asked, weigh: Callable[[Postings], np.ndarray], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A pass over (id, words) that gives the k best rows of each query: (q, id, score). weigh: weights of the postings."""
+def sparse_scan(asked: Asked, weighs: Sequence[Callable[[Postings], np.ndarray]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over (id, words) that gives the k best rows of each query, for each way to weigh postings: (run, q, id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keeper = Keeper(len(asked.queries), k)
+        keepers = [Keeper(len(asked.queries), k) for _ in weighs]
         for part in (p for batch in batches for p in pieces(batch)):
             found = postings(part.column(1), asked.vocabulary)
             ids = np.asarray(part.column(0).to_pylist(), dtype=object)
-            for lo, block in asked.scores(found[0], found[1], weigh(found), part.num_rows):
-                keeper.add_block(block, ids[lo : lo + block.shape[1]])
-        q, ids, score = keeper.compact()
-        yield pa.RecordBatch.from_arrays([asked.queries.take(pa.array(q)), pa.array(ids.tolist(), pa.string()), pa.array(score)], ["query_id", "chunk_id", "score"])
+            for keeper, weigh in zip(keepers, weighs):
+                for lo, block in asked.scores(found[0], found[1], weigh(found), part.num_rows):
+                    keeper.add_block(block, ids[lo : lo + block.shape[1]])
+        for i, keeper in enumerate(keepers):
+            q, ids, score = keeper.compact()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), i, np.int32)), asked.queries.take(pa.array(q)), pa.array(ids.tolist(), pa.string()), pa.array(score)], ["run", "query_id", "chunk_id", "score"])
 
     return frugal(run)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import ranking, text as tx
-from ..runtime import frugal, pieces
+from ..runtime import cut, frugal, pieces
 
 K1, B = 1.5, 0.75
 #: What one slab of queries may hold: pairs of a query and a term, and elements of dense vectors.
@@ -63,6 +63,17 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b:
     the query repeats it; chunks without a term of the query are absent.
 
     Two passes over the texts a slab of queries: one counts the documents that have its terms, the other scores."""
+    return top_k(_bm25(chunks, queries, k, [(k1, b)]).drop("run"), k)
+
+
+def bm25_runs(chunks: DataFrame, queries: DataFrame, k: int, ways: Sequence[tuple[float, float]]) -> list[DataFrame]:
+    """bm25() for each (k1, b), all in the two passes of one. What the tasks kept is materialised, k rows a query and task."""
+    found = cut(_bm25(chunks, queries, k, ways))
+    return [top_k(found.where(F.col("run") == i).drop("run"), k) for i in range(len(ways))]
+
+
+def _bm25(chunks: DataFrame, queries: DataFrame, k: int, ways: Sequence[tuple[float, float]]) -> DataFrame:
+    """(run, query_id, chunk_id, score): what the tasks kept, run by run of the (k1, b) in ways."""
     spark, kind = chunks.sparkSession, queries.schema["query_id"].dataType.simpleString()
     asked = queries.select("query_id", F.explode(tx.words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
     words, found = _words(chunks), []
@@ -94,14 +105,17 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b:
         def scan(batches: Iterator[pa.RecordBatch], held=held, mean: float = mean) -> Iterator[pa.RecordBatch]:
             asked_, idf_ = held.value
 
-            def weigh(p: ranking.Postings) -> np.ndarray:
-                row, term, f, lengths = p
-                return idf_[term] * f * (k1 + 1) / (f + k1 * (1 - b + b * lengths[row] / (mean or 1)))
+            def weigh(k1: float, b: float) -> Callable[[ranking.Postings], np.ndarray]:
+                def of(p: ranking.Postings) -> np.ndarray:
+                    row, term, f, lengths = p
+                    return idf_[term] * f * (k1 + 1) / (f + k1 * (1 - b + b * lengths[row] / (mean or 1)))
 
-            yield from ranking.sparse_scan(asked_, weigh, k)(batches)
+                return of
 
-        found.append(words.mapInArrow(scan, f"query_id {kind}, chunk_id string, score double"))
-    return top_k(_union(found or [_nothing(spark, kind)]), k)
+            yield from ranking.sparse_scan(asked_, [weigh(*way) for way in ways], k)(batches)
+
+        found.append(words.mapInArrow(scan, f"run int, query_id {kind}, chunk_id string, score double"))
+    return _union(found or [_nothing(spark, kind).select(F.lit(0).alias("run"), "*")])
 
 
 def _ids(values: list, like: DataFrame) -> pa.Array:
@@ -129,9 +143,9 @@ def tfidf_search(chunks: DataFrame, queries: DataFrame, idf: DataFrame, k: int =
         held = spark.sparkContext.broadcast(ranking.Asked(_ids(ids, queries), vocabulary, q, to[t], weight))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            yield from ranking.sparse_scan(held.value, lambda p: tfidf_weights(p, idfs), k)(batches)
+            yield from ranking.sparse_scan(held.value, [lambda p: tfidf_weights(p, idfs)], k)(batches)
 
-        found.append(words.mapInArrow(scan, f"query_id {kind}, chunk_id string, score double"))
+        found.append(words.mapInArrow(scan, f"run int, query_id {kind}, chunk_id string, score double").drop("run"))
     return top_k(_union(found or [_nothing(spark, kind)]), k)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import spans as sp, text as tx
 from ..operators import chunk as ch, codecs, embed, metrics, questions as qs, resolve, search
+from ..runtime import cut
 from ..sources import corpus
 from . import cost, grid, ingest
 
@@ -50,8 +51,14 @@ class _T:
     def qrels(self) -> DataFrame:
         return resolve.qrels(self.gold(), self.chunks())
 
-    def run(self, k: int = K, k1: float = search.K1) -> DataFrame:
-        return search.bm25(self.chunks().select("chunk_id", "text"), self.questions(), k, k1)
+    def run(self, k: int = K) -> DataFrame:
+        return search.bm25(self.chunks().select("chunk_id", "text"), self.questions(), k)
+
+    def both_runs(self) -> tuple[DataFrame, DataFrame]:
+        """Scores by query of the run, and of one with k1 = 0.9. The judgements, a few rows a question, are made once."""
+        rel = cut(self.qrels())
+        runs = search.bm25_runs(self.chunks().select("chunk_id", "text"), self.questions(), K, [(search.K1, search.B), (0.9, search.B)])
+        return tuple(metrics.per_query(rel, r) for r in runs)
 
     def dense(self) -> DataFrame:
         chunks = self.chunks().select("chunk_id", "text")
@@ -617,20 +624,17 @@ _CTE["reach"] = "SELECT q.query_id, round(coalesce(1.0::DOUBLE / a.first, 0), 6)
 
 @query("SELECT count(*) AS n, count(*) FILTER (a - b > 1e-9) AS wins, count(*) FILTER (a - b < -1e-9) AS losses, count(*) FILTER (abs(a - b) <= 1e-9) AS ties, round(avg(a - b), 6) AS mean_difference FROM reach")
 def compare_runs(t: _T) -> DataFrame:
-    rel = t.qrels()
-    return metrics.compare(metrics.per_query(rel, t.run()), metrics.per_query(rel, t.run(k1=0.9)), "mrr", 10)
+    return metrics.compare(*t.both_runs(), "mrr", 10)
 
 
 @query("SELECT query_id, a AS left, b AS right, round(a - b, 6) AS difference FROM reach WHERE abs(a - b) > 1e-9")
 def run_disagreement(t: _T) -> DataFrame:
-    rel = t.qrels()
-    return metrics.disagreement(metrics.per_query(rel, t.run()), metrics.per_query(rel, t.run(k1=0.9)), "mrr", 10)
+    return metrics.disagreement(*t.both_runs(), "mrr", 10)
 
 
 @query()
 def significance(t: _T) -> DataFrame:
-    rel = t.qrels()
-    return metrics.significance(metrics.per_query(rel, t.run()), metrics.per_query(rel, t.run(k1=0.9)), "mrr", 10)
+    return metrics.significance(*t.both_runs(), "mrr", 10)
 
 
 @query("""SELECT e.* FROM (SELECT user_id, round(avg(value), 6) AS quality, count(*) AS cost FROM events GROUP BY user_id) e
