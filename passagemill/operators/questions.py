@@ -184,17 +184,17 @@ def minimum_detectable(n: Column) -> Column:
 
 
 def keyword_probes(chunks: DataFrame, terms: int = 6) -> DataFrame:
-    """(chunk_id, question, quote): the words of over three letters of each chunk's longest sentence that fewest chunks have."""
-    lists = chunks.select("chunk_id", "text", F.array_distinct(tx.words(F.col("text"))).alias("w"))
-    df = lists.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    """(chunk_id, question, quote): the words of over three letters of each chunk's longest sentence that fewest chunks have. What
+    meets the counts of the words is a chunk's id and a word; the quote joins them once, by chunk."""
+    w = F.filter(F.array_distinct(tx.words(F.col("text"))), lambda x: F.length(x) > 3)
+    df = chunks.select(F.explode(w).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     parts = F.transform(F.filter(F.regexp_extract_all(F.col("text"), F.lit(r"[^\n?!.]+[?!.]?"), 0), lambda s: F.length(F.trim(s)) > 0), lambda x: F.trim(x))
     longest = F.array_max(F.transform(parts, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"]
-    picked = lists.select("chunk_id", longest.alias("quote")).where("quote is not null")
-    each = picked.select("chunk_id", "quote", F.explode(F.array_distinct(tx.words(F.col("quote")))).alias("word")).where(F.length("word") > 3).join(df, "word")
-    nth = F.row_number().over(W.partitionBy("chunk_id").orderBy("df", "word"))
-    rare = each.withColumn("nth", nth).where(F.col("nth") <= terms)
-    asked = rare.groupBy("chunk_id", "quote").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "word"))), lambda x: x["word"]).alias("q"))
-    return asked.where(F.size("q") >= 2).select("chunk_id", F.concat_ws(" ", "q").alias("question"), "quote")
+    picked = chunks.select("chunk_id", longest.alias("quote")).where("quote is not null")
+    each = picked.select("chunk_id", F.explode(F.array_distinct(tx.words(F.col("quote")))).alias("word")).where(F.length("word") > 3).join(df, "word")
+    rows = each.select("chunk_id", F.struct("df", "word").alias("t"), F.lit(None).cast("string").alias("quote")).unionByName(picked.select("chunk_id", F.lit(None).alias("t"), "quote"), allowMissingColumns=True)
+    asked = rows.groupBy("chunk_id").agg(F.slice(F.array_sort(F.collect_set("t")), 1, terms).alias("q"), F.max("quote").alias("quote"))
+    return asked.where(F.size("q") >= 2).select("chunk_id", F.array_join(F.transform("q", lambda x: x["word"]), " ").alias("question"), "quote")
 
 
 def spread_sample(chunks: DataFrame, size: int, seed: int = 0) -> DataFrame:

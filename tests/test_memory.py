@@ -106,3 +106,12 @@ def test_two_runs_share_their_passes(spark, monkeypatch, name):
     monkeypatch.setattr(catalogue._T, "chunks", lambda t, own=catalogue._T.chunks: made.append(1) or own(t))
     catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(made) == 2
+
+
+def test_probes_of_one_chunk_shuffle_its_quote_once(spark):
+    """Before the words meet their counts only ids and words go; a word of several rows of one id counts once."""
+    from passagemill.operators import questions as qs
+
+    rows = [("a", "Golden lanterns burned brightly."), ("a", "Golden lanterns burned brightly."), ("b", "Golden rivers. Silver lanterns drift over rivers."), ("c", "No so.")]
+    got = qs.keyword_probes(spark.createDataFrame(rows, "chunk_id string, text string"), 3)
+    assert sorted(map(tuple, got.collect())) == [("a", "brightly burned golden", "Golden lanterns burned brightly."), ("b", "drift over rivers", "Silver lanterns drift over rivers.")]
