@@ -6,10 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import cut, frugal, release, slices  # noqa: F401
-
-#: Rows of at most this many ids (8 bytes each) are broadcast; beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+from ..runtime import BROADCAST_IDS, cut, few, frugal, release, sized, slices  # noqa: F401
 
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
@@ -37,16 +34,6 @@ def named(df: DataFrame, name: str) -> str:
     return next(c for c in df.columns if c.lower() == name.lower())
 
 
-def few(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:
-    """Whether a materialised table has at most limit rows (it counts one more than the limit at most)."""
-    return ids.limit(limit + 1).count() <= limit
-
-
-def sized(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """ids with a broadcast hint if it is small by count, as it is otherwise. ids: materialised."""
-    return F.broadcast(ids) if few(ids, limit) else ids
-
-
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column without a copy; null counts as empty."""
     if col.null_count:

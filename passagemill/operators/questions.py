@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
-from ..runtime import cut
+from ..runtime import cut, sized
 from .search import rrf, top_k
 
 #: Words that carry no topic: articles, pronouns, auxiliaries and question words of English.
@@ -44,18 +44,19 @@ def fuse_parts(search: Callable[[DataFrame, int], DataFrame], parts: DataFrame,
 
 def feedback_terms(hits: DataFrame, chunks: DataFrame, queries: DataFrame, terms: int = 5) -> DataFrame:
     """(query_id, term): of the best chunk's words that the query lacks, those it has least often, ties by word."""
-    best = hits.where("rank = 1").join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", F.explode(tx.words(F.col("text"))).alias("term"))
+    best = chunks.select("chunk_id", "text").join(sized(cut(hits.where("rank = 1").select("query_id", "chunk_id"))), "chunk_id").select("query_id", F.explode(tx.words(F.col("text"))).alias("term"))
     asked = queries.select("query_id", F.explode(tx.words(F.col("text"))).alias("term")).distinct()
     counted = best.join(asked, ["query_id", "term"], "left_anti").groupBy("query_id", "term").agg(F.count("*").alias("n"))
     return counted.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy("n", "term"))).where(F.col("pos") <= terms).select("query_id", "pos", "term")
 
 
 def relevance_feedback(search: Callable[[DataFrame, int], DataFrame], chunks: DataFrame, queries: DataFrame, k: int, terms: int = 5) -> DataFrame:
-    """Search, search again with the best chunk's rarest words, and fuse both lists."""
-    first = search(queries, k)
+    """Search, search again with the best chunk's rarest words, and fuse both lists. The first list and the second queries are
+    materialised: the search reads its queries several times, and each time they would be searched for anew."""
+    first = cut(search(queries, k))
     more = feedback_terms(first, chunks, queries, terms).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("t"))
     again = queries.join(more, "query_id").select("query_id", F.concat_ws(" ", F.col("text"), F.concat_ws(" ", "t")).alias("text"))
-    return rrf([first, search(again, k)], k)
+    return rrf([first, search(cut(again), k)], k)
 
 
 def lexical_rerank(hits: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, length_penalty: float = 0.25) -> DataFrame:

@@ -108,6 +108,24 @@ def test_two_runs_share_their_passes(spark, monkeypatch, name):
     assert len(made) == 2
 
 
+def test_feedback_searches_each_list_once(spark):
+    """The second search reads its queries several times; the first is not made anew for that."""
+    from passagemill.operators import questions as qs
+
+    seen = spark.sparkContext.accumulator(0)
+    chunks = spark.createDataFrame([("a", "one two three"), ("b", "two four")], "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "one"), (2, "four")], "query_id bigint, text string")
+    told = F.udf(lambda x: seen.add(1) or x, "string")
+
+    def search(queries, k):
+        queries.count(), queries.collect()
+        hits = spark.createDataFrame([(1, "a", 1.0, 1), (2, "b", 1.0, 1)], "query_id bigint, chunk_id string, score double, rank int")
+        return hits.withColumn("chunk_id", told("chunk_id"))
+
+    got = qs.relevance_feedback(search, chunks, asked, 2).select("query_id", "chunk_id").collect()
+    assert sorted(map(tuple, got)) == [(1, "a"), (2, "b")] and seen.value == 4
+
+
 def test_probes_of_one_chunk_shuffle_its_quote_once(spark):
     """Before the words meet their counts only ids and words go; a word of several rows of one id counts once."""
     from passagemill.operators import questions as qs
