@@ -48,7 +48,7 @@ def bounded(make):
     return got
 
 
-@pytest.mark.parametrize(("name", "how"), [("sentence", {"window": 3}), ("recursive", {"size": 256}), ("fixed", {"size": 512, "tokenizer": "character"})])
+@pytest.mark.parametrize(("name", "how"), [("sentence", {"window": 3}), ("recursive", {"size": 256}), ("semantic", {"cut_at": 90.0}), ("fixed", {"size": 512, "tokenizer": "character"})])
 def test_chunks_come_in_bounded_batches(spark, name, how):
     got = bounded(lambda t: ch.chunk(t, name, **how))
     by = np.concatenate([b.column("doc_id").to_numpy() for b in got])
