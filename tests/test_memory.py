@@ -87,6 +87,21 @@ def test_hashed_vectors_come_in_bounded_batches(spark):
     assert [i for b in got for i in b.column("id").to_pylist()] == list(range(6000)) and max(b.nbytes for b in got) < 2 * PIECE
 
 
+def test_weights_come_in_bounded_batches(spark):
+    from pyspark.sql import types as T
+
+    class Typed(Captured):
+        schema = T.StructType([T.StructField("chunk_id", T.LongType())])
+        sparkSession = spark  # noqa: N815
+
+    terms = [f"w{i}" for i in range(200)]
+    table = Typed()
+    embed.tfidf_rows(table, spark.createDataFrame([(t, 1.0) for t in terms], "term string, idf double"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([terms] * 5000)], ["chunk_id", "w"])
+    got = list(table.run(iter([batch])))
+    assert sum(b.num_rows for b in got) == 1_000_000 and len(got) > 5 and max(b.nbytes for b in got) < 6 * PIECE
+
+
 def test_runs_of_one_pass_are_those_of_each(spark):
     from passagemill.operators import search
 
