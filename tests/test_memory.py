@@ -74,6 +74,35 @@ def test_a_scan_holds_little_at_a_time():
         tracemalloc.stop()
 
 
+def test_a_count_holds_little_at_a_time(spark):
+    """The first pass of BM25 gives one batch a task, so that what it holds on the way is the measure."""
+    import tracemalloc
+
+    from passagemill.operators import search
+
+    class Counted(Captured):
+        sparkSession = spark  # noqa: N815
+
+        def collect(self):
+            return ()  # no row, no second pass
+
+    terms = [f"w{i}" for i in range(500)]
+    table = Counted()
+    search._bm25(table, spark.createDataFrame([(1, " ".join(terms))], "query_id bigint, text string"), 10, [(1.5, 0.75)])
+    words = np.random.default_rng(0).integers(0, 500, (10_000, 75))
+    batch = pa.RecordBatch.from_arrays([pa.array([[terms[i] for i in row] for row in words])], ["w"])
+    tracemalloc.start()
+    try:
+        (out,) = table.run(iter([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    counts = dict(zip(out.column("i").to_pylist(), out.column("n").to_pylist()))
+    assert counts[500] == 10_000 and counts[501] == 750_000
+    assert sum(counts.values()) - 760_000 == sum(len(set(row)) for row in words.tolist())
+    assert peak < 12 << 20
+
+
 def test_hashed_vectors_come_in_bounded_batches(spark):
     from pyspark.sql import types as T
 
