@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 
@@ -15,15 +16,19 @@ _WORD = re.compile(r"\w+")
 def tfidf_neighbours(windows: list[str], features: int = 4096) -> list[float]:
     """Cosines of neighbouring windows under TF-IDF fitted to these windows alone."""
     bags = [Counter(_WORD.findall(w.lower())) for w in windows]
-    df = Counter(t for b in bags for t in b)
-    kept = sorted(df, key=lambda t: (-df[t], t))[:features]
-    idf = {t: math.log((1 + len(bags)) / (1 + df[t])) + 1 for t in kept}
-    rows = []
+    df = Counter(chain.from_iterable(bags))
+    kept = df if len(df) <= features else sorted(df, key=lambda t: (-df[t], t))[:features]
+    by_df = {n: math.log((1 + len(bags)) / (1 + n)) + 1 for n in set(df.values())}
+    idf = {t: by_df[df[t]] for t in kept}
+    out, last = [], None
     for b in bags:
-        v = {t: (1 + math.log(n)) * idf[t] for t, n in b.items() if t in idf}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        rows.append({t: x / norm for t, x in v.items()})
-    return [sum(x * b.get(t, 0.0) for t, x in a.items()) for a, b in zip(rows, rows[1:])]
+        v = {t: idf[t] if n == 1 else (1 + math.log(n)) * idf[t] for t, n in b.items() if t in idf}
+        norm = math.sqrt(sum([x * x for x in v.values()])) or 1.0
+        row = {t: x / norm for t, x in v.items()}
+        if last is not None:
+            out.append(sum([x * row[t] for t, x in last.items() if t in row], 0.0))
+        last = row
+    return out
 
 
 def hashed(text: str, dimensions: int = 256, seed: int = 0) -> np.ndarray:

@@ -54,7 +54,7 @@ def chunk(docs: DataFrame, chunker: str | Callable[..., tx.Ranges] = "fixed", ma
             ranges = cut(text, **how)
             if not ranges:
                 continue
-            ruler = tx.Ruler(text, tokenizer)
+            ruler = tx.ruler_of(text, tokenizer)
             heads = tx.heading_paths(text) if markdown and ("#" in text or "\n=" in text or "\n-" in text) else []
             at = [h[0] for h in heads]
             for i, (lo, hi) in enumerate(ranges):

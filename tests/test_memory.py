@@ -177,3 +177,60 @@ def test_probes_of_one_chunk_shuffle_its_quote_once(spark):
     rows = [("a", "Golden lanterns burned brightly."), ("a", "Golden lanterns burned brightly."), ("b", "Golden rivers. Silver lanterns drift over rivers."), ("c", "No so.")]
     got = qs.keyword_probes(spark.createDataFrame(rows, "chunk_id string, text string"), 3)
     assert sorted(map(tuple, got.collect())) == [("a", "brightly burned golden", "Golden lanterns burned brightly."), ("b", "drift over rivers", "Silver lanterns drift over rivers.")]
+
+
+def test_a_chunker_and_the_count_of_its_tokens_share_a_pass(spark, monkeypatch):
+    """The semantic chunker and the count of its chunks' tokens read the tokens of a text once."""
+    from passagemill.functions import text as tx
+
+    read = []
+    monkeypatch.setattr(tx, "token_spans", lambda text, tokenizer="regex", own=tx.token_spans: read.append(text) or own(text, tokenizer))
+    texts = [f"One sentence {i} of a few words. Another is here. A third has more of them! Is it so?" for i in range(5)]
+    (got,) = results(lambda t: ch.chunk(t, "semantic", cut_at=90.0), pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["doc_id", "text"]))
+    assert read == texts
+    assert all(n == len(tx.token_spans(part)) for n, part in zip(got.column("n_tokens").to_pylist(), got.column("text").to_pylist()))
+
+
+def test_abbreviations_are_those_of_the_pattern():
+    """The scan back from a mark finds what a search by pattern does, also behind closers, a line feed or 200 characters."""
+    import random
+    import re
+
+    from passagemill.functions import text as tx
+
+    last = re.compile(rf"(\d+|[a-zA-Z]+)[{tx._CLOSERS}!.?]*$")
+
+    def by_pattern(text, at):
+        if text[at + 1 : at + 2].isdigit():
+            return True
+        m = last.search(text, max(0, at - 200), at)
+        return m is not None and (m[1].isdigit() or m[1].lower() in tx._SHORT or m[1] in tx._SHORT_CAPITAL)
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aB1.!?\"')]’”\n \tſ٣²ı") for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    ends = ["dr.", "Fig.", "fig).", "approx\n.", "approxi.", "xapprox.", "e" * 9 + ".", "7\n\n.", "Dr" + ")" * 198 + ".", "Dr" + ")" * 199 + ".", "xdr" + ")" * 198 + ".", "٣."]
+    cases = [(t + e, len(t + e) - 1) for t in ["", " ", "a b ", "3"] for e in ends] + [(t, at) for t in texts for at in range(len(t))]
+    assert [tx._goes_on(*c) for c in cases] == [by_pattern(*c) for c in cases]
+
+
+def test_neighbours_are_alike_to_the_last_bit():
+    import math
+    from collections import Counter
+
+    from passagemill.functions.vectors import _WORD, tfidf_neighbours
+
+    def plain(windows, features):
+        bags = [Counter(_WORD.findall(w.lower())) for w in windows]
+        df = Counter(t for b in bags for t in b)
+        idf = {t: math.log((1 + len(bags)) / (1 + df[t])) + 1 for t in sorted(df, key=lambda t: (-df[t], t))[:features]}
+        rows = []
+        for b in bags:
+            v = {t: (1 + math.log(n)) * idf[t] for t, n in b.items() if t in idf}
+            norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+            rows.append({t: x / norm for t, x in v.items()})
+        return [sum(x * b.get(t, 0.0) for t, x in a.items()) for a, b in zip(rows, rows[1:])]
+
+    words = np.random.default_rng(2).zipf(1.4, (60, 30)) % 97
+    windows = [" ".join(f"w{i}" for i in row) for row in words.tolist()] + ["", "only"]
+    for features in (4096, 11):
+        assert tfidf_neighbours(windows, features) == plain(windows, features)
